@@ -1,7 +1,7 @@
 """BPE encoding and decoding by a distinct-word table.
 
 Texts are split into words (a space with what follows it; a run of white space stays with
-the word before it, so that words can be encoded apart). A block of some 16 MB of texts
+the word before it, so that words can be encoded apart). A block of some 8 MB of texts
 sends each of its distinct words once to the word's shard; there each distinct word of the
 corpus is encoded once; the ids return to the block and are joined to the words by
 position. Decoding joins every id with the table of pieces.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 TOKENIZER = "byte_bpe_50k.json"
 
 _JOINED_SPACE = re.compile(r" (?:\s|\Z)")
@@ -97,6 +97,15 @@ def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, of: np.nd
     return flat[np.repeat(starts[of] - before, taken) + np.arange(taken.sum())], taken
 
 
+def _pack(words: list[str]) -> bytes:
+    """Words one after the other; the byte between them is in no UTF-8 text."""
+    return zstandard.compress(b"\xff".join([w.encode() for w in words]), 3)
+
+
+def _unpack(packed: bytes) -> list[str]:
+    return [w.decode() for w in zstandard.decompress(packed).split(b"\xff")]
+
+
 def _checksum(words: list[str]) -> int:
     return zlib.crc32("\0".join(words).encode()) ^ len(words)
 
@@ -141,7 +150,7 @@ def _block_words(shards: int, block_bytes: int):
                 {
                     "block": pa.array([block] * len(parts), pa.int64()),
                     "shard": pa.array(list(parts), pa.int32()),
-                    "words": pa.array(list(parts.values()), pa.list_(pa.string())),
+                    "words": pa.array([_pack(words) for words in parts.values()], pa.binary()),
                 }
             )
 
@@ -173,7 +182,8 @@ def _encode_shards(path: str):
         flat = np.zeros(0, dtype=np.uint32)
         starts, lengths = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
         for batch in batches:
-            for block, at, words in zip(batch["block"].to_pylist(), batch["shard"].to_pylist(), batch["words"].to_pylist(), strict=True):
+            for block, at, packed in zip(batch["block"].to_pylist(), batch["shard"].to_pylist(), batch["words"].to_pylist(), strict=True):
+                words = _unpack(packed)
                 if at != shard:
                     shard, known, flat = at, {}, flat[:0]
                     starts, lengths = starts[:0], lengths[:0]
@@ -189,8 +199,8 @@ def _encode_shards(path: str):
                         "block": pa.array([block], pa.int64()),
                         "shard": pa.array([at], pa.int32()),
                         "check": pa.array([_checksum(words)], pa.int64()),
-                        "lengths": pa.array([taken.astype("<u4").tobytes()], pa.binary()),
-                        "token_ids": pa.array([ids.astype("<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4").tobytes()], pa.binary()),
+                        "lengths": pa.array([zstandard.compress(taken.astype("<u4").tobytes(), 3)], pa.binary()),
+                        "token_ids": pa.array([zstandard.compress(ids.astype("<u4").tobytes(), 3)], pa.binary()),
                     }
                 )
 
@@ -215,9 +225,8 @@ def _join_block(path: str, shards: int, out):
             for shard, words in _by_shard(index, shards).items():
                 k = got.get(shard)
                 if k is not None and coded["check"][k].as_py() == _checksum(words):
-                    taken = np.frombuffer(coded["lengths"][k].as_py(), dtype="<u4").astype(np.int64)
-                    blob = coded["token_ids"][k].as_py()
-                    part = np.frombuffer(blob, dtype="<u2" if len(blob) == 2 * taken.sum() else "<u4")
+                    taken = np.frombuffer(zstandard.decompress(coded["lengths"][k].as_py()), dtype="<u4").astype(np.int64)
+                    part = np.frombuffer(zstandard.decompress(coded["token_ids"][k].as_py()), dtype="<u4")
                 else:
                     part, taken = encode_words(words, path)
                     taken = taken.astype(np.int64)
@@ -287,7 +296,7 @@ def encode(docs: DataFrame, path: str | None = None, digests: bool = False, bloc
     path = path or public_tokenizers.path(TOKENIZER)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = common.partitions(spark, 2 * (1 + common.text_bytes(docs) // block_bytes))
-    words = docs.mapInArrow(_block_words(n, block_bytes), "block long, shard int, words array<string>")
+    words = docs.mapInArrow(_block_words(n, block_bytes), "block long, shard int, words binary")
     coded = (
         words.repartition(n, "shard")
         .sortWithinPartitions("shard")
