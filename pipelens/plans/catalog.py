@@ -3,15 +3,131 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pipelens import findings
+from pipelens.operators import attributes, external, graph, heights, hierarchy, network, reports, summaries, topology  # noqa: F401  (rules register themselves)
+from pipelens.plans import oracles, projection
+from pipelens.plans.oracles import COMMON, GRAPH
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _rule(rule_id: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.run(rule_id, projection.tables(spark, sf_dir))
+
+
+def _on(f: Callable, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query of the projected tables."""
+    return f(projection.tables(spark, sf_dir))
+
+
+def _report(f: Callable, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return f(projection.report(spark, sf_dir))
+
+
+def _patterns(spark: SparkSession) -> DataFrame:
+    rows = [("M1", "error", False, True), ("M1", "pur", True, True), ("M2", "s", True, False), ("M3", "absent", False, True)]
+    return spark.createDataFrame(rows, "mapping string, shape string, prefix boolean, required boolean")
+
+
+#: The same patterns for DuckDB.
+PATTERNS = "(VALUES ('M1', 'error', false, true), ('M1', 'pur', true, true), ('M2', 's', true, false), ('M3', 'absent', false, true)) p(mapping, shape, prefix, required)"
+HITS = f"SELECT mapping, cfk, required, count(*) AS n, count(DISTINCT focus_node) AS objects, string_agg(DISTINCT source, ',' ORDER BY source) AS shapes FROM report r JOIN {PATTERNS} ON CASE WHEN prefix THEN starts_with(source, shape) ELSE source = shape END GROUP BY ALL"
+
+
+def _evidence(r: DataFrame) -> DataFrame:
+    return reports.evidence(r, _patterns(r.sparkSession))
+
+
+def _verdicts(r: DataFrame) -> DataFrame:
+    patterns = _patterns(r.sparkSession)
+    return reports.verdicts(reports.evidence(r, patterns), patterns)
+
+
+def _early_late(r: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return r.where("early"), r.where("not early")
+
+
+def _reached(t) -> DataFrame:
+    ends = t.node.where(t.is_a("Gemaal")).select(F.col("node_id").alias("id"))
+    return graph.reaching(network.edges(t).select("a", "b"), ends).select(F.col("id").alias("node_id"))
+
+
+def _closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations and regions, and orders below customers below nations, as one class tree."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("N"), "n_nationkey").alias("child"), F.concat(F.lit("R"), "n_regionkey").alias("parent"))
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("C"), "c_custkey").alias("child"), F.concat(F.lit("N"), "c_nationkey").alias("parent"))
+    return hierarchy.closure(nation.unionByName(customer))
+
+
+CLOSURE = """
+WITH RECURSIVE e AS (SELECT concat('N', n_nationkey) AS child, concat('R', n_regionkey) AS parent FROM nation UNION ALL SELECT concat('C', c_custkey), concat('N', c_nationkey) FROM customer),
+c(root, cls) AS (SELECT parent, parent FROM e UNION SELECT c.root, e.child FROM c JOIN e ON e.parent = c.cls)
+SELECT root, cls FROM c
+"""
+
+_NETWORK: dict[str, tuple[Callable, str | None]] = {
+    "graph_1": (_reached, f"{COMMON}{GRAPH}, got(id) AS (SELECT node_id FROM node WHERE cls = 'Gemaal' UNION SELECT e.a FROM edge e JOIN got ON e.b = got.id) SELECT id AS node_id FROM got"),
+    "graph_2": (network.components, f"{COMMON}{GRAPH} SELECT node_id, component FROM comp"),
+    "graph_3": (
+        lambda t: graph.strong_components(network.edges(t).select("a", "b")),
+        f"{COMMON}{GRAPH}, go(a, b) AS (SELECT a, b FROM edge UNION SELECT go.a, e.b FROM go JOIN edge e ON e.a = go.b) SELECT x.a AS id, min(x.b) AS component FROM go x JOIN go y ON x.a = y.b AND x.b = y.a GROUP BY 1",
+    ),
+    "graph_4": (summaries.component_attributes, f"{COMMON}{GRAPH} {summaries.COMPONENTS_SQL}"),
+    "agg_5": (summaries.per_pair, f"{COMMON} SELECT least(start_id, end_id) AS a, greatest(start_id, end_id) AS b, count(*) AS n FROM conduit GROUP BY ALL"),
+    "agg_6": (summaries.per_node, f"{COMMON} SELECT node_id, count(*) AS n, min(bob) AS low, max(bob) AS high FROM ends GROUP BY 1"),
+    "agg_9": (summaries.rounding, f"{COMMON} {summaries.ROUNDING_SQL}"),
+    "agg_14": (summaries.rising_share, f"{COMMON} SELECT cls, count(*) AS n, count(*) FILTER (bob_end - bob_start > 0.01) AS rising FROM grav WHERE bob_start IS NOT NULL AND bob_end IS NOT NULL GROUP BY 1"),
+    "agg_17": (summaries.dead_ends, f"{COMMON} SELECT cls, count(*) AS n FROM node WHERE node_id IN (SELECT end_id FROM grav) AND node_id NOT IN (SELECT start_id FROM grav) GROUP BY 1"),
+    "win_2": (summaries.numbered_labels, f"{COMMON} {summaries.LABELS_SQL}"),
+    "mod_19": (summaries.node_systems, f"{COMMON} SELECT node_id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS systems FROM inc JOIN kind USING (conduit_id) WHERE kind IS NOT NULL GROUP BY 1"),
+    "snk_7": (summaries.extent, f"{COMMON} SELECT 'node' AS layer, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM node UNION ALL SELECT 'conduit', min(least(x1, x2, coalesce(xm, x1))), min(least(y1, y2, coalesce(ym, y1))), max(greatest(x1, x2, coalesce(xm, x1))), max(greatest(y1, y2, coalesce(ym, y1))) FROM conduit"),
+    "f_17": (summaries.midpoints, None),
+}
+
+_REPORTS: dict[str, tuple[Callable, str]] = {
+    "agg_1": (
+        reports.messages,
+        f"""{COMMON} SELECT cfk, CASE WHEN grouping(source) = 0 AND grouping(object_type) = 0 THEN 'both' WHEN grouping(source) = 0 THEN 'source' ELSE 'object_type' END AS "grouping", source, object_type,
+        count(*) AS n, count(*) FILTER (severity = 'Violation') AS errors, count(*) FILTER (severity = 'Warning') AS warnings FROM report GROUP BY GROUPING SETS ((cfk, source), (cfk, object_type), (cfk, source, object_type))""",
+    ),
+    "agg_2": (reports.totals, f"{COMMON} SELECT cfk, count(*) AS n, count(*) FILTER (severity = 'Violation') AS errors, count(*) FILTER (severity = 'Warning') AS warnings FROM report GROUP BY 1"),
+    "cov_1": (_evidence, f"{COMMON} {HITS}"),
+    "cov_2": (_verdicts, f"{COMMON} SELECT mapping, CASE WHEN NOT bool_or(required) THEN 'unverifiable' WHEN coalesce(max(hit), 0) = 1 THEN 'touched' ELSE 'untouched' END AS verdict FROM {PATTERNS} LEFT JOIN (SELECT mapping, max(required::INT) AS hit FROM ({HITS}) GROUP BY 1) USING (mapping) GROUP BY 1"),
+    "cmp_1": (
+        lambda r: reports.delta(*_early_late(r), "cfk", "source"),
+        f"{COMMON} SELECT cfk, source, count(*) FILTER (early) AS earlier, count(*) FILTER (NOT early) AS later, count(*) FILTER (NOT early) - count(*) FILTER (early) AS difference FROM report GROUP BY ALL",
+    ),
+    "cmp_2": (
+        lambda r: reports.object_changes(*_early_late(r)),
+        f"{COMMON} SELECT source, focus_node, CASE WHEN bool_and(early) THEN 'resolved' WHEN bool_or(early) THEN 'remaining' ELSE 'new' END AS status FROM report GROUP BY 1, 2",
+    ),
+    "cmp_3": (
+        lambda r: reports.object_changes(*_early_late(r)).groupBy("source", "status").agg(F.count("*").alias("n")),
+        f"{COMMON} SELECT source, status, count(*) AS n FROM (SELECT source, focus_node, CASE WHEN bool_and(early) THEN 'resolved' WHEN bool_or(early) THEN 'remaining' ELSE 'new' END AS status FROM report GROUP BY 1, 2) GROUP BY 1, 2",
+    ),
+}
+
+#: Rules whose exact answer SQL does not give; tests compare them with brute force.
+_WITHOUT_SQL = ("TOP-006", "TOP-007", "TOP-017", "BTR-006", "ADM-003")
+
+
+def _name(rule_id: str) -> str:
+    return rule_id.lower().replace("-", "_")
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    found: dict[str, Query] = {_name(r): partial(_rule, r) for r in (*oracles.BODIES, *_WITHOUT_SQL)}
+    found |= {name: partial(_on, f) for name, (f, _) in _NETWORK.items()}
+    found |= {name: partial(_report, f) for name, (f, _) in _REPORTS.items()}
+    return found | {"hier_1": _closure}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = {_name(r): oracles.finding_sql(r, findings.RULES[r][0]) for r in oracles.BODIES}
+    found |= {name: sql for name, (_, sql) in (_NETWORK | _REPORTS).items() if sql}
+    return found | {"hier_1": CLOSURE}
