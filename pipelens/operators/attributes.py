@@ -69,6 +69,38 @@ def manhole_without_function(t):
     return out
 
 
+@rule("ADM-008", "W", "consistency")
+def unconnected_parts(t):
+    """Network nodes of at least two part nodes that no connection (a, b, in both directions) links."""
+    none = t.node.where("false").select(F.col("node_id").alias("object_id"), F.lit(0).alias("value"))
+    if t.part is None or t.connection is None:
+        return none
+    parts = t.part.join(t.node.select(F.col("node_id").alias("child_id")), "child_id", "left_semi")
+    many = parts.groupBy("parent_id").agg(F.count("*").alias("value")).where("value >= 2")
+    left, right = parts.select("parent_id", F.col("child_id").alias("a")), parts.select("parent_id", F.col("child_id").alias("b"))
+    joined = t.connection.join(left, "a").join(right, ["parent_id", "b"]).select("parent_id").distinct()
+    return many.join(joined, "parent_id", "left_anti").select(F.col("parent_id").alias("object_id"), "value")
+
+
+@rule("ADM-009", "W", "consistency")
+def conduit_on_whole_node(t):
+    """Ends coupled to a node that has compartments, by side."""
+    if t.part is None:
+        return t.node.where("false").select(F.col("node_id").alias("object_id"))
+    whole = t.part.where(t.is_a("Compartiment", types="child_types")).select(F.col("parent_id").alias("node_id")).distinct()
+    return t.ends.join(whole, "node_id", "left_semi").select(F.col("conduit_id").alias("object_id"), F.col("node_id").alias("object2_id"), F.col("side").alias("detail"))
+
+
+@rule("RVZ-007", "W", "completeness")
+def tank_without_size(t):
+    """Tanks without any size or volume: the sizes of the node, or an aspect of these kinds; fixed values."""
+    kinds = ["Inhoud", "NettoBerging", "NuttigeBerging", "BreedteBouwwerk", "LengteBouwwerk", "HoogteBouwwerk"]
+    bare = t.node.where(t.is_a(*config.TANK) & F.col("width_mm").isNull() & F.col("height_mm").isNull()).select(F.col("node_id").alias("object_id"))
+    if t.aspect is None:
+        return bare
+    return bare.join(t.aspect.where(F.col("kind").isin(kinds)).select("object_id"), "object_id", "left_anti")
+
+
 @rule("ATTR-001", "F", "plausibility")
 def size_for_material(t):
     sizes = lookup(t, config.SIZES, "material string, low int, high int")

@@ -74,14 +74,8 @@ def overlapping_lines(t):
     """
     tol = t.cfg.overlap_tolerance
     pairs = spatial.segment_pairs(spatial.line_segments(t.conduit, "conduit_id"), tol, CELL)
-    ax, ay, bx, by = (F.col(f"a_{c}") for c in ("x1", "y1", "x2", "y2"))
-    n = g.distance(ax, ay, bx, by)
-    ux, uy = (bx - ax) / F.nullif(F.col("n"), F.lit(0.0)), (by - ay) / F.nullif(F.col("n"), F.lit(0.0))
-    # The other segment in the frame of the first: s along it, d across it.
-    s1, d1 = (F.col("b_x1") - ax) * ux + (F.col("b_y1") - ay) * uy, (F.col("b_y1") - ay) * ux - (F.col("b_x1") - ax) * uy
-    s2, d2 = (F.col("b_x2") - ax) * ux + (F.col("b_y2") - ay) * uy, (F.col("b_y2") - ay) * ux - (F.col("b_x2") - ax) * uy
-    cut = pairs.withColumn("n", n).where("n > 0").select("a_id", "b_id", "a_seq", "n", s1.alias("s1"), d1.alias("d1"), s2.alias("s2"), d2.alias("d2"))
-    near = _stadium(cut, tol).where("hi > lo")
+    near = pairs.select("a_id", "b_id", "a_seq", interval(spatial.segment_columns("a"), spatial.segment_columns("b"), tol).alias("i"))
+    near = near.select("a_id", "b_id", "a_seq", "i.lo", "i.hi").where("hi > lo")
     order = Window.partitionBy("a_id", "b_id", "a_seq").orderBy("lo", "hi")
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     piece = F.greatest(F.lit(0.0), F.col("hi") - F.greatest("lo", F.coalesce(reach, F.col("lo"))))
@@ -89,26 +83,52 @@ def overlapping_lines(t):
     return sums.where(F.col("value") >= t.cfg.overlap_length).select(F.col("a_id").alias("object_id"), F.col("b_id").alias("object2_id"), "value", F.lit(t.cfg.overlap_length).alias("threshold"))
 
 
-def _stadium(cut: DataFrame, tol: float) -> DataFrame:
-    """Interval [lo, hi] of the axis 0..n within ``tol`` of the segment (s1, d1)-(s2, d2)."""
-    length = g.distance(F.col("s1"), F.col("d1"), F.col("s2"), F.col("d2"))
-    cut = cut.withColumn("len", length)
-    whole = F.nullif(F.col("len"), F.lit(0.0))
-    cut = cut.withColumn("cos", (F.col("s2") - F.col("s1")) / whole).withColumn("sin", (F.col("d2") - F.col("d1")) / whole)
-    cos, sin = F.col("cos"), F.col("sin")
-    disc = lambda s, d, sign: F.when(F.abs(d) <= tol, s + sign * F.sqrt(F.greatest(F.lit(0.0), tol * tol - d * d)))
-    # Where the axis is within tol of the infinite line, limited to where the foot falls on the segment.
-    foot = lambda k: F.col("s1") + (k * F.col("len") + F.col("d1") * sin) / F.nullif(cos, F.lit(0.0))
-    off = lambda e: F.when(F.abs(sin) > 1e-12, F.col("s1") - (F.col("d1") + e / F.nullif(cos, F.lit(0.0))) * cos / F.nullif(sin, F.lit(0.0)))
-    foot_lo, foot_hi = F.least(foot(0.0), foot(1.0)), F.greatest(foot(0.0), foot(1.0))
-    off_lo = F.when(F.abs(sin) > 1e-12, F.least(off(-tol), off(tol))).when(F.abs(F.col("d1")) <= tol, F.lit(-1e300)).otherwise(F.lit(1e300))
-    off_hi = F.when(F.abs(sin) > 1e-12, F.greatest(off(-tol), off(tol))).when(F.abs(F.col("d1")) <= tol, F.lit(1e300)).otherwise(F.lit(-1e300))
-    band_lo, band_hi = F.greatest(foot_lo, off_lo), F.least(foot_hi, off_hi)
-    band = (F.col("len") > 0) & (F.abs(cos) > 1e-12) & (band_hi >= band_lo)
-    lo = F.least(F.when(band, band_lo), disc(F.col("s1"), F.col("d1"), -1), disc(F.col("s2"), F.col("d2"), -1))
-    hi = F.greatest(F.when(band, band_hi), disc(F.col("s1"), F.col("d1"), 1), disc(F.col("s2"), F.col("d2"), 1))
-    found = cut.withColumn("lo", lo).withColumn("hi", hi).where("lo is not null")  # greatest and least pass over nulls
-    return found.withColumn("lo", F.greatest("lo", F.lit(0.0))).withColumn("hi", F.least("hi", "n"))
+def interval(a: list, b: list, tol: float):
+    """Struct (lo, hi): the part of segment ``a``, measured from its start, within ``tol`` of segment ``b``; nulls if none."""
+
+    def frame(n):
+        """The other segment as seen along the first: s along it, d across it."""
+        ux, uy = (a[2] - a[0]) / F.nullif(n, F.lit(0.0)), (a[3] - a[1]) / F.nullif(n, F.lit(0.0))
+        along = lambda x, y: (x - a[0]) * ux + (y - a[1]) * uy
+        across = lambda x, y: (y - a[1]) * ux - (x - a[0]) * uy
+        return F.struct(n.alias("n"), along(b[0], b[1]).alias("s1"), across(b[0], b[1]).alias("d1"), along(b[2], b[3]).alias("s2"), across(b[2], b[3]).alias("d2"))
+
+    return g.let(g.distance(*a), lambda n: g.let(frame(n), lambda f: _stadium(f, tol)))
+
+
+def _stadium(f, tol: float):
+    """Struct (lo, hi) of the axis 0..n within ``tol`` of the segment (s1, d1)-(s2, d2)."""
+    length = g.distance(f["s1"], f["d1"], f["s2"], f["d2"])
+
+    def turned(n):
+        whole = F.nullif(n, F.lit(0.0))
+        return F.struct(n.alias("len"), ((f["s2"] - f["s1"]) / whole).alias("cos"), ((f["d2"] - f["d1"]) / whole).alias("sin"))
+
+    def ends(k):
+        far = F.lit(1e300)
+        level, upright = F.abs(k["sin"]) <= 1e-12, F.abs(k["cos"]) <= 1e-12
+        # Where the foot on the other segment falls within it, and where its line is near enough.
+        foot = [f["s1"] + (e * k["len"] + f["d1"] * k["sin"]) / F.when(~upright, k["cos"]) for e in (0.0, 1.0)]
+        met = (-f["d1"] * k["sin"]).between(F.lit(0.0), k["len"])
+        foot_lo = F.when(upright, F.when(met, -far).otherwise(far)).otherwise(F.least(*foot))
+        foot_hi = F.when(upright, F.when(met, far).otherwise(-far)).otherwise(F.greatest(*foot))
+        line = [f["s1"] - (f["d1"] * k["cos"] + e) / F.when(~level, k["sin"]) for e in (-tol, tol)]
+        line_lo = F.when(level, F.when(F.abs(f["d1"]) <= tol, -far).otherwise(far)).otherwise(F.least(*line))
+        line_hi = F.when(level, F.when(F.abs(f["d1"]) <= tol, far).otherwise(-far)).otherwise(F.greatest(*line))
+        disc = lambda s, d, sign: F.when(F.abs(d) <= tol, s + sign * F.sqrt(F.greatest(F.lit(0.0), tol * tol - d * d)))
+        discs = lambda sign: [disc(f["s1"], f["d1"], sign), disc(f["s2"], f["d2"], sign)]
+        return F.struct(
+            F.greatest(foot_lo, line_lo).alias("band_lo"), F.least(foot_hi, line_hi).alias("band_hi"),
+            F.least(*discs(-1)).alias("disc_lo"), F.greatest(*discs(1)).alias("disc_hi"),
+        )
+
+    def joined(e):
+        band = e["band_hi"] >= e["band_lo"]
+        lo, hi = F.least(F.when(band, e["band_lo"]), e["disc_lo"]), F.greatest(F.when(band, e["band_hi"]), e["disc_hi"])
+        # greatest and least pass over nulls, so an interval that is not there must stay null.
+        return F.struct(F.when(lo.isNotNull(), F.greatest(lo, F.lit(0.0))).alias("lo"), F.when(hi.isNotNull(), F.least(hi, f["n"])).alias("hi"))
+
+    return g.let(length, lambda n: g.let(turned(n), lambda k: g.let(ends(k), joined)))
 
 
 @rule("TOP-007", "F", "topology")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipelens import findings
-from pipelens.operators import attributes, external, graph, heights, hierarchy, network, reports, summaries, topology  # noqa: F401  (rules register themselves)
+from pipelens.operators import attributes, enrich, external, graph, heights, hierarchy, network, reports, summaries, topology  # noqa: F401  (rules register themselves)
 from pipelens.plans import oracles, projection
 from pipelens.plans.oracles import COMMON, GRAPH
 
@@ -112,6 +112,69 @@ _REPORTS: dict[str, tuple[Callable, str]] = {
     ),
 }
 
+#: Rules whose findings the queries on findings are about: labels, sizes, levels, parallels and crowding.
+_SOME = ("ADM-002", "ATTR-001", "HGT-004", "TOP-013", "TOP-014")
+
+
+def _some(t) -> DataFrame:
+    return findings.run_all(t, list(_SOME))
+
+
+def _placed(t) -> DataFrame:
+    return _some(t).join(enrich.locations(t), "object_id", "left")
+
+
+def _judged(t) -> DataFrame:
+    """Findings with the priority of their object and whether their rule is systemic."""
+    found = _some(t)
+    critical = t.node.where(t.is_a(*t.cfg.critical)).select(F.col("node_id").alias("object_id"), F.lit(True).alias("critical"))
+    systemic = enrich.outcomes(found, t).select("rule_id", "systemic")
+    return found.join(critical, "object_id", "left").join(F.broadcast(systemic), "rule_id", "left").withColumn(
+        "priority", F.when((F.col("severity") == "F") & F.coalesce("critical", F.lit(False)), 1).when(F.col("severity") == "F", 2).otherwise(3)
+    )
+
+
+def _found_sql() -> str:
+    none = "SELECT NULL::VARCHAR AS object_id, NULL::VARCHAR AS object2_id, NULL::VARCHAR AS detail, NULL::DOUBLE AS value, NULL::DOUBLE AS threshold, NULL::VARCHAR AS rule_id, NULL::VARCHAR AS severity WHERE false"
+    parts = " UNION ALL BY NAME ".join(f"SELECT *, '{r}' AS rule_id, '{findings.RULES[r][0]}' AS severity FROM ({oracles.BODIES[r][1]})" for r in _SOME)
+    return f"""{COMMON}, found AS (SELECT *, substr(sha256(concat_ws('|', rule_id, object_id, coalesce(object2_id, ''), coalesce(detail, ''))), 1, 16) AS finding_id FROM ({none} UNION ALL BY NAME {parts})),
+outcome AS (SELECT rule_id, severity, status, coalesce(examined, 0) AS examined, coalesce(n, 0) AS found, 0::BIGINT AS omitted, round(100 * coalesce(n, 0) / nullif(examined, 0), 2) AS percentage, coalesce(coalesce(n, 0) / nullif(examined, 0) > 0.8, false) AS systemic
+  FROM (VALUES {_rule_values()}) r(rule_id, severity, status, population) LEFT JOIN (SELECT rule_id, count(*) AS n FROM found GROUP BY 1) USING (rule_id)
+  LEFT JOIN (SELECT 'node' AS population, count(*) AS examined FROM node UNION ALL SELECT 'gravity', count(*) FROM grav UNION ALL SELECT 'conduit', count(*) FROM conduit) USING (population)),
+judged AS (SELECT f.*, systemic, CASE WHEN f.severity = 'F' AND cls IN ('Overstortput', 'Bergbezinkbassin', 'Gemaal') THEN 1 WHEN f.severity = 'F' THEN 2 ELSE 3 END AS priority
+  FROM found f LEFT JOIN node ON node_id = object_id LEFT JOIN outcome USING (rule_id)),
+line AS (SELECT *, sqrt((x1 - xm) * (x1 - xm) + (y1 - ym) * (y1 - ym)) AS l1, sqrt((xm - x2) * (xm - x2) + (ym - y2) * (ym - y2)) AS l2 FROM conduit),
+place AS (SELECT node_id AS object_id, x, y FROM node UNION ALL SELECT conduit_id,
+  CASE WHEN xm IS NULL THEN x1 + 0.5e0 * (x2 - x1) WHEN (l1 + l2) / 2 <= l1 THEN x1 + (l1 + l2) / 2 / l1 * (xm - x1) ELSE xm + ((l1 + l2) / 2 - l1) / l2 * (x2 - xm) END,
+  CASE WHEN xm IS NULL THEN y1 + 0.5e0 * (y2 - y1) WHEN (l1 + l2) / 2 <= l1 THEN y1 + (l1 + l2) / 2 / l1 * (ym - y1) ELSE ym + ((l1 + l2) / 2 - l1) / l2 * (y2 - ym) END FROM line)
+"""
+
+
+def _rule_values() -> str:
+    rows = [f"('{r}', '{s}', 'ran', '{enrich._population(r)}')" for r, (s, _, _) in findings.RULES.items()]
+    return ", ".join(rows + [f"('{r}', 'W', 'skeleton', NULL)" for r in enrich.SKELETONS])
+
+
+_FINDINGS: dict[str, tuple[Callable, str]] = {
+    "snk_1": (lambda t: _some(t).withColumn("category", enrich.category(F.col("rule_id"))), "SELECT *, split_part(rule_id, '-', 1) AS category FROM (SELECT finding_id, rule_id, severity, object_id, object2_id, detail, round(value, 8) AS value, round(threshold, 8) AS threshold FROM found)"),
+    "snk_2": (
+        lambda t: enrich.per_object(_judged(t)),
+        "SELECT object_id, min(severity) AS worst, count(*) FILTER (severity = 'F') AS errors, count(*) FILTER (severity = 'W') AS warnings, count(*) FILTER (systemic) AS systemic, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules, count(DISTINCT rule_id) AS n_rules, min(priority) AS priority FROM judged GROUP BY 1",
+    ),
+    "snk_5": (lambda t: enrich.outcomes(_some(t), t), "SELECT * FROM outcome"),
+    "fnd_7": (lambda t: _judged(t).groupBy("rule_id", "priority", "systemic").agg(F.count("*").alias("n")), "SELECT rule_id, priority, systemic, count(*) AS n FROM judged GROUP BY ALL"),
+    "fnd_8": (lambda t: _placed(t).select("finding_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y")), "SELECT finding_id, round(x, 3) AS x, round(y, 3) AS y FROM found LEFT JOIN place USING (object_id)"),
+    "fnd_11": (lambda t: enrich.stacked_objects(_some(t), t.cfg.stacked), "SELECT object_id, count(DISTINCT rule_id) AS n_rules FROM found GROUP BY 1 HAVING count(DISTINCT rule_id) >= 3"),
+    "topk_3": (
+        lambda t: enrich.shown(_some(t), 25).select("rule_id", "finding_id"),
+        "SELECT rule_id, finding_id FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY finding_id) AS r FROM found) WHERE r <= 25",
+    ),
+    "win_1": (
+        lambda t: enrich.stacks(_placed(t)).select("finding_id", "stack_size", "stack_number"),
+        "SELECT finding_id, count(*) OVER (PARTITION BY round(x * 1000), round(y * 1000)) AS stack_size, row_number() OVER (PARTITION BY round(x * 1000), round(y * 1000) ORDER BY finding_id) AS stack_number FROM found JOIN place USING (object_id)",
+    ),
+}
+
 #: Rules whose exact answer SQL does not give; tests compare them with brute force.
 _WITHOUT_SQL = ("TOP-006", "TOP-007", "TOP-017", "BTR-006", "ADM-003")
 
@@ -123,6 +186,7 @@ def _name(rule_id: str) -> str:
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {_name(r): partial(_rule, r) for r in (*oracles.BODIES, *_WITHOUT_SQL)}
     found |= {name: partial(_on, f) for name, (f, _) in _NETWORK.items()}
+    found |= {name: partial(_on, f) for name, (f, _) in _FINDINGS.items()}
     found |= {name: partial(_report, f) for name, (f, _) in _REPORTS.items()}
     return found | {"hier_1": _closure}
 
@@ -130,4 +194,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     found = {_name(r): oracles.finding_sql(r, findings.RULES[r][0]) for r in oracles.BODIES}
     found |= {name: sql for name, (_, sql) in (_NETWORK | _REPORTS).items() if sql}
+    some = _found_sql()
+    found |= {name: some + sql for name, (_, sql) in _FINDINGS.items()}
     return found | {"hier_1": CLOSURE}
