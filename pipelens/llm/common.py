@@ -7,6 +7,8 @@ import tempfile
 import uuid
 import zipfile
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,3 +96,15 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
 def words_of(text: str | None) -> list[bytes]:
     """Words in UTF-8 with A-Z lower-cased; bytes split at exactly the contracts' white space."""
     return text.encode().lower().split() if text else []
+
+
+def slices(batches, size: int = 1 << 20):
+    """The rows of Arrow batches, some ``size`` bytes of text at a time, so that a task's memory does not follow the batch size."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = 0
+        ends = np.cumsum(lengths)
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+            yield batch.slice(at, to - at)
+            at = to

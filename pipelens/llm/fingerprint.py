@@ -115,7 +115,7 @@ def _neighbours(batches):
     """Rows come by range and descending id; a range ends with copies of the next range's first row."""
     hashes = WordHashes()
     held = None
-    for batch in batches:
+    for batch in common.slices(batches):
         out = {c: [] for c in ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_shingles", "contained")}
         for doc_id, text, part, copy in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "part", "copy")), strict=True):
             text = text or ""

@@ -89,7 +89,7 @@ def features(ids: np.ndarray, lengths: np.ndarray, words: list[bytes]) -> tuple[
 
 def _count(batches):
     raw, target = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
-    for batch in batches:
+    for batch in common.slices(batches):
         ids, lengths, words = _batch_words(batch["text"].to_pylist())
         hashed, of = features(ids, lengths, words)
         raw += np.bincount(hashed, minlength=BUCKETS)
@@ -157,7 +157,7 @@ def line_repeats(text: str | None) -> int:
 def _judge(model, threshold: float):
     def run(batches):
         ratio = model.value
-        for batch in batches:
+        for batch in common.slices(batches):
             texts = batch["text"].to_pylist()
             ids, lengths, words = _batch_words(texts)
             hashed, of = features(ids, lengths, words)

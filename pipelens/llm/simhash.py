@@ -51,7 +51,7 @@ def simhash(text: str | None) -> int:
 
 
 def _fingerprints(batches):
-    for batch in batches:
+    for batch in common.slices(batches):
         h = np.fromiter(map(simhash, batch["text"].to_pylist()), dtype=np.uint64, count=batch.num_rows)
         yield pa.record_batch({"doc_id": batch["doc_id"], "fp": pa.array(h.view(np.int64), pa.int64())})
 

@@ -212,7 +212,7 @@ def fit(counts: np.ndarray, toxic: np.ndarray, ridge: float = 1.0, rounds: int =
 def _counts(stems):
     def run(batches):
         lexicon = Lexicon(stems)
-        for batch in batches:
+        for batch in common.slices(batches):
             rows = np.array([match_counts(t, lexicon) for t in batch["text"].to_pylist()]).reshape(-1, OUTPUTS)
             yield pa.record_batch({"counts": pa.array(rows.tolist(), pa.list_(pa.float64())), "toxic": batch["toxic"]})
 
@@ -222,7 +222,7 @@ def _counts(stems):
 def _scores(stems, weights):
     def run(batches):
         lexicon = Lexicon(stems)
-        for batch in batches:
+        for batch in common.slices(batches):
             rows = np.array([match_counts(t, lexicon) for t in batch["text"].to_pylist()]).reshape(-1, OUTPUTS)
             score = 1 / (1 + np.exp(-np.clip(weights[0] + _features(rows) @ weights[1:], -30, 30)))
             yield pa.record_batch({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": pa.array(score, pa.float64())})
