@@ -1 +1 @@
-"""See the modules of this folder."""
+"""Rules and the operators they are made of."""

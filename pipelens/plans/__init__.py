@@ -1 +1 @@
-"""See the modules of this folder."""
+"""The projected network, the query catalog and its SQL."""

@@ -1 +1 @@
-"""See the modules of this folder."""
+"""No streaming operators: all checks are batch jobs over tables."""
