@@ -145,8 +145,8 @@ judged AS (SELECT f.*, systemic, CASE WHEN f.severity = 'F' AND cls IN ('Oversto
   FROM found f LEFT JOIN node ON node_id = object_id LEFT JOIN outcome USING (rule_id)),
 line AS (SELECT *, sqrt((x1 - xm) * (x1 - xm) + (y1 - ym) * (y1 - ym)) AS l1, sqrt((xm - x2) * (xm - x2) + (ym - y2) * (ym - y2)) AS l2 FROM conduit),
 place AS (SELECT node_id AS object_id, x, y FROM node UNION ALL SELECT conduit_id,
-  CASE WHEN xm IS NULL THEN x1 + 0.5e0 * (x2 - x1) WHEN (l1 + l2) / 2 <= l1 THEN x1 + (l1 + l2) / 2 / l1 * (xm - x1) ELSE xm + ((l1 + l2) / 2 - l1) / l2 * (x2 - xm) END,
-  CASE WHEN xm IS NULL THEN y1 + 0.5e0 * (y2 - y1) WHEN (l1 + l2) / 2 <= l1 THEN y1 + (l1 + l2) / 2 / l1 * (ym - y1) ELSE ym + ((l1 + l2) / 2 - l1) / l2 * (y2 - ym) END FROM line)
+  coalesce(CASE WHEN xm IS NULL THEN x1 + 0.5e0 * (x2 - x1) WHEN (l1 + l2) / 2 <= l1 THEN x1 + (l1 + l2) / 2 / l1 * (xm - x1) ELSE xm + ((l1 + l2) / 2 - l1) / l2 * (x2 - xm) END, x1),
+  coalesce(CASE WHEN xm IS NULL THEN y1 + 0.5e0 * (y2 - y1) WHEN (l1 + l2) / 2 <= l1 THEN y1 + (l1 + l2) / 2 / l1 * (ym - y1) ELSE ym + ((l1 + l2) / 2 - l1) / l2 * (y2 - ym) END, y1) FROM line)
 """
 
 
