@@ -97,6 +97,10 @@ FROM events
 WITH = f"WITH RECURSIVE node AS ({NODE}), conduit AS ({CONDUIT}), feature AS ({FEATURE}), raster AS ({RASTER}), weir AS ({WEIR}), report AS ({REPORT})"
 
 
+#: The closure of the package's own class tree, computed once.
+_vocabulary: dict[str, set[str]] = {}
+
+
 def tables(spark: SparkSession, sf_dir: str, cfg: config.Config | None = None) -> Tables:
     """The network of a folder of the driver's tables."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderdate")
@@ -107,7 +111,10 @@ def tables(spark: SparkSession, sf_dir: str, cfg: config.Config | None = None) -
         "pts", F.when(F.col("xm").isNull(), F.array(point("x1", "y1"), point("x2", "y2"))).otherwise(F.array(point("x1", "y1"), point("xm", "ym"), point("x2", "y2")))
     )
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
+    if not _vocabulary:
+        _vocabulary.update(Tables(node=node, conduit=conduit, class_edge=class_tree(spark))._classes)
     return Tables(
+        vocabulary=_vocabulary,
         node=node,
         conduit=conduit,
         class_edge=class_tree(spark),
