@@ -3,8 +3,8 @@
 Two multinomials over BUCKETS hashed features are counted in one pass: the raw corpus over
 all documents, and the trusted target over documents that ``labels`` marks as good (a
 bounded set of SAMPLE labels, see there). Features of a text are its words, its word pairs
-and pairs of word shapes (letters, digits and symbols reduced to classes), so that layout
-and symbol junk is seen whatever its words. A text's score is the mean over its features of
+and pairs of word shapes (letters, digits and symbols reduced to classes, with a mark where
+a word stands twice), so that layout, symbol and repetition junk is seen whatever its words. A text's score is the mean over its features of
 log((target + PRIOR) / (expected from raw + PRIOR)). Every document is thresholded alike:
 score below THRESHOLD is rejected. The base rules reject very short and very repetitive
 texts before that.
@@ -38,7 +38,6 @@ MIN_WORDS = 20
 MAX_REPEAT = 30
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
-_CLASSES = [(re.compile(r"[A-Z]+"), "A"), (re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "0"), (re.compile(r"([^\w\s])\1+"), r"\1\1")]
 
 
 def shape(word: str) -> str:
@@ -82,7 +81,8 @@ def features(ids: np.ndarray, lengths: np.ndarray, words: list[bytes]) -> tuple[
     word = np.fromiter((zlib.crc32(w.lower()) for w in words), dtype=np.uint64, count=len(words))[ids]
     form = np.fromiter((zlib.crc32(shape(w.decode("utf-8", "replace")).encode()) for w in words), dtype=np.uint64, count=len(words))[ids]
     pair = of[1:] == of[:-1]
-    found = [_mix(word), _mix(_mix(word[:-1] + np.uint64(1 << 40)) + word[1:])[pair], _mix(_mix(form[:-1] + np.uint64(1 << 41)) + form[1:])[pair]]
+    again = (ids[1:] == ids[:-1]).astype(np.uint64) << np.uint64(42)
+    found = [_mix(word), _mix(_mix(word[:-1] + np.uint64(1 << 40)) + word[1:])[pair], _mix(_mix(form[:-1] + np.uint64(1 << 41)) + form[1:] + again)[pair]]
     hashed = np.concatenate(found) >> np.uint64(48)
     return (hashed % np.uint64(BUCKETS)).astype(np.int64), np.concatenate([of, of[1:][pair], of[1:][pair]])
 
@@ -102,7 +102,6 @@ def _count(batches):
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """The log-likelihood ratio of each bucket; BUCKETS numbers come to the driver."""
-    spark = docs.sparkSession
     trusted = (
         labels.where("quality = 1 and doc_id is not null")
         .select(F.col("doc_id").cast("long").alias("label_id"))
@@ -115,7 +114,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     at = sums["bucket"].to_numpy()
     raw[at], target[at] = sums["raw"].to_numpy(), sums["target"].to_numpy()
-    del spark
     if not target.sum():
         return np.zeros(BUCKETS)
     return np.log((target + PRIOR) / (raw * (target.sum() / raw.sum()) + PRIOR))

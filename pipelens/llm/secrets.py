@@ -75,9 +75,7 @@ def _spans(found: Column, kind: str) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """(row_id, doc_id, assign, access, hex, weak) of each row: the base spans and the weak parts with their roles."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    secret_value = F.regexp_extract(F.lit(""), ASSIGN, 2)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    del secret_value
     named = rows.select(
         "doc_id",
         F.xxhash64("text").alias("text_hash"),
