@@ -34,6 +34,8 @@ from . import common
 MIN_REVISIT = 100
 #: Bytes after which an archive is closed and the next begun.
 ARCHIVE_BYTES = 32 << 20
+#: Bytes given to the unpacker at a time; what it does not use is copied, so they are few.
+CHUNK = 1 << 15
 
 _VERSION = b"WARC/1.1\r\n"
 _GZIP = b"\x1f\x8b\x08"
@@ -92,18 +94,21 @@ def parse_at(data: bytes, at: int) -> tuple[list[dict], int]:
     if data[at : at + 3] != _GZIP:
         record, end = parse_record(data, at)
         return [record], end
-    unpack = zlib.decompressobj(31)
+    unpack, parts, end = zlib.decompressobj(31), [], at
     try:
-        plain = unpack.decompress(data[at:])
+        while not unpack.eof and end < len(data):
+            chunk = memoryview(data)[end : end + CHUNK]
+            parts.append(unpack.decompress(chunk))
+            end += len(chunk)
     except zlib.error as e:
         raise ValueError(f"member: {e}") from None
     if not unpack.eof:
         raise ValueError("member is cut")
-    records, here = [], 0
+    plain, records, here = b"".join(parts), [], 0
     while here < len(plain):
         record, here = parse_record(plain, here)
         records.append(record)
-    return records, len(data) - len(unpack.unused_data)
+    return records, end - len(unpack.unused_data)
 
 
 def salvage(data: bytes):
