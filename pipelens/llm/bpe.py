@@ -134,12 +134,10 @@ def _by_shard(words, shards: int) -> dict[int, list[str]]:
 
 
 def _distinct(texts: list[str]) -> dict[str, int]:
-    index: dict[str, int] = {}
+    found: dict[str, None] = {}
     for text in texts:
-        for word in split_words(text):
-            if word not in index:
-                index[word] = len(index)
-    return index
+        found.update(dict.fromkeys(split_words(text)))
+    return {word: k for k, word in enumerate(found)}
 
 
 def _block_words(shards: int, block_bytes: int):
@@ -246,7 +244,7 @@ def _encoded_rows(ids, texts, index, flat, starts, lengths, pieces, out) -> pa.T
     tables, at = [], 0
     while at < len(texts) or not tables:
         to, size = at, 0
-        while to < len(texts) and (to == at or size < 2 << 20):
+        while to < len(texts) and (to == at or size < 1 << 19):
             size += len(texts[to])
             to += 1
         words = [split_words(t) for t in texts[at:to]]
