@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,21 +112,22 @@ _REPORTS: dict[str, tuple[Callable, str]] = {
     ),
 }
 
-#: Rules whose findings the queries on findings are about: labels, sizes, levels, parallels and crowding.
+#: Rules that the SQL of the queries on findings has: labels, sizes, levels, parallels and crowding. The queries have all rules.
 _SOME = ("ADM-002", "ATTR-001", "HGT-004", "TOP-013", "TOP-014")
 
 
-def _some(t) -> DataFrame:
-    return findings.run_all(t, list(_SOME))
+def _all(t) -> DataFrame:
+    """Findings of every rule that can run. Each rule is a job of its own, as one plan of all of them would be too large."""
+    return reduce(DataFrame.unionByName, [graph.cut(findings.run(r, t)) for r in findings.runnable(t)])
 
 
 def _placed(t) -> DataFrame:
-    return _some(t).join(enrich.locations(t), "object_id", "left")
+    return _all(t).join(enrich.locations(t), "object_id", "left")
 
 
 def _judged(t) -> DataFrame:
     """Findings with the priority of their object and whether their rule is systemic."""
-    found = _some(t)
+    found = _all(t)
     critical = t.node.where(t.is_a(*t.cfg.critical)).select(F.col("node_id").alias("object_id"), F.lit(True).alias("critical"))
     systemic = enrich.outcomes(found, t).select("rule_id", "systemic")
     return found.join(critical, "object_id", "left").join(F.broadcast(systemic), "rule_id", "left").withColumn(
@@ -156,17 +157,17 @@ def _rule_values() -> str:
 
 
 _FINDINGS: dict[str, tuple[Callable, str]] = {
-    "snk_1": (lambda t: _some(t).withColumn("category", enrich.category(F.col("rule_id"))), "SELECT *, split_part(rule_id, '-', 1) AS category FROM (SELECT finding_id, rule_id, severity, object_id, object2_id, detail, round(value, 8) AS value, round(threshold, 8) AS threshold FROM found)"),
+    "snk_1": (lambda t: _all(t).withColumn("category", enrich.category(F.col("rule_id"))), "SELECT *, split_part(rule_id, '-', 1) AS category FROM (SELECT finding_id, rule_id, severity, object_id, object2_id, detail, round(value, 8) AS value, round(threshold, 8) AS threshold FROM found)"),
     "snk_2": (
         lambda t: enrich.per_object(_judged(t)),
         "SELECT object_id, min(severity) AS worst, count(*) FILTER (severity = 'F') AS errors, count(*) FILTER (severity = 'W') AS warnings, count(*) FILTER (systemic) AS systemic, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules, count(DISTINCT rule_id) AS n_rules, min(priority) AS priority FROM judged GROUP BY 1",
     ),
-    "snk_5": (lambda t: enrich.outcomes(_some(t), t), "SELECT * FROM outcome"),
+    "snk_5": (lambda t: enrich.outcomes(_all(t), t), "SELECT * FROM outcome"),
     "fnd_7": (lambda t: _judged(t).groupBy("rule_id", "priority", "systemic").agg(F.count("*").alias("n")), "SELECT rule_id, priority, systemic, count(*) AS n FROM judged GROUP BY ALL"),
     "fnd_8": (lambda t: _placed(t).select("finding_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y")), "SELECT finding_id, round(x, 3) AS x, round(y, 3) AS y FROM found LEFT JOIN place USING (object_id)"),
-    "fnd_11": (lambda t: enrich.stacked_objects(_some(t), t.cfg.stacked), "SELECT object_id, count(DISTINCT rule_id) AS n_rules FROM found GROUP BY 1 HAVING count(DISTINCT rule_id) >= 3"),
+    "fnd_11": (lambda t: enrich.stacked_objects(_all(t), t.cfg.stacked), "SELECT object_id, count(DISTINCT rule_id) AS n_rules FROM found GROUP BY 1 HAVING count(DISTINCT rule_id) >= 3"),
     "topk_3": (
-        lambda t: enrich.shown(_some(t), 25).select("rule_id", "finding_id"),
+        lambda t: enrich.shown(_all(t), 25).select("rule_id", "finding_id"),
         "SELECT rule_id, finding_id FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY finding_id) AS r FROM found) WHERE r <= 25",
     ),
     "win_1": (
