@@ -34,6 +34,14 @@ def properly_cross(a: list[Column], b: list[Column]) -> Column:
     return (s1 * s2 < 0) & (s3 * s4 < 0)
 
 
+def overlap(a: list[Column], b: list[Column]) -> Column:
+    """Whether two segments lie on one line and share a stretch of some length."""
+    on_line = (cross(*a, b[0], b[1]) == 0) & (cross(*a, b[2], b[3]) == 0) & (cross(*b, a[0], a[1]) == 0) & (cross(*b, a[2], a[3]) == 0)
+    lo = [F.greatest(F.least(a[i], a[i + 2]), F.least(b[i], b[i + 2])) for i in (0, 1)]
+    hi = [F.least(F.greatest(a[i], a[i + 2]), F.greatest(b[i], b[i + 2])) for i in (0, 1)]
+    return on_line & (lo[0] <= hi[0]) & (lo[1] <= hi[1]) & ((lo[0] < hi[0]) | (lo[1] < hi[1]))
+
+
 def segment_segment(a: list[Column], b: list[Column]) -> Column:
     """Distance of two segments: 0 where they cross, else the least of the ends' distances."""
     ends = F.least(

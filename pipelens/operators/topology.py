@@ -204,10 +204,29 @@ def conflicting_conduits(t):
 
 @rule("TOP-011", "W", "topology")
 def crossing_lines(t):
-    """Lines whose insides meet in points: segments that cross, or a vertex inside both, and no shared stretch."""
+    """Lines whose insides meet in points only: segments that cross, or a vertex inside the other line, and no shared stretch.
+
+    The two ends of an open line are not inside it; a closed line has no ends.
+    """
     pairs = spatial.segment_pairs(spatial.line_segments(t.conduit, "conduit_id"), 0.0, CELL)
-    found = pairs.where(g.properly_cross(spatial.segment_columns("a"), spatial.segment_columns("b")))
-    return found.select(F.col("a_id").alias("object_id"), F.col("b_id").alias("object2_id")).distinct()
+    a, b = spatial.segment_columns("a"), spatial.segment_columns("b")
+    same = g.overlap(a, b)
+    touch = F.filter(F.array(*[_touch(p, own, other) for own, other in ((a, b), (b, a)) for p in (own[:2], own[2:])]), lambda p: p.isNotNull())
+    seen = pairs.select("a_id", "b_id", g.properly_cross(a, b).alias("cross"), same.alias("same"), touch.alias("touch")).where("cross or same or size(touch) > 0")
+    # A point where segments touch counts unless it is an end of one of the lines.
+    ends = lambda side: t.conduit.select(
+        F.col("conduit_id").alias(f"{side}_id"), F.when(F.element_at("pts", 1) != F.element_at("pts", -1), F.array(F.element_at("pts", 1), F.element_at("pts", -1))).otherwise(F.array().cast("array<struct<x:double,y:double>>")).alias(f"{side}_ends")
+    )
+    met = seen.join(ends("a"), "a_id").join(ends("b"), "b_id")
+    inside = F.exists("touch", lambda p: ~F.exists(F.concat("a_ends", "b_ends"), lambda q: (p["x"] == q["x"]) & (p["y"] == q["y"])))
+    found = met.groupBy("a_id", "b_id").agg(F.max(F.col("cross") | inside).alias("meet"), F.max("same").alias("same")).where("meet and not same")
+    return found.select(F.col("a_id").alias("object_id"), F.col("b_id").alias("object2_id"))
+
+
+def _touch(p, own, other):
+    """The end ``p`` of the segment ``own`` where it lies on the segment ``other``, else null."""
+    on = (g.cross(*other, *p) == 0) & p[0].between(F.least(other[0], other[2]), F.greatest(other[0], other[2])) & p[1].between(F.least(other[1], other[3]), F.greatest(other[1], other[3]))
+    return F.when(on, F.struct(p[0].alias("x"), p[1].alias("y")))
 
 
 @rule("TOP-012", "F", "topology")
