@@ -7,9 +7,14 @@ so a repeated or lost task leaves no record twice.
 
 The reader takes members and plain records alike. A record must have a version line,
 headers, its full length, the closing blank lines, and a payload that fits its digest (a
-member also its CRC). After a failed check it searches for the next gzip member or version
-line that passes all checks, goes on from there, and logs the bytes between as a
-quarantined gap.
+member also its CRC). Digests are checked in hex or base32 of the algorithms of DIGESTS;
+a record with another digest is kept and noted as unchecked. After a failed check it
+searches for the next gzip member or version line that passes all checks, goes on from
+there, and logs the bytes between as a quarantined gap. The same search goes through the
+bytes unpacked from a member, also from one that is cut or damaged further on; its rows
+have the member's place, and the reason of a gap within it says which unpacked bytes. In
+such a member a record is taken only if another one follows it, and where the member is
+damaged, not only cut, only if its digest was checked.
 
 Defined results: a null html is the empty payload; a null url is empty; rows with the
 smallest page id of their payload are responses, also where that row is repeated; a null
@@ -19,6 +24,7 @@ an empty table gives no archives and no rows.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -37,9 +43,13 @@ ARCHIVE_BYTES = 32 << 20
 #: Bytes given to the unpacker at a time; what it does not use is copied, so they are few.
 CHUNK = 1 << 15
 
+#: Digests that are checked, by the name in the header.
+DIGESTS = {"md5": hashlib.md5, "sha1": hashlib.sha1, "sha256": hashlib.sha256, "sha384": hashlib.sha384, "sha512": hashlib.sha512}
+
 _VERSION = b"WARC/1.1\r\n"
 _GZIP = b"\x1f\x8b\x08"
 _CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+_HEADLINE = re.compile(rb"WARC/1\.[01]\r\n")
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n:]+:[^\r\n]*\r\n)*)\r\n")
 _URN = "urn:page:"
 
@@ -83,32 +93,92 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
         raise ValueError("record is cut or its length is wrong")
     fields["payload"] = data[head.end() : end]
     if fields.get("warc-type") != "revisit":
-        digest = hashlib.sha256(fields["payload"]).hexdigest()
-        if fields.get("warc-payload-digest", f"sha256:{digest}") != f"sha256:{digest}":
-            raise ValueError("payload does not fit its digest")
+        _check_digest(fields)
     return fields, end + 4
 
 
-def parse_at(data: bytes, at: int) -> tuple[list[dict], int]:
-    """The records of the member, or the plain record, that begins at ``at``."""
+def _check_digest(fields: dict) -> None:
+    """ValueError if the payload does not fit its digest; a digest that can't be checked is noted."""
+    if "warc-payload-digest" not in fields:
+        return
+    name, _, value = fields["warc-payload-digest"].partition(":")
+    algorithm = DIGESTS.get(name.strip().lower().replace("-", ""))
+    if algorithm is None:
+        fields["note"] = f"digest not checked: {name}"
+        return
+    # A payload digest of HTTP is of the entity, the block without its HTTP header.
+    block = fields["payload"]
+    bodies = [block]
+    if re.match(r"application/http\b", fields.get("content-type", "")) and b"\r\n\r\n" in block:
+        bodies.append(block.split(b"\r\n\r\n", 1)[1])
+    found = [algorithm(b).digest() for b in bodies]
+    if not any(value.strip().lower() in (d.hex(), base64.b32encode(d).decode().lower(), base64.b32encode(d).decode().rstrip("=").lower()) for d in found):
+        raise ValueError("payload does not fit its digest")
+    fields["checked"] = True
+
+
+def unpack(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """The bytes of the member that begins at ``at``, as far as they unpack, the place after it, and what is wrong with it."""
+    unpacker, parts, end = zlib.decompressobj(31), [], at
+    while not unpacker.eof and end < len(data):
+        chunk = memoryview(data)[end : end + CHUNK]
+        before = unpacker.copy()
+        try:
+            parts.append(unpacker.decompress(chunk))
+        except zlib.error as e:
+            # The bytes before the damage: the chunk again, byte by byte.
+            for k in range(len(chunk)):
+                try:
+                    parts.append(before.decompress(chunk[k : k + 1]))
+                except zlib.error:
+                    break
+            return b"".join(parts), end + k, f"member: {e}"
+        end += len(chunk)
+    if not unpacker.eof:
+        return b"".join(parts), end, "member is cut"
+    return b"".join(parts), end - len(unpacker.unused_data), ""
+
+
+def _plain(data: bytes):
+    """('record', start, end, fields) and ('gap', start, end, reason) over unpacked bytes, in order."""
+    at, gap, reason = 0, None, ""
+    while at < len(data):
+        try:
+            record, end = parse_record(data, at)
+        except ValueError as e:
+            if gap is None:
+                gap, reason = at, str(e)
+            found = _HEADLINE.search(data, at + 1)
+            at = found.start() if found else len(data)
+            continue
+        if gap is not None:
+            yield "gap", gap, at, reason
+            gap = None
+        yield "record", at, end, record
+        at = end
+    if gap is not None:
+        yield "gap", gap, len(data), reason
+
+
+def parse_at(data: bytes, at: int) -> tuple[list[tuple[str, dict | str]], int, str]:
+    """The records and gaps of the member, or the plain record, that begins at ``at``, the place after it, and what is wrong with the member.
+
+    ValueError if there is no sound record.
+    """
     if data[at : at + 3] != _GZIP:
         record, end = parse_record(data, at)
-        return [record], end
-    unpack, parts, end = zlib.decompressobj(31), [], at
-    try:
-        while not unpack.eof and end < len(data):
-            chunk = memoryview(data)[end : end + CHUNK]
-            parts.append(unpack.decompress(chunk))
-            end += len(chunk)
-    except zlib.error as e:
-        raise ValueError(f"member: {e}") from None
-    if not unpack.eof:
-        raise ValueError("member is cut")
-    plain, records, here = b"".join(parts), [], 0
-    while here < len(plain):
-        record, here = parse_record(plain, here)
-        records.append(record)
-    return records, end - len(unpack.unused_data)
+        return [("record", record)], end, ""
+    plain, end, wrong = unpack(data, at)
+    found = []
+    for kind, start, stop, what in _plain(plain):
+        if kind == "record" and wrong and not _HEADLINE.match(plain, stop):
+            kind, what = "gap", "no record follows in a cut or damaged member"
+        elif kind == "record" and wrong != "" and wrong != "member is cut" and not what.get("checked"):
+            kind, what = "gap", "record without a checked digest in a damaged member"
+        found.append((kind, what if kind == "record" else f"{what} (unpacked bytes {start} to {stop})"))
+    if not any(kind == "record" for kind, _ in found) and (found or wrong):
+        raise ValueError(wrong or found[0][1].rpartition(" (")[0])
+    return found, end, wrong
 
 
 def salvage(data: bytes):
@@ -116,23 +186,39 @@ def salvage(data: bytes):
     at, gap, reason = 0, None, ""
     while at < len(data):
         try:
-            records, end = parse_at(data, at)
+            found, end, wrong = parse_at(data, at)
         except ValueError as e:
             if gap is None:
                 gap, reason = at, str(e)
-            found = _CANDIDATE.search(data, at + 1)
-            at = found.start() if found else len(data)
+            near = _CANDIDATE.search(data, at + 1)
+            at = near.start() if near else len(data)
             continue
         if gap is not None:
             yield "gap", gap, at, reason
             gap = None
-        for record in records:
-            yield "record", at, end, record
+        if wrong:
+            # Sound members may begin before the place where the damage showed.
+            near = _CANDIDATE.search(data, at + 1)
+            while near and not _sound(data, near.start(), found):
+                near = _CANDIDATE.search(data, near.start() + 1)
+            end = near.start() if near else len(data)
+        for kind, what in found:
+            yield kind, at, end, what
+        if wrong:
+            yield "gap", at, end, wrong
         at = end
     if gap is not None:
         yield "gap", gap, len(data), reason
 
 
+def _sound(data: bytes, at: int, known: list) -> bool:
+    """Whether a member or record begins here that is not one of ``known``; packed bytes can hold records as they are."""
+    try:
+        return any(x[0] == "record" and x not in known for x in parse_at(data, at)[0])
+    except ValueError:
+        return False
+
+
 def _write(folder: str, archive_bytes: int):
     def run(batches):
         store, root = fs.FileSystem.from_uri(folder)
@@ -193,7 +279,7 @@ def _read(batches):
                 payload = record.get("payload")
                 for value, values in zip(
                     (
-                        kind, name, start, end, what if kind == "gap" else None, record.get("warc-type"), int(page[1]) if page else None, int(refers[1]) if refers else None,
+                        kind, name, start, end, what if kind == "gap" else record.get("note"), record.get("warc-type"), int(page[1]) if page else None, int(refers[1]) if refers else None,
                         record.get("warc-target-uri"), record.get("warc-payload-digest", "").removeprefix("sha256:") or None, payload.decode("utf-8", "replace") if payload is not None else None,
                         None if payload is None or record.get("warc-type") == "revisit" else len(payload),
                         None if payload is None or record.get("warc-type") == "revisit" else hashlib.sha256(payload).hexdigest(),
