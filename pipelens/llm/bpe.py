@@ -35,6 +35,8 @@ from . import common
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
+#: Words given to the encoder at a time.
+ENCODE_WORDS = 2048
 TOKENIZER = "byte_bpe_50k.json"
 
 _JOINED_SPACE = re.compile(r" (?:\s|\Z)")
@@ -85,9 +87,13 @@ def _pieces(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words one after the other, and how many each word has."""
-    got = [e.ids for e in _tokenizer(path).encode_batch_fast(words, add_special_tokens=False)] if words else []
-    lengths = np.fromiter(map(len, got), dtype=np.uint32, count=len(got))
-    return np.fromiter((i for ids in got for i in ids), dtype=np.uint32, count=int(lengths.sum())), lengths
+    flat, lengths = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.uint32)]
+    # What the library makes of a word is some hundred times its ids, so it gets some words at a time.
+    for at in range(0, len(words), ENCODE_WORDS):
+        got = [e.ids for e in _tokenizer(path).encode_batch_fast(words[at : at + ENCODE_WORDS], add_special_tokens=False)]
+        lengths.append(np.fromiter(map(len, got), dtype=np.uint32, count=len(got)))
+        flat.append(np.fromiter((i for ids in got for i in ids), dtype=np.uint32, count=int(lengths[-1].sum())))
+    return np.concatenate(flat), np.concatenate(lengths)
 
 
 def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,6 +223,7 @@ def _join_block(path: str, shards: int, out):
             for n in sizes:
                 texts.append(raw[at : at + n].decode())
                 at += n
+            del raw
             index = _distinct(texts)
             flat, starts, lengths = [], np.zeros(len(index), dtype=np.int64), np.zeros(len(index), dtype=np.int64)
             filled = 0
@@ -267,10 +274,11 @@ def _encoded_rows(ids, texts, index, flat, starts, lengths, pieces, out) -> pa.T
 
 
 def _out_ids(ids, token_ids, decoded) -> pa.Table:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in token_ids])]).astype(np.int32)
     return pa.table(
         {
             "doc_id": pa.array(ids, pa.int64()),
-            "token_ids": pa.array([x.tolist() for x in token_ids], pa.list_(pa.int32())),
+            "token_ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(token_ids).astype(np.int32) if token_ids else np.zeros(0, dtype=np.int32))),
             "decoded": pa.array([x.decode(errors="replace") for x in decoded], pa.string()),
         }
     )

@@ -152,33 +152,40 @@ def line_repeats(text: str | None) -> int:
     return len(lines) - len(set(lines))
 
 
+def _judged(texts: list[str | None], ratio: np.ndarray, threshold: float) -> dict[str, pa.Array]:
+    """Counts, score and verdict of some texts."""
+    ids, lengths, words = _batch_words(texts)
+    hashed, of = features(ids, lengths, words)
+    n = np.bincount(of, minlength=len(texts))
+    score = np.bincount(of, weights=ratio[hashed], minlength=len(texts)) / np.maximum(n, 1)
+    chars = np.fromiter((len(w.decode()) for w in words), dtype=np.int64, count=len(words))
+    text_of = np.repeat(np.arange(len(texts)), lengths)
+    repeat = repeated_words(ids, lengths)
+    failed = (lengths < MIN_WORDS) | (100 * repeat > MAX_REPEAT * lengths)
+    return {
+        "n_words": pa.array(lengths, pa.int64()),
+        "word_chars": pa.array(np.bincount(text_of, weights=chars[ids] if len(ids) else None, minlength=len(texts)).astype(np.int64), pa.int64()),
+        "n_symbols": pa.array([len(_SYMBOLS.findall(t)) if t else 0 for t in texts], pa.int64()),
+        "n_dup_lines": pa.array([line_repeats(t) for t in texts], pa.int64()),
+        "n_repeat_words": pa.array(repeat, pa.int64()),
+        "base_failed": pa.array(failed, pa.bool_()),
+        "score": pa.array(score, pa.float64()),
+        "kept": pa.array(~failed & (score >= threshold), pa.bool_()),
+    }
+
+
 def _judge(model, threshold: float):
     def run(batches):
-        ratio = model.value
         for batch in common.slices(batches):
-            texts = batch["text"].to_pylist()
-            ids, lengths, words = _batch_words(texts)
-            hashed, of = features(ids, lengths, words)
-            n = np.bincount(of, minlength=len(texts))
-            score = np.bincount(of, weights=ratio[hashed], minlength=len(texts)) / np.maximum(n, 1)
-            chars = np.fromiter((len(w.decode()) for w in words), dtype=np.int64, count=len(words))
-            text_of = np.repeat(np.arange(len(texts)), lengths)
-            repeat = repeated_words(ids, lengths)
-            failed = (lengths < MIN_WORDS) | (100 * repeat > MAX_REPEAT * lengths)
-            yield pa.record_batch(
-                {
-                    "doc_id": batch["doc_id"],
-                    "row": batch["row"],
-                    "n_words": pa.array(lengths, pa.int64()),
-                    "word_chars": pa.array(np.bincount(text_of, weights=chars[ids] if len(ids) else None, minlength=len(texts)).astype(np.int64), pa.int64()),
-                    "n_symbols": pa.array([len(_SYMBOLS.findall(t)) if t else 0 for t in texts], pa.int64()),
-                    "n_dup_lines": pa.array([line_repeats(t) for t in texts], pa.int64()),
-                    "n_repeat_words": pa.array(repeat, pa.int64()),
-                    "base_failed": pa.array(failed, pa.bool_()),
-                    "score": pa.array(score, pa.float64()),
-                    "kept": pa.array(~failed & (score >= threshold), pa.bool_()),
-                }
-            )
+            yield pa.record_batch({"doc_id": batch["doc_id"], **_judged(batch["text"].to_pylist(), model.value, threshold)})
+
+    return run
+
+
+def _keep(model, threshold: float):
+    def run(batches):
+        for batch in common.slices(batches):
+            yield batch.filter(_judged(batch["text"].to_pylist(), model.value, threshold)["kept"])
 
     return run
 
@@ -186,19 +193,19 @@ def _judge(model, threshold: float):
 _JUDGED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: bool = False) -> DataFrame:
-    """Counts, score and verdict of each row of ``docs`` (doc_id, text); with ``rows`` also the row itself."""
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Counts, score and verdict of each row of ``docs`` (doc_id, text)."""
     common.ship_package(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    packed = F.struct("*") if rows else F.lit(None).cast("int")
-    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), packed.alias("row"))
-    kind = asked.schema["row"].dataType.simpleString()
-    return asked.mapInArrow(_judge(model, threshold), f"doc_id long, row {kind}, {_JUDGED}")
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return asked.mapInArrow(_judge(model, threshold), f"doc_id long, {_JUDGED}")
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the rules keep."""
-    return judge(docs, labels, threshold, rows=True).where("kept").select("row.*")
+    """The rows of ``docs`` that the rules keep. Each row goes to a task once, and only kept rows come back."""
+    common.ship_package(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(_keep(model, threshold), docs.schema)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
