@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from pipelens.llm import bpe, common, line_dedup, mixing, quality, simhash
 
+#: Bytes of text in a block of the last stage; its tasks also hold the decoded texts.
+BPE_BLOCK_BYTES = 4 << 20
 #: SQL cannot express the stages; tests compare them with brute force.
 ORACLE_SQL = None
 
@@ -40,7 +42,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and the text decoded from them."""
-    return bpe.encode(docs)
+    return bpe.encode(docs, block_bytes=BPE_BLOCK_BYTES)
 
 
 STAGES = [
