@@ -3,19 +3,43 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The frame with its lineage cut in the folder of spark.checkpoint.dir; one of our own only where that is unset."""
+    """The frame with its lineage cut in the folder of spark.checkpoint.dir; one of our own only where that is unset on a single machine."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The frame written as Parquet to the shared folder and read again, so that later scans take only the columns they need."""
+    cut(df.limit(0))
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def appended(frames) -> DataFrame:
+    """Frames of one schema written one after the other to a table in the shared folder, and read as one."""
+    path = None
+    for df in frames:
+        if path is None:
+            cut(df.limit(0))
+            path, schema, spark = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}", df.schema, df.sparkSession
+        df.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(id, component) for every vertex of ``pairs`` (a, b); the component is its smallest id. Loops keep lone vertices."""
     both = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -30,17 +54,48 @@ def components(pairs: DataFrame) -> DataFrame:
         labels = nxt.select("id", "component")
 
 
-def reaching(edges: DataFrame, goals: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(id): all vertices from which a goal (id) can be reached along ``edges`` (a, b), goals included."""
-    edges = cut(edges.select("a", "b").distinct())
-    found = cut(goals.select("id").distinct())
-    front = found
-    for _ in range(rounds):
-        front = cut(edges.join(front, edges["b"] == front["id"], "left_semi").select(F.col("a").alias("id")).distinct().join(found, "id", "left_anti"))
-        if front.isEmpty():
-            break
-        found = cut(found.unionByName(front))
-    return found
+def reaching(edges: DataFrame, goals: DataFrame) -> DataFrame:
+    """(id): all vertices from which a goal (id) can be reached along ``edges`` (a, b), goals included.
+
+    Each round follows a set of jumps. A vertex with one way out jumps on to where that way's
+    own jump goes, so chains are crossed in a number of rounds that grows with the logarithm
+    of their length; only vertices that a goal has just been found from are joined.
+    """
+    edges = cut(edges.select("a", "b").where("a <> b").distinct())
+    goals = cut(goals.select("id").distinct())
+    front, all_found = goals, [goals]
+    # Vertices with a single way out, and where it leads; goals are not passed.
+    single = edges.groupBy("a").agg(F.count("*").alias("n"), F.first("b").alias("b")).where("n = 1").select("a", "b")
+    jumps, chains = cut(single.join(goals.select(F.col("id").alias("a")), "a", "left_anti")), []
+    while not jumps.isEmpty():
+        chains.append(jumps)
+        # Jumps of the next round: of those that end on a vertex that jumps too, twice as far.
+        jumps = cut(jumps.join(jumps.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")))
+        if len(chains) > 1 and jumps.count() >= chains[-1].count():
+            break  # what is left goes round in cycles and grows no more
+    while True:
+        near = edges.join(front.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id"))
+        found = _new(near, all_found)
+        # Back along the chains from what was found, the longest jumps first; each level doubles what is covered.
+        for jump in reversed(chains):
+            back = jump.join(_all([found, front]).select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id"))
+            found = cut(_all([found, _new(back, [*all_found, found])]))
+        if found.isEmpty():
+            return _all(all_found)
+        all_found = [*all_found, found] if len(all_found) < 8 else [cut(_all([*all_found, found]))]
+        front = found
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _new(ids: DataFrame, known: list[DataFrame]) -> DataFrame:
+    """The distinct ids that are in none of ``known``."""
+    return ids.distinct().join(_all(known), "id", "left_anti")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:

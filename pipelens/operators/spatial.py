@@ -1,35 +1,46 @@
 """Spatial joins by grid cells: an equi-join on cells and then the exact test.
 
-A cell is as wide as the search radius or the given size, whichever is larger. Points are
-dealt to one cell and looked for in the cells around; segments are dealt to the cells their
-bounding box touches, cut into pieces no longer than a cell first, so that a long line
-touches cells in proportion to its length.
+Points are dealt to one cell and looked for in the cells around. A segment has a level by
+the size of its box: at level k cells are 2^k times as wide as at level 0 and at least as
+wide as the box, so that it touches four cells at most whatever its length. Segments of a
+level meet those of the same level there, and those of smaller levels, which are dealt to
+the cells of every level above that occurs. A pair is taken only in the cell of the lower
+left corner of what the two boxes share, so that it comes out once without a distinct.
+
+Cells are whole numbers held as doubles: a coordinate of any finite size has one. Points
+and segments with a coordinate that is missing or not finite are near nothing.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pipelens.functions import geometry as g
+from pipelens.operators.graph import cut
+
+#: Levels up to this one are joined by a shuffle; the segments of those above are few in a network, so the engine can broadcast them where they are.
+FINE = 3
+
+_COLUMNS = ("id", "seq", "x1", "y1", "x2", "y2")
 
 
-def _cell(v: Column, size: float) -> Column:
-    return F.floor(v / size)
+def _cell(v: Column, size: Column | float) -> Column:
+    """The number of the cell of a coordinate, cut towards zero."""
+    return v / size - (v / size) % 1
 
 
-def _span(lo: Column, hi: Column, size: float) -> Column:
-    return F.sequence(_cell(lo, size), _cell(hi, size))
+def _cells(lo: Column, hi: Column, size: Column | float, *more: Column) -> Column:
+    """The cells of an interval no longer than a cell; ``more`` are points in it."""
+    return F.array_distinct(F.array(*[_cell(v, size) for v in (lo, *more, hi)]))
 
 
 def point_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """(left.*, right.*, dist): points (a, ax, ay) and (b, bx, by) no further apart than ``radius``."""
-    size = max(radius, 1e-6)
-    near = left.where("ax is not null and ay is not null").withColumn("cx", F.explode(_span(F.col("ax") - radius, F.col("ax") + radius, size)))
-    near = near.withColumn("cy", F.explode(_span(F.col("ay") - radius, F.col("ay") + radius, size)))
-    cells = right.where("bx is not null and by is not null").withColumn("cx", _cell(F.col("bx"), size)).withColumn("cy", _cell(F.col("by"), size))
+    size = max(2.5 * radius, 1e-6)
+    near = left.where(g.finite(F.col("ax")) & g.finite(F.col("ay"))).withColumn("cx", F.explode(_cells(F.col("ax") - radius, F.col("ax") + radius, size, F.col("ax"))))
+    near = near.withColumn("cy", F.explode(_cells(F.col("ay") - radius, F.col("ay") + radius, size, F.col("ay"))))
+    cells = right.where(g.finite(F.col("bx")) & g.finite(F.col("by"))).withColumn("cx", _cell(F.col("bx"), size)).withColumn("cy", _cell(F.col("by"), size))
     dist = g.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     return near.join(cells, ["cx", "cy"]).withColumn("dist", dist).where(F.col("dist") <= radius).drop("cx", "cy")
 
@@ -40,53 +51,113 @@ def nearest(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return best.select("a", F.col("m.b").alias("b"), F.col("m.dist").alias("dist"))
 
 
-def line_segments(lines: DataFrame, id_column: str) -> DataFrame:
-    """(id, seq, x1, y1, x2, y2) of lines with a column ``pts``."""
-    return lines.select(F.col(id_column).alias("id"), F.posexplode(g.segments(F.col("pts"))).alias("seq", "s")).select(
-        "id", "seq", F.col("s.p.x").alias("x1"), F.col("s.p.y").alias("y1"), F.col("s.q.x").alias("x2"), F.col("s.q.y").alias("y2")
+def line_segments(lines: DataFrame, id_column: str, reach: Column | None = None) -> DataFrame:
+    """(id, seq, x1, y1, x2, y2) of lines with a column ``pts``, and ``reach`` where it is given."""
+    more = [] if reach is None else [reach.alias("reach")]
+    return lines.select(F.col(id_column).alias("id"), *more, F.posexplode(g.segments(F.col("pts"))).alias("seq", "s")).select(
+        "id", "seq", F.col("s.p.x").alias("x1"), F.col("s.p.y").alias("y1"), F.col("s.q.x").alias("x2"), F.col("s.q.y").alias("y2"), *(["reach"] if more else [])
     )
 
 
-def _pieces(segments: DataFrame, size: float, margin: float) -> DataFrame:
-    """Adds the cells (cx, cy) near each segment, walked along pieces no longer than a cell."""
-    n = F.greatest(F.lit(1), F.ceil(g.distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")) / size)).cast("int")
-    along = lambda a, b, i: F.col(a) + (F.col(b) - F.col(a)) * i / F.col("n")
-    cut = segments.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+def _boxed(segments: DataFrame, size: float, margin: Column) -> DataFrame:
+    """Adds the box of each segment with a margin around it (lo_x, lo_y, hi_x, hi_y), and its level."""
+    finite = [g.finite(F.col(c)) for c in ("x1", "y1", "x2", "y2")]
+    out = segments.where(finite[0] & finite[1] & finite[2] & finite[3])
+    for axis in ("x", "y"):
+        out = out.withColumn(f"lo_{axis}", F.least(f"{axis}1", f"{axis}2") - margin).withColumn(f"hi_{axis}", F.greatest(f"{axis}1", f"{axis}2") + margin)
+    # Far from the origin cells are no smaller than what a double tells apart there.
+    far = F.greatest(*[F.abs(f"{end}_{axis}") for end in ("lo", "hi") for axis in ("x", "y")]) * 1e-12
+    extent = F.greatest(F.col("hi_x") - F.col("lo_x"), F.col("hi_y") - F.col("lo_y"), far)
+    # A box that is wider than all numbers has the last level.
+    level = F.when(extent * 1.0001 <= size, 0).when(g.finite(extent), F.ceil(F.log2(extent * 1.0001 / size))).otherwise(1024)
+    return out.withColumn("level", level.cast("int"))
+
+
+def _levels(boxed: DataFrame) -> list[int]:
+    """The levels that occur: a few dozen numbers at most."""
+    return sorted(r["level"] for r in boxed.select("level").distinct().collect())
+
+
+def _size(level: Column, size: float) -> Column:
+    return F.pow(F.lit(2.0), level) * size
+
+
+def _dealt(boxed: DataFrame, size: float) -> DataFrame:
+    """A row for each cell (level, cx, cy) that a box touches at its level."""
+    wide = _size(F.col("level"), size)
     for axis in ("x", "y"):
-        lo = F.least(along(f"{axis}1", f"{axis}2", F.col("i")), along(f"{axis}1", f"{axis}2", F.col("i") + 1)) - margin
-        hi = F.greatest(along(f"{axis}1", f"{axis}2", F.col("i")), along(f"{axis}1", f"{axis}2", F.col("i") + 1)) + margin
-        cut = cut.withColumn(f"c{axis}", F.explode(_span(lo, hi, size)))
-    return cut.drop("n", "i").distinct()
+        boxed = boxed.withColumn(f"c{axis}", F.explode(_cells(F.col(f"lo_{axis}"), F.col(f"hi_{axis}"), wide)))
+    return boxed
+
+
+def _raised(boxed: DataFrame, levels: list[int]) -> DataFrame:
+    """The segments at each level that occurs from their own upwards."""
+    return boxed.withColumnRenamed("level", "own").withColumn("level", F.explode(F.filter(F.array(*[F.lit(k) for k in levels]), lambda k: k >= F.col("own"))))
+
+
+def _apart(first: str, second: str, reach: Column) -> Column:
+    """Whether the second segment is surely further than ``reach`` from the line through the first: a bound without a division."""
+    a = [F.col(f"{first}_{c}") for c in ("x1", "y1", "x2", "y2")]
+    x1, y1, x2, y2 = (F.col(f"{second}_{c}") for c in ("x1", "y1", "x2", "y2"))
+    x, y, length = (x1 + x2) / 2, (y1 + y2) / 2, g.distance(*a)
+    off = F.abs(g.cross(*a, x, y))
+    # What the rounding of the cross product can add, for lines of any length.
+    slack = 1e-9 + 1e-12 * length * (length + g.distance(a[0], a[1], x, y))
+    return (off < float("inf")) & (off > (reach + g.distance(x1, y1, x2, y2) / 2) * length + slack)
 
 
 def segment_pairs(segments: DataFrame, radius: float, size: float) -> DataFrame:
-    """Pairs of segments of different lines (a.id < b.id) that may lie within ``radius`` of each other, each pair once."""
-    size = max(size, radius)
-    cells = _pieces(segments, size, radius / 2 + 1e-9)
-    a = cells.select("cx", "cy", *[F.col(c).alias(f"a_{c}") for c in ("id", "seq", "x1", "y1", "x2", "y2")])
-    b = cells.select("cx", "cy", *[F.col(c).alias(f"b_{c}") for c in ("id", "seq", "x1", "y1", "x2", "y2")])
-    return a.join(b, ["cx", "cy"]).where("a_id < b_id").drop("cx", "cy").distinct()
+    """Pairs of segments of different lines (a.id < b.id) that may lie within ``radius`` of each other, each pair once.
+
+    With a column ``reach`` two segments may lie within the sum of theirs and ``radius``.
+    """
+    own = F.col("reach") if "reach" in segments.columns else F.lit(0.0)
+    boxed = cut(_boxed(segments, size, own + radius / 2 + 1e-9))
+    levels = _levels(boxed)
+    if not levels:
+        levels = [0]
+    kept = [*[c for c in (*_COLUMNS, "reach") if c in boxed.columns], "lo_x", "lo_y", "hi_x", "hi_y"]
+    side = lambda df, p, *more: df.select("level", "cx", "cy", *[F.col(c).alias(f"{p}_{c}") for c in (*kept, *more)])
+    both = F.lit(radius) + ((F.col("p_reach") + F.col("q_reach")) if "reach" in kept else F.lit(0.0))
+    found = None
+    for part in ([k for k in levels if k <= FINE], [k for k in levels if k > FINE]):
+        if not part:
+            continue
+        p = side(_dealt(boxed.where(F.col("level").isin(part)), size), "p")
+        q = side(_dealt(_raised(boxed, part), size), "q", "own")
+        corner = [F.greatest(F.col(f"p_lo_{axis}"), F.col(f"q_lo_{axis}")) for axis in ("x", "y")]
+        once = (F.col("cx") == _cell(corner[0], _size(F.col("level"), size))) & (F.col("cy") == _cell(corner[1], _size(F.col("level"), size)))
+        meet = once & (corner[0] <= F.least("p_hi_x", "q_hi_x")) & (corner[1] <= F.least("p_hi_y", "q_hi_y"))
+        # Of two segments of one level each meets the other; of different levels the larger one meets the smaller.
+        order = (F.col("q_own") < F.col("level")) & (F.col("p_id") != F.col("q_id")) | (F.col("q_own") == F.col("level")) & (F.col("p_id") < F.col("q_id"))
+        pairs = p.join(q, ["level", "cx", "cy"]).where(order & meet & ~_apart("p", "q", both) & ~_apart("q", "p", both))
+        found = pairs if found is None else found.unionByName(pairs)
+    first = F.col("p_id") < F.col("q_id")
+    columns = [c for c in kept if c in (*_COLUMNS, "reach")]
+    # Written, so that exact tests are compiled apart from the join.
+    return cut(found.select(
+        *[F.when(first, F.col(f"p_{c}")).otherwise(F.col(f"q_{c}")).alias(f"a_{c}") for c in columns], *[F.when(first, F.col(f"q_{c}")).otherwise(F.col(f"p_{c}")).alias(f"b_{c}") for c in columns]
+    ))
 
 
 def point_segment_pairs(points: DataFrame, segments: DataFrame, radius: float, size: float) -> DataFrame:
     """(a, id, dist): points (a, ax, ay) and lines within ``radius``, with the least distance."""
-    size = max(size, radius)
-    cells = _pieces(segments, size, radius)
-    placed = points.where("ax is not null and ay is not null").withColumn("cx", _cell(F.col("ax"), size)).withColumn("cy", _cell(F.col("ay"), size))
+    boxed = cut(_boxed(segments, size, F.lit(radius)))
+    levels = _levels(boxed) or [0]
+    placed = points.where(g.finite(F.col("ax")) & g.finite(F.col("ay")))
     dist = g.point_segment(F.col("ax"), F.col("ay"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    hits = placed.join(cells, ["cx", "cy"]).withColumn("dist", dist).where(F.col("dist") <= radius)
-    return hits.groupBy("a", "id").agg(F.min("dist").alias("dist"))
-
-
-def radius_of(df: DataFrame, column: Column) -> float:
-    """The largest value of a column, one number for the search radius."""
-    return float(df.agg(F.max(column)).first()[0] or 0.0)
+    found = None
+    for part in ([k for k in levels if k <= FINE], [k for k in levels if k > FINE]):
+        if not part:
+            continue
+        wide = _size(F.col("level"), size)
+        near = placed.select("a", "ax", "ay", F.explode(F.array(*[F.lit(k) for k in part])).alias("level"))
+        near = near.withColumn("cx", _cell(F.col("ax"), wide)).withColumn("cy", _cell(F.col("ay"), wide))
+        inside = F.col("ax").between(F.col("lo_x"), F.col("hi_x")) & F.col("ay").between(F.col("lo_y"), F.col("hi_y"))
+        hits = near.join(_dealt(boxed.where(F.col("level").isin(part)), size), ["level", "cx", "cy"]).where(inside).select("a", "id", dist.alias("dist"))
+        found = hits if found is None else found.unionByName(hits)
+    return found.where(F.col("dist") <= radius).groupBy("a", "id").agg(F.min("dist").alias("dist"))
 
 
 def segment_columns(side: str) -> list[Column]:
     return [F.col(f"{side}_{c}") for c in ("x1", "y1", "x2", "y2")]
-
-
-def cell_size(expected: float) -> float:
-    """A cell of a power of two metres, near the expected segment length."""
-    return 2.0 ** round(math.log2(max(expected, 1e-3)))
