@@ -65,7 +65,7 @@ class Config:
     today: date = date(2026, 1, 1)
     critical: tuple[str, ...] = ("Overstortput", "Bergbezinkbassin", "Gemaal")
     trade_sizes: tuple[int, ...] = field(
-        default=(63, 75, 90, 110, 125, 160, 200, 250, 300, 315, 350, 400, 450, 500, 600, 700, 800, 900, 1000, 1100, 1200, 1250, 1300, 1400, 1500, 1600, 1800, 2000, 2500, 3000)
+        default=(63, 75, 80, 90, 100, 110, 125, 150, 160, 200, 250, 300, 315, 400, 500, 600, 700, 800, 900, 1000, 1100, 1200, 1250, 1400, 1500, 1600, 1800, 2000, 2500, 3000)
     )
 
 

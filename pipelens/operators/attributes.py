@@ -43,27 +43,31 @@ def label_pattern(t):
 
 @rule("ADM-006", "W", "actuality")
 def attached_but_not_current(t):
-    """Objects that have ended or not begun yet, but are still attached."""
-    year = t.cfg.today.year
-    stale = (F.col("ended")) | (F.col("begin_year") > year)
-    nodes = t.node.where(t.is_a(config.NODE) & stale).join(t.incidence.select("node_id").distinct(), "node_id", "left_semi").select(F.col("node_id").alias("object_id"))
-    conduits = t.conduit.where(stale & (F.col("start_id").isNotNull() | F.col("end_id").isNotNull())).select(F.col("conduit_id").alias("object_id"))
+    """Objects whose end date has passed or whose begin date is to come, but that are still attached. Tables without dates have a flag and a year."""
+
+    def stale(df):
+        if "end_date" in df.columns:
+            return (F.col("end_date") < F.lit(t.cfg.today)) | (F.col("begin_date") > F.lit(t.cfg.today))
+        return F.col("ended") | (F.col("begin_year") > t.cfg.today.year)
+
+    nodes = t.node.where(t.is_a(config.NODE) & stale(t.node)).join(t.incidence.select("node_id").distinct(), "node_id", "left_semi").select(F.col("node_id").alias("object_id"))
+    conduits = t.conduit.where(stale(t.conduit) & (F.col("start_id").isNotNull() | F.col("end_id").isNotNull())).select(F.col("conduit_id").alias("object_id"))
     return nodes.unionByName(conduits)
 
 
 #: Manhole classes and the conduits or parts one of which they must have; fixed values.
-REQUIRED_PARTS = [("Overstortput", ["Overstortleiding"], ["Overstortdrempel"])]
+REQUIRED_PARTS = [("Overstortput", ["Overstortleiding", "Overstortdrempel"]), ("Lozingsput", ["VrijvervalRioolleiding", "Duiker"])]
 
 
 @rule("ADM-007", "F", "completeness")
 def manhole_without_function(t):
     """Manholes of a class that have neither an attached conduit nor a part of the required classes."""
     out = None
-    for cls, conduits, parts in REQUIRED_PARTS:
+    for cls, required in REQUIRED_PARTS:
         nodes = t.node.where(t.is_a(cls)).select("node_id")
-        served = t.ends.where(t.is_a(*conduits)).select("node_id")
+        served = t.ends.where(t.is_a(*required)).select("node_id")
         if t.part is not None:
-            served = served.unionByName(t.part.where(t.is_a(*parts, types="child_types")).select(F.col("parent_id").alias("node_id")))
+            served = served.unionByName(t.part.where(t.is_a(*required, types="child_types")).select(F.col("parent_id").alias("node_id")))
         found = nodes.join(served.distinct(), "node_id", "left_anti").select(F.col("node_id").alias("object_id"), F.lit(cls).alias("detail"))
         out = found if out is None else out.unionByName(found)
     return out
@@ -136,7 +140,7 @@ def size_for_shape(t):
     return t.gravity.join(rules, "shape").select(F.col("conduit_id").alias("object_id"), detail.alias("detail")).where("detail is not null")
 
 
-@rule("ATTR-005", "W", "plausibility")
+@rule("ATTR-005", "F", "plausibility")
 def size_in_centimetres(t):
     """Small sizes that are no trade size but would be one ten times as large."""
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("detail"), F.col(f"{k}_mm").alias("value")) for k in ("width", "height")])).alias("s")

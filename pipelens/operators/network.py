@@ -19,12 +19,21 @@ def edges(t) -> DataFrame:
 
 def components(t) -> DataFrame:
     """(node_id, component): the undirected components of the gravity network."""
-    return graph.components(edges(t).select("a", "b")).select(F.col("id").alias("node_id"), "component")
+    return t.once("components", lambda: graph.components(edges(t).select("a", "b")).select(F.col("id").alias("node_id"), "component"))
 
 
-def _unreached(t, roots, goals):
+def strong_components(t) -> DataFrame:
+    return t.once("strong", lambda: graph.cut(graph.strong_components(edges(t).select("a", "b"))))
+
+
+def reach(t, goals) -> DataFrame:
+    """(id): nodes from which a node of the classes ``goals`` can be reached."""
     ends = t.node.where(t.is_a(*goals)).select(F.col("node_id").alias("id"))
-    reached = graph.reaching(edges(t).select("a", "b"), ends).select(F.col("id").alias("start_id"))
+    return t.once(("reach", *goals), lambda: graph.reaching(edges(t).select("a", "b"), ends))
+
+
+def _unreached(t, roots, goals):
+    reached = reach(t, goals).select(F.col("id").alias("start_id"))
     judged = t.gravity.where(t.is_a(*roots) & F.col("start_id").isNotNull() & F.col("end_id").isNotNull())
     return judged.join(reached, "start_id", "left_anti").select(F.col("conduit_id").alias("object_id"), F.col("start_id").alias("object2_id"))
 
@@ -48,7 +57,7 @@ def rises(t):
 @rule("NET-004", "F", "topology")
 def cycle(t):
     """One finding for each strongly connected part with a cycle: its size, and its smallest conduit."""
-    strong = graph.strong_components(edges(t).select("a", "b"))
+    strong = strong_components(t)
     inside = (
         edges(t)
         .join(strong.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a")

@@ -19,7 +19,7 @@ def component_attributes(t) -> DataFrame:
     )
 
 
-COMPONENTS_SQL = """SELECT component, count(*) AS nodes, count(*) FILTER (cls = 'Gemaal') AS outflows, count(*) FILTER (cls IN ('Lozingspunt', 'Uitlaat')) AS discharges,
+COMPONENTS_SQL = """SELECT component, count(*) AS nodes, count(*) FILTER (cls = 'Gemaal') AS outflows, count(*) FILTER (cls IN ('Lozingspunt', 'Uitlaat', 'Lozingsput')) AS discharges,
 round(avg(x), 4) AS x, round(avg(y), 4) AS y FROM comp JOIN node USING (node_id) GROUP BY 1"""
 
 

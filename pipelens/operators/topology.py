@@ -191,10 +191,10 @@ def conflicting_conduits(t):
     """Lines closer than their radii allow that share no node and meet at no end."""
     half = F.coalesce(F.greatest(F.coalesce("width_mm", F.lit(0.0)), F.coalesce("height_mm", F.lit(0.0))), F.lit(0.0)) / 2000
     sized = t.conduit.select("conduit_id", "start_id", "end_id", "pts", half.alias("r"))
-    radius = 2 * spatial.radius_of(sized, F.col("r")) + t.cfg.conflict_margin
-    near = spatial.segment_pairs(spatial.line_segments(sized, "conduit_id"), radius, CELL)
+    near = spatial.segment_pairs(spatial.line_segments(sized, "conduit_id", F.col("r")), t.cfg.conflict_margin, CELL)
     dist = g.segment_segment(spatial.segment_columns("a"), spatial.segment_columns("b"))
-    close = near.select("a_id", "b_id", dist.alias("d")).where(F.col("d") <= radius).groupBy("a_id", "b_id").agg(F.min("d").alias("value"))
+    limit = F.col("a_reach") + F.col("b_reach") + t.cfg.conflict_margin
+    close = near.select("a_id", "b_id", dist.alias("d"), limit.alias("limit")).where("d <= limit").groupBy("a_id", "b_id").agg(F.min("d").alias("value"))
     side = lambda p: sized.select(F.col("conduit_id").alias(f"{p}_id"), F.array("start_id", "end_id").alias(f"{p}_nodes"), F.col("r").alias(f"{p}_r"), F.array(F.element_at("pts", 1), F.element_at("pts", -1)).alias(f"{p}_ends"))
     both = close.join(side("a"), "a_id").join(side("b"), "b_id").withColumn("threshold", F.col("a_r") + F.col("b_r") + t.cfg.conflict_margin)
     meet = F.exists("a_ends", lambda p: F.exists("b_ends", lambda q: g.distance(p["x"], p["y"], q["x"], q["y"]) <= t.cfg.snap))

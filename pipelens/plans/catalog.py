@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial, reduce
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipelens import findings
+from pipelens import config, findings
 from pipelens.operators import attributes, enrich, external, graph, heights, hierarchy, network, reports, summaries, topology  # noqa: F401  (rules register themselves)
 from pipelens.plans import oracles, projection
 from pipelens.plans.oracles import COMMON, GRAPH
@@ -52,11 +52,6 @@ def _early_late(r: DataFrame) -> tuple[DataFrame, DataFrame]:
     return r.where("early"), r.where("not early")
 
 
-def _reached(t) -> DataFrame:
-    ends = t.node.where(t.is_a("Gemaal")).select(F.col("node_id").alias("id"))
-    return graph.reaching(network.edges(t).select("a", "b"), ends).select(F.col("id").alias("node_id"))
-
-
 def _closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations and regions, and orders below customers below nations, as one class tree."""
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("N"), "n_nationkey").alias("child"), F.concat(F.lit("R"), "n_regionkey").alias("parent"))
@@ -64,6 +59,14 @@ def _closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.closure(nation.unionByName(customer))
 
 
+#: Where objects are: a node's point, halfway along a conduit.
+PLACES = """,
+line AS (SELECT *, sqrt((x1 - xm) * (x1 - xm) + (y1 - ym) * (y1 - ym)) AS l1, sqrt((xm - x2) * (xm - x2) + (ym - y2) * (ym - y2)) AS l2 FROM conduit),
+place AS (SELECT node_id AS object_id, x, y FROM node UNION ALL SELECT conduit_id,
+  coalesce(CASE WHEN xm IS NULL THEN x1 + 0.5e0 * (x2 - x1) WHEN (l1 + l2) / 2 < l1 THEN x1 + (l1 + l2) / 2 / l1 * (xm - x1) ELSE xm + ((l1 + l2) / 2 - l1) / nullif(l2, 0) * (x2 - xm) END, x1),
+  coalesce(CASE WHEN xm IS NULL THEN y1 + 0.5e0 * (y2 - y1) WHEN (l1 + l2) / 2 < l1 THEN y1 + (l1 + l2) / 2 / l1 * (ym - y1) ELSE ym + ((l1 + l2) / 2 - l1) / nullif(l2, 0) * (y2 - ym) END, y1) FROM line)
+"""
+
 CLOSURE = """
 WITH RECURSIVE e AS (SELECT concat('N', n_nationkey) AS child, concat('R', n_regionkey) AS parent FROM nation UNION ALL SELECT concat('C', c_custkey), concat('N', c_nationkey) FROM customer),
 c(root, cls) AS (SELECT parent, parent FROM e UNION SELECT c.root, e.child FROM c JOIN e ON e.parent = c.cls)
@@ -71,10 +74,10 @@ SELECT root, cls FROM c
 """
 
 _NETWORK: dict[str, tuple[Callable, str | None]] = {
-    "graph_1": (_reached, f"{COMMON}{GRAPH}, got(id) AS (SELECT node_id FROM node WHERE cls = 'Gemaal' UNION SELECT e.a FROM edge e JOIN got ON e.b = got.id) SELECT id AS node_id FROM got"),
+    "graph_1": (lambda t: network.reach(t, ("Gemaal",)).select(F.col("id").alias("node_id")), f"{COMMON}{GRAPH}, got(id) AS (SELECT node_id FROM node WHERE cls = 'Gemaal' UNION SELECT e.a FROM edge e JOIN got ON e.b = got.id) SELECT id AS node_id FROM got"),
     "graph_2": (network.components, f"{COMMON}{GRAPH} SELECT node_id, component FROM comp"),
     "graph_3": (
-        lambda t: graph.strong_components(network.edges(t).select("a", "b")),
+        network.strong_components,
         f"{COMMON}{GRAPH}, go(a, b) AS (SELECT a, b FROM edge UNION SELECT go.a, e.b FROM go JOIN edge e ON e.a = go.b) SELECT x.a AS id, min(x.b) AS component FROM go x JOIN go y ON x.a = y.b AND x.b = y.a GROUP BY 1",
     ),
     "graph_4": (summaries.component_attributes, f"{COMMON}{GRAPH} {summaries.COMPONENTS_SQL}"),
@@ -86,7 +89,7 @@ _NETWORK: dict[str, tuple[Callable, str | None]] = {
     "win_2": (summaries.numbered_labels, f"{COMMON} {summaries.LABELS_SQL}"),
     "mod_19": (summaries.node_systems, f"{COMMON} SELECT node_id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS systems FROM inc JOIN kind USING (conduit_id) WHERE kind IS NOT NULL GROUP BY 1"),
     "snk_7": (summaries.extent, f"{COMMON} SELECT 'node' AS layer, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM node UNION ALL SELECT 'conduit', min(least(x1, x2, coalesce(xm, x1))), min(least(y1, y2, coalesce(ym, y1))), max(greatest(x1, x2, coalesce(xm, x1))), max(greatest(y1, y2, coalesce(ym, y1))) FROM conduit"),
-    "f_17": (summaries.midpoints, None),
+    "f_17": (summaries.midpoints, f"{COMMON}{PLACES} SELECT conduit_id, p.x, p.y, CASE WHEN xm IS NULL THEN sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2)) ELSE l1 + l2 END AS length FROM line JOIN place p ON p.object_id = conduit_id"),
 }
 
 _REPORTS: dict[str, tuple[Callable, str]] = {
@@ -112,13 +115,9 @@ _REPORTS: dict[str, tuple[Callable, str]] = {
     ),
 }
 
-#: Rules that the SQL of the queries on findings has: labels, sizes, levels, parallels and crowding. The queries have all rules.
-_SOME = ("ADM-002", "ATTR-001", "HGT-004", "TOP-013", "TOP-014")
-
-
 def _all(t) -> DataFrame:
-    """Findings of every rule that can run. Each rule is a job of its own, as one plan of all of them would be too large."""
-    return reduce(DataFrame.unionByName, [graph.cut(findings.run(r, t)) for r in findings.runnable(t)])
+    """Findings of every rule that can run, written once and shared by the queries on findings. Each rule is a job of its own, as one plan of all of them would be too large."""
+    return t.once("findings", lambda: graph.appended(findings.run(r, t) for r in findings.runnable(t)))
 
 
 def _placed(t) -> DataFrame:
@@ -137,22 +136,22 @@ def _judged(t) -> DataFrame:
 
 def _found_sql() -> str:
     none = "SELECT NULL::VARCHAR AS object_id, NULL::VARCHAR AS object2_id, NULL::VARCHAR AS detail, NULL::DOUBLE AS value, NULL::DOUBLE AS threshold, NULL::VARCHAR AS rule_id, NULL::VARCHAR AS severity WHERE false"
-    parts = " UNION ALL BY NAME ".join(f"SELECT *, '{r}' AS rule_id, '{findings.RULES[r][0]}' AS severity FROM ({oracles.BODIES[r][1]})" for r in _SOME)
+    inner = lambda more: f"WITH RECURSIVE {more.lstrip(', ')} " if more else ""
+    parts = " UNION ALL BY NAME ".join(
+        f"SELECT *, '{r}' AS rule_id, '{findings.RULES[r][0]}' AS severity FROM ({inner(more)}SELECT object_id, * EXCLUDE (object_id) FROM ({body}))" for r, (more, body) in oracles.BODIES.items()
+    )
     return f"""{COMMON}, found AS (SELECT *, substr(sha256(concat_ws('|', rule_id, object_id, coalesce(object2_id, ''), coalesce(detail, ''))), 1, 16) AS finding_id FROM ({none} UNION ALL BY NAME {parts})),
 outcome AS (SELECT rule_id, severity, status, coalesce(examined, 0) AS examined, coalesce(n, 0) AS found, 0::BIGINT AS omitted, round(100 * coalesce(n, 0) / nullif(examined, 0), 2) AS percentage, coalesce(coalesce(n, 0) / nullif(examined, 0) > 0.8, false) AS systemic
   FROM (VALUES {_rule_values()}) r(rule_id, severity, status, population) LEFT JOIN (SELECT rule_id, count(*) AS n FROM found GROUP BY 1) USING (rule_id)
   LEFT JOIN (SELECT 'node' AS population, count(*) AS examined FROM node UNION ALL SELECT 'gravity', count(*) FROM grav UNION ALL SELECT 'conduit', count(*) FROM conduit) USING (population)),
 judged AS (SELECT f.*, systemic, CASE WHEN f.severity = 'F' AND cls IN ('Overstortput', 'Bergbezinkbassin', 'Gemaal') THEN 1 WHEN f.severity = 'F' THEN 2 ELSE 3 END AS priority
-  FROM found f LEFT JOIN node ON node_id = object_id LEFT JOIN outcome USING (rule_id)),
-line AS (SELECT *, sqrt((x1 - xm) * (x1 - xm) + (y1 - ym) * (y1 - ym)) AS l1, sqrt((xm - x2) * (xm - x2) + (ym - y2) * (ym - y2)) AS l2 FROM conduit),
-place AS (SELECT node_id AS object_id, x, y FROM node UNION ALL SELECT conduit_id,
-  coalesce(CASE WHEN xm IS NULL THEN x1 + 0.5e0 * (x2 - x1) WHEN (l1 + l2) / 2 <= l1 THEN x1 + (l1 + l2) / 2 / l1 * (xm - x1) ELSE xm + ((l1 + l2) / 2 - l1) / l2 * (x2 - xm) END, x1),
-  coalesce(CASE WHEN xm IS NULL THEN y1 + 0.5e0 * (y2 - y1) WHEN (l1 + l2) / 2 <= l1 THEN y1 + (l1 + l2) / 2 / l1 * (ym - y1) ELSE ym + ((l1 + l2) / 2 - l1) / l2 * (y2 - ym) END, y1) FROM line)
+  FROM found f LEFT JOIN node ON node_id = object_id LEFT JOIN outcome USING (rule_id)){PLACES}
 """
 
 
 def _rule_values() -> str:
-    rows = [f"('{r}', '{s}', 'ran', '{enrich._population(r)}')" for r, (s, _, _) in findings.RULES.items()]
+    ran = lambda r: f"'ran', '{enrich._population(r)}'" if r in oracles.BODIES else "'not run', NULL"
+    rows = [f"('{r}', '{s}', {ran(r)})" for r, (s, _, _) in findings.RULES.items()]
     return ", ".join(rows + [f"('{r}', 'W', 'skeleton', NULL)" for r in enrich.SKELETONS])
 
 
@@ -176,8 +175,15 @@ _FINDINGS: dict[str, tuple[Callable, str]] = {
     ),
 }
 
-#: Rules whose exact answer SQL does not give; tests compare them with brute force.
-_WITHOUT_SQL = ("TOP-006", "TOP-007", "TOP-017", "BTR-006", "ADM-003")
+#: The label pattern of the query ADM-003; a network's own pattern is a setting.
+LABEL_PATTERN = "(put|s)-[0-9]*[0-8]$"
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.run("ADM-003", projection.tables(spark, sf_dir, config.Config(label_pattern=LABEL_PATTERN)))
+
+
+ADM_003 = f"SELECT object_id, label AS detail FROM (SELECT node_id AS object_id, label FROM node UNION ALL SELECT conduit_id, label FROM conduit) WHERE NOT regexp_matches(label, '^(?:{LABEL_PATTERN})')"
 
 
 def _name(rule_id: str) -> str:
@@ -185,7 +191,7 @@ def _name(rule_id: str) -> str:
 
 
 def queries() -> dict[str, Query]:
-    found: dict[str, Query] = {_name(r): partial(_rule, r) for r in (*oracles.BODIES, *_WITHOUT_SQL)}
+    found: dict[str, Query] = {_name(r): partial(_rule, r) for r in oracles.BODIES} | {"adm_003": _labels}
     found |= {name: partial(_on, f) for name, (f, _) in _NETWORK.items()}
     found |= {name: partial(_on, f) for name, (f, _) in _FINDINGS.items()}
     found |= {name: partial(_report, f) for name, (f, _) in _REPORTS.items()}
@@ -194,6 +200,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     found = {_name(r): oracles.finding_sql(r, findings.RULES[r][0]) for r in oracles.BODIES}
+    found["adm_003"] = oracles.wrapped("ADM-003", findings.RULES["ADM-003"][0], "", ADM_003)
     found |= {name: sql for name, (_, sql) in (_NETWORK | _REPORTS).items() if sql}
     some = _found_sql()
     found |= {name: some + sql for name, (_, sql) in _FINDINGS.items()}
