@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pipelens import config, findings
 from pipelens.operators import attributes, enrich, external, graph, heights, hierarchy, network, reports, summaries, topology  # noqa: F401  (rules register themselves)
-from pipelens.plans import oracles, projection
+from pipelens.plans import export, more, oracles, projection
 from pipelens.plans.oracles import COMMON, GRAPH
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,13 +134,13 @@ def _judged(t) -> DataFrame:
     )
 
 
-def _found_sql() -> str:
+def _found_sql(before: str = "") -> str:
     none = "SELECT NULL::VARCHAR AS object_id, NULL::VARCHAR AS object2_id, NULL::VARCHAR AS detail, NULL::DOUBLE AS value, NULL::DOUBLE AS threshold, NULL::VARCHAR AS rule_id, NULL::VARCHAR AS severity WHERE false"
     inner = lambda more: f"WITH RECURSIVE {more.lstrip(', ')} " if more else ""
     parts = " UNION ALL BY NAME ".join(
         f"SELECT *, '{r}' AS rule_id, '{findings.RULES[r][0]}' AS severity FROM ({inner(more)}SELECT object_id, * EXCLUDE (object_id) FROM ({body}))" for r, (more, body) in oracles.BODIES.items()
     )
-    return f"""{COMMON}, found AS (SELECT *, substr(sha256(concat_ws('|', rule_id, object_id, coalesce(object2_id, ''), coalesce(detail, ''))), 1, 16) AS finding_id FROM ({none} UNION ALL BY NAME {parts})),
+    return f"""{COMMON}{before}, found AS (SELECT *, substr(sha256(concat_ws('|', rule_id, object_id, coalesce(object2_id, ''), coalesce(detail, ''))), 1, 16) AS finding_id FROM ({none} UNION ALL BY NAME {parts})),
 outcome AS (SELECT rule_id, severity, status, coalesce(examined, 0) AS examined, coalesce(n, 0) AS found, 0::BIGINT AS omitted, round(100 * coalesce(n, 0) / nullif(examined, 0), 2) AS percentage, coalesce(coalesce(n, 0) / nullif(examined, 0) > 0.8, false) AS systemic
   FROM (VALUES {_rule_values()}) r(rule_id, severity, status, population) LEFT JOIN (SELECT rule_id, count(*) AS n FROM found GROUP BY 1) USING (rule_id)
   LEFT JOIN (SELECT 'node' AS population, count(*) AS examined FROM node UNION ALL SELECT 'gravity', count(*) FROM grav UNION ALL SELECT 'conduit', count(*) FROM conduit) USING (population)),
@@ -195,7 +195,7 @@ def queries() -> dict[str, Query]:
     found |= {name: partial(_on, f) for name, (f, _) in _NETWORK.items()}
     found |= {name: partial(_on, f) for name, (f, _) in _FINDINGS.items()}
     found |= {name: partial(_report, f) for name, (f, _) in _REPORTS.items()}
-    return found | {"hier_1": _closure}
+    return found | {"hier_1": _closure} | export.queries() | more.queries(_evidence, _patterns, _all)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -204,4 +204,4 @@ def oracle_sql() -> dict[str, str]:
     found |= {name: sql for name, (_, sql) in (_NETWORK | _REPORTS).items() if sql}
     some = _found_sql()
     found |= {name: some + sql for name, (_, sql) in _FINDINGS.items()}
-    return found | {"hier_1": CLOSURE}
+    return found | {"hier_1": CLOSURE} | export.oracle_sql() | more.oracle_sql(HITS, PATTERNS, _found_sql)

@@ -107,7 +107,7 @@ REPORT = """
 SELECT concat('cfk', event_id % 3) AS cfk, concat('O', user_id) AS focus_node, event_type AS source,
   CASE WHEN value > 50 THEN 'Violation' ELSE 'Warning' END AS severity,
   CASE WHEN user_id % 11 <> 0 THEN concat('T', user_id % 7) END AS object_type,
-  hour(ts) < 12 AS early
+  hour(ts) < 12 AS early, ts AS seen
 FROM events
 """
 
