@@ -45,10 +45,13 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; one of our own only where that is unset on a single machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -57,6 +60,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: A key is hot if it has more than this part of the rows, and at least so many.
+HOT_SHARE, HOT_ROWS = 1000, 100
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """(key): the keys of more than a HOT_SHARE-th of the rows; there can't be more than HOT_SHARE of them."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where(F.col("n") > max(total // HOT_SHARE, HOT_ROWS)).select(key)
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join with a table that has each key once. Rows of hot keys stay where they are and meet their few table rows by a broadcast."""
+    hot = cut(hot_keys(rows, key))
+    if hot.isEmpty():
+        return rows.join(table, key)
+    hot = F.broadcast(hot)
+    warm = rows.join(F.broadcast(table.join(hot, key, "left_semi")), key)
+    return warm.unionByName(rows.join(hot, key, "left_anti").join(table, key))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The frame with its lineage cut by a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

@@ -12,15 +12,16 @@ def connected(pairs: DataFrame) -> DataFrame:
     """(v, label) of every vertex of ``pairs`` (a, b); the label is the smallest vertex it reaches.
 
     Each round every vertex takes the smallest label around it and then that label's own
-    label, so distances halve. Rounds are cut by checkpoints; only a count comes back.
+    label, so distances halve. Rounds are cut by checkpoints; only counts come back. A hub of
+    many edges or a label of many vertices is a hot key and is joined by a broadcast.
     """
     edges = common.cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = common.cut(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
-        around = edges.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
-        hooked = labels.join(around, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        around = common.spread_join(edges, labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
+        hooked = common.cut(labels.join(around, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label")))
         up = hooked.select(F.col("v").alias("label"), F.col("label").alias("above"))
-        nxt = common.cut(hooked.join(up, "label", "left").select("v", "old", F.least("label", "above").alias("label")))
+        nxt = common.cut(common.spread_join(hooked, up, "label").select("v", "old", F.least("label", "above").alias("label")))
         if nxt.where("label <> old").isEmpty():
             return nxt.select("v", "label")
         labels = nxt.select("v", "label")

@@ -159,7 +159,8 @@ def components(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     labels = connected(close_pairs(firsts.select("fp"), distance))
     of = firsts.join(labels.select(F.col("v").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     smallest = of.groupBy("label").agg(F.min("first").alias("component_id"))
-    return rows.join(of.join(smallest, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    of = common.cut(common.spread_join(of, smallest, "label").select("fp", "component_id"))
+    return common.spread_join(rows, of, "fp").select("doc_id", "fp", "component_id")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
