@@ -13,8 +13,8 @@ in order of size, so a source's error is about one document. Positions within a
 come from three small steps: over sizes, over salted parts of a size, over a part's rows.
 
 Defined results: a null or blank text has size 0 and takes 0 words; a null source is one
-source; sources of equal name are one; repeated rows are separate documents, and equal
-rows may get different copies; a source of no words has target 0; other columns are kept by
+source; sources of equal name are one; repeated rows are separate documents, and rows
+of equal id and text may get different copies; a source of no words has target 0; other columns are kept by
 ``mix``; an empty table gives no rows.
 """
 
@@ -28,7 +28,6 @@ from . import common
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
 CAP = 2.0
-ROUNDS = 40
 TOLERANCE = 1e-9
 #: Parts of the rows of one (source, size) that are numbered apart.
 SALTS = 64
@@ -67,7 +66,7 @@ def tilts(cells: DataFrame, goals: DataFrame) -> DataFrame:
     goals = goals.where((F.col("target") > 0) & (F.col("target") < CAP * F.col("source_size") * (1 - 1e-12)))
     goals = goals.select("key", "target", (F.col("source_size") / F.col("n_docs")).alias("mean"))
     state = common.cut(goals.select("*", F.lit(0.0).alias("tilt"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(False).alias("done")))
-    for _ in range(ROUNDS):
+    while True:
         rate = _rate(F.col("size"), F.col("mean"), F.col("tilt"))
         sums = (
             cells.join(state.where("not done"), "key")
@@ -87,11 +86,13 @@ def tilts(cells: DataFrame, goals: DataFrame) -> DataFrame:
         inside = F.when((newton > F.coalesce(low, newton - 1)) & (newton < F.coalesce(high, newton + 1)), stepped).otherwise(
             F.coalesce((low + high) / 2, stepped)
         )
-        met = F.coalesce(F.abs(gap) <= TOLERANCE * F.col("target"), F.lit(True))
+        step = F.coalesce(inside, F.col("tilt"))
+        # Done where the words fit, or where no number lies between the bracket's ends any more.
+        met = F.coalesce((F.abs(gap) <= TOLERANCE * F.col("target")) | (step == F.col("tilt")) | (high - low <= 1e-14 * F.greatest(F.abs("tilt"), F.lit(1.0))), F.lit(True))
         state = common.cut(
             state.join(sums, "key", "left").select(
                 "key", "target", "mean",
-                F.when(met, F.col("tilt")).otherwise(F.coalesce(inside, F.col("tilt"))).alias("tilt"),
+                F.when(met, F.col("tilt")).otherwise(step).alias("tilt"),
                 F.when(F.col("words").isNull(), F.col("low")).otherwise(low).alias("low"),
                 F.when(F.col("words").isNull(), F.col("high")).otherwise(high).alias("high"),
                 met.alias("done"),
@@ -117,7 +118,7 @@ def copies(docs: DataFrame) -> DataFrame:
     source = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))
     keyed = docs.select(
         F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("source"), source.alias("key"),
-        word_count(F.col("text")).alias("size"), F.xxhash64("doc_id").alias("row_hash"),
+        word_count(F.col("text")).alias("size"), F.xxhash64("doc_id").alias("row_hash"), F.xxhash64("text").alias("text_hash"),
     )
     cells = common.cut(keyed.groupBy("key", "source", "size").agg(F.count("*").alias("n")))
     totals = cells.groupBy("key", "source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("n_docs"))
@@ -131,7 +132,7 @@ def copies(docs: DataFrame) -> DataFrame:
     parts = salted.groupBy("key", "size", "salt").agg(F.count("*").alias("m"))
     ahead = Window.partitionBy("key", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("skip", F.coalesce(F.sum("m").over(ahead), F.lit(0))).join(rated, ["key", "size"]).drop("m")
-    within = Window.partitionBy("key", "size", "salt").orderBy("row_hash", "id")
+    within = Window.partitionBy("key", "size", "salt").orderBy("row_hash", "id", "text_hash")
     placed = salted.withColumn("place", F.row_number().over(within)).join(parts, ["key", "size", "salt"])
     upto = F.col("start") + F.col("rate") * (F.col("skip") + F.col("place"))
     n = F.floor(upto + 0.5 + 1e-9) - F.floor(upto - F.col("rate") + 0.5 + 1e-9)
