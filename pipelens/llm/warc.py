@@ -48,9 +48,9 @@ DIGESTS = {"md5": hashlib.md5, "sha1": hashlib.sha1, "sha256": hashlib.sha256, "
 
 _VERSION = b"WARC/1.1\r\n"
 _GZIP = b"\x1f\x8b\x08"
-_CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
-_HEADLINE = re.compile(rb"WARC/1\.[01]\r\n")
-_HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n:]+:[^\r\n]*\r\n)*)\r\n")
+_CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r?\n")
+_HEADLINE = re.compile(rb"WARC/1\.[01]\r?\n")
+_HEAD = re.compile(rb"WARC/1\.[01]\r?\n((?:[^\r\n:]+:[^\r\n]*\r?\n(?:[ \t][^\r\n]*\r?\n)*)*)\r?\n")
 _URN = "urn:page:"
 
 
@@ -82,19 +82,21 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     if not head:
         raise ValueError("no version line and headers")
     fields = {}
-    for line in head[1].decode("utf-8", "replace").split("\r\n")[:-1]:
+    # Lines may end in a line feed alone, and one that begins with white space goes on with the one before.
+    for line in re.split(r"\r?\n", re.sub(r"\r?\n[ \t]+", " ", head[1].decode("utf-8", "replace")))[:-1]:
         key, _, value = line.partition(":")
         fields[key.lower()] = value.strip()
     length = fields.get("content-length", "")
     if not re.fullmatch(r"[0-9]{1,15}", length):
         raise ValueError("no content length")
     end = head.end() + int(length)
-    if data[end : end + 4] != b"\r\n\r\n":
+    blank = next((x for x in (b"\r\n\r\n", b"\n\n") if data[end : end + len(x)] == x), None)
+    if blank is None:
         raise ValueError("record is cut or its length is wrong")
     fields["payload"] = data[head.end() : end]
     if fields.get("warc-type") != "revisit":
         _check_digest(fields)
-    return fields, end + 4
+    return fields, end + len(blank)
 
 
 def _check_digest(fields: dict) -> None:
@@ -266,7 +268,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     plan_records(pages).mapInArrow(_write(uri, archive_bytes), "name string, records long, bytes long").write.parquet(f"{folder}/manifest")
 
 
-def _read(batches):
+def _read(batches, payloads: bool = True):
     for batch in batches:
         for path, data in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
             name = path.rsplit("/", 1)[-1]
@@ -280,7 +282,7 @@ def _read(batches):
                 for value, values in zip(
                     (
                         kind, name, start, end, what if kind == "gap" else record.get("note"), record.get("warc-type"), int(page[1]) if page else None, int(refers[1]) if refers else None,
-                        record.get("warc-target-uri"), record.get("warc-payload-digest", "").removeprefix("sha256:") or None, payload.decode("utf-8", "replace") if payload is not None else None,
+                        record.get("warc-target-uri"), record.get("warc-payload-digest", "").removeprefix("sha256:") or None, payload.decode("utf-8", "replace") if payloads and payload is not None else None,
                         None if payload is None or record.get("warc-type") == "revisit" else len(payload),
                         None if payload is None or record.get("warc-type") == "revisit" else hashlib.sha256(payload).hexdigest(),
                     ),
@@ -302,21 +304,25 @@ _READ_TYPES = {
 _READ_SCHEMA = "kind string, archive string, start long, end long, reason string, record_type string, page_id long, refers_to long, url string, header_digest string, payload string, payload_bytes long, payload_digest string"
 
 
-def read_archives(spark, folder: str, names: DataFrame | None = None) -> DataFrame:
-    """Rows of kind 'record' and 'gap' of all archives under ``folder``; ``names`` limits them to a manifest's."""
+def read_archives(spark, folder: str, names: DataFrame | None = None, payloads: bool = True) -> DataFrame:
+    """Rows of kind 'record' and 'gap' of all archives under ``folder``; ``names`` limits them to a manifest's; without ``payloads`` their digests and lengths alone come back."""
     common.ship_package(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(f"{folder}/archives").select("path", "content")
     if names is not None:
         files = files.join(names.select("name"), F.element_at(F.split("path", "/"), -1) == F.col("name"), "left_semi")
-    return files.mapInArrow(_read, _READ_SCHEMA)
+    return files.mapInArrow(lambda batches: _read(batches, payloads), _READ_SCHEMA)
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
     """The contract's query: all pages are written, read back, and revisits resolved through their responses."""
     folder = common.scratch(spark, "warc")
     write_archives(common.table(spark, sf_dir, "pages"), folder)
-    rows = read_archives(spark, folder, spark.read.parquet(f"{folder}/manifest")).where("kind = 'record'")
-    rows = common.written(rows.select("page_id", "record_type", "refers_to", "header_digest", "payload_bytes", "payload_digest"), "warc-rows")
+    read = read_archives(spark, folder, spark.read.parquet(f"{folder}/manifest"), payloads=False)
+    read = common.written(read.select("kind", "archive", "start", "end", "reason", "page_id", "record_type", "refers_to", "header_digest", "payload_bytes", "payload_digest"), "warc-rows")
+    gap = read.where("kind = 'gap'").first()
+    if gap is not None:
+        raise ValueError(f"{gap['archive']}: bytes {gap['start']} to {gap['end']} were lost: {gap['reason']}")
+    rows = read.where("kind = 'record'")
     responses = (
         rows.where("record_type = 'response' and page_id is not null")
         .join(rows.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id")).distinct(), "page_id", "left_semi")
