@@ -30,7 +30,7 @@ from . import common
 K = 128
 WORDS = 5
 #: Ranges of ids are at most so many, of about so many bytes of text.
-RANGES = 4096
+RANGES = 1 << 16
 RANGE_BYTES = 4 << 20
 
 _LEAST = -(2**63)
@@ -146,7 +146,7 @@ def compare_neighbours(docs: DataFrame, ranges: int = RANGES, range_bytes: int =
 
     The ids are cut into ranges. Texts are shuffled once, by range; each range also gets a
     copy of the first row of the next one, so that every neighbour stands in one task. The
-    only thing collected is a row per range (4096 at most).
+    only thing collected is a row per range (65,536 at most).
     """
     spark = docs.sparkSession
     common.ship_package(spark)
