@@ -1,19 +1,24 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words of a clause are read as symbols: insult, threat, target, negation, report or other.
-Transducers rewrite the symbols one after the other: negation marks the insults and
-threats of the next words, reported speech marks those after it, a target marks those
-near it. They are composed into a single automaton by the product of their states; what it
-puts out for a clause is a count of marked matches. The weights of the marks, and the
-insult stems that the seed words lack, are learned from a bounded sample of labelled rows
-(SAMPLE of each label), never from rows that are held out.
+Words of a clause are read as symbols: insult, threat, intent, target, negation, report or
+other. Four transducers rewrite the symbols, each reading what the one before it wrote:
+negation marks the insults, threats, intents and report words after it; reported speech
+begins at a report word that is not negated and marks the insults and threats after it; an
+intent that is not negated marks the threats after it ("will hurt"); a target marks the
+insults and threats near it. They are composed into one automaton by the product of their
+states. A match's weight is the sum of the weights of its arcs (ARCS) before anything is
+learned: a bare threat word says little, an intent, a threat and a target together say a
+threat, and a negated or reported insult says less than a direct one. What the automaton
+puts out for a text is the weight of the matches by their marks; the weights of the marks,
+and the insult stems that the seed words lack, are learned from a bounded sample of
+labelled rows (SAMPLE of each label), never from rows that are held out.
 
 Only clauses in which an Aho-Corasick automaton finds an insult or a threat are read.
 
 Defined results: a null or empty text has no clauses and the score of the bias alone;
 repeated rows are scored row by row; null labels and null ids of labels are ignored, an id
 with several labels counts as toxic if one is; without labels of both kinds the weights
-are the fixed ones below; other columns are ignored; an empty table gives no rows.
+are the sums of ARCS; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,65 +47,99 @@ TARGETS = "you your u he she they them him her these those people du ihr sie euc
 NEGATIONS = "not no never isn't aren't don't nicht kein nie ne pas jamais non nunca".split()
 REPORTS = "said says say claimed claims quoted wrote asked told sagte schrieb dit écrit dijo escribió".split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-#: Marks on a match.
-TARGETED, NEGATED, REPORTED = 1, 2, 4
+INTENTS = "will gonna going shall werde wirst wird vais vas va voy vamos".split()
+
+OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT = range(7)
+KINDS = 7
+#: Marks on a symbol: what the transducers add to the kind.
+NEGATED, REPORTED, INTENDED, TARGETED = 8, 16, 32, 64
 #: Outputs of the composed automaton: (insult or threat) x marks.
-OUTPUTS = 16
-#: Words that a negation or a target reaches.
+OUTPUTS = 32
+#: Weights of the arcs that a match's path takes; a reported or negated match keeps a little.
+ARCS = {"insult": 3.5, "threat": 0.5, NEGATED: -2.5, REPORTED: -2.5, INTENDED: 1.25, TARGETED: 1.75}
+BIAS = -3.0
+#: Words that a negation, an intent or a target reaches.
 REACH = 3
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE = re.compile(r"[.!?;\n]")
 
 
-def _negation_transducer():
-    """States: words left that a negation reaches. Output: the mark on a match."""
-    step = lambda state, symbol: REACH if symbol == NEGATION else max(0, state - 1)
-    return range(REACH + 1), step, lambda state, symbol: NEGATED if state else 0
+def _kind(symbol: int) -> int:
+    return symbol & 7
+
+
+def _is_match(symbol: int) -> bool:
+    return _kind(symbol) in (INSULT, THREAT)
+
 
+def _negation(state: int, symbol: int) -> tuple[int, int]:
+    """States: words left that a negation reaches."""
+    marked = symbol | NEGATED if state and _kind(symbol) in (INSULT, THREAT, INTENT, REPORT) else symbol
+    return (REACH if _kind(symbol) == NEGATION else max(0, state - 1)), marked
 
-def _report_transducer():
-    """States: whether a report word has been read in the clause."""
-    return range(2), lambda state, symbol: int(state or symbol == REPORT), lambda state, symbol: REPORTED if state else 0
 
+def _report(state: int, symbol: int) -> tuple[int, int]:
+    """States: whether reported speech has begun; "never said" does not begin it."""
+    marked = symbol | REPORTED if state and _is_match(symbol) else symbol
+    return int(state or (_kind(symbol) == REPORT and not symbol & NEGATED)), marked
 
-def _target_transducer():
+
+def _intent(state: int, symbol: int) -> tuple[int, int]:
+    """States: words left that an intent reaches; "will not" has none."""
+    marked = symbol | INTENDED if state and _kind(symbol) == THREAT else symbol
+    return (REACH if _kind(symbol) == INTENT and not symbol & NEGATED else 0 if _kind(symbol) == NEGATION else max(0, state - 1)), marked
+
+
+def _target(state: int, symbol: int) -> tuple[int, int]:
     """States: words left that a target reaches."""
-    step = lambda state, symbol: REACH if symbol == TARGET else max(0, state - 1)
-    return range(REACH + 1), step, lambda state, symbol: TARGETED if state else 0
+    marked = symbol | TARGETED if state and _is_match(symbol) else symbol
+    return (REACH if _kind(symbol) == TARGET else max(0, state - 1)), marked
+
 
+#: The transducers in the order of their composition.
+CASCADE = (_negation, _report, _intent, _target)
 
-def _match_transducer():
-    """One state; its output tells threats from insults."""
-    return range(1), lambda state, symbol: 0, lambda state, symbol: 8 if symbol == THREAT else 0
 
+def output(symbol: int) -> int:
+    """The output of a marked match, or -1 for other symbols."""
+    return (symbol >> 3) * 2 + (_kind(symbol) == THREAT) if _is_match(symbol) else -1
 
-@functools.lru_cache(maxsize=1)
-def grammar() -> tuple[np.ndarray, np.ndarray]:
-    """The composition: next state by (state, symbol), and the output of matches (or -1)."""
-    states, index, edges, outputs = [(0, 0, 0, 0)], {(0, 0, 0, 0): 0}, [], []
-    parts = [_negation_transducer(), _report_transducer(), _target_transducer(), _match_transducer()]
+
+@functools.lru_cache(maxsize=2)
+def grammar(cascade: tuple = CASCADE) -> tuple[list[list[int]], list[list[int]]]:
+    """The composition: next state by (state, symbol), and the output of matches (or -1). A transducer reads what the one before it writes."""
+    start = (0,) * len(cascade)
+    states, index, edges, outputs = [start], {start: 0}, [], []
     for state in states:
         row, out = [], []
-        for symbol in range(6):
-            nxt = tuple(step(s, symbol) for (_, step, _), s in zip(parts, state, strict=True))
-            if nxt not in index:
-                index[nxt] = len(states)
-                states.append(nxt)
-            row.append(index[nxt])
-            out.append(sum(emit(s, symbol) for (_, _, emit), s in zip(parts, state, strict=True)) if symbol in (INSULT, THREAT) else -1)
+        for symbol in range(KINDS):
+            written, nxt = symbol, []
+            for step, own in zip(cascade, state, strict=True):
+                own, written = step(own, written)
+                nxt.append(own)
+            if tuple(nxt) not in index:
+                index[tuple(nxt)] = len(states)
+                states.append(tuple(nxt))
+            row.append(index[tuple(nxt)])
+            out.append(output(written))
         edges.append(row)
         outputs.append(out)
-    return np.array(edges), np.array(outputs)
+    return edges, outputs
+
+
+def path_weight(out: int) -> float:
+    """The sum of the weights of a match's arcs, at least a little."""
+    marks = (out // 2) << 3
+    return max(0.25, ARCS["threat" if out % 2 else "insult"] + sum(w for mark, w in ARCS.items() if isinstance(mark, int) and marks & mark))
 
 
 class Lexicon:
     """Symbols of words: whole words, and stems that open a word, with a weight each."""
 
     def __init__(self, stems: dict[str, float]):
-        self.symbols = {w: OTHER for w in ()}
-        for words, symbol in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT), (INSULTS, INSULT)):
+        self.symbols: dict[str, int] = {}
+        for words, symbol in ((INTENTS, INTENT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT), (INSULTS, INSULT)):
             self.symbols.update(dict.fromkeys(words, symbol))
         self.weights = dict.fromkeys((*INSULTS, *THREATS), 1.0)
         self.prefixes = {s[:-1]: w for s, w in stems.items() if s.endswith("*")}
@@ -135,28 +174,33 @@ class Lexicon:
             yield max(lo, 0), done
 
 
+def read_clause(symbols: list[int]) -> dict[int, int]:
+    """Output of each match of a clause, by its place."""
+    edges, outputs = grammar()
+    state, marks = 0, {}
+    for k, symbol in enumerate(symbols):
+        if outputs[state][symbol] >= 0:
+            marks[k] = outputs[state][symbol]
+        state = edges[state][symbol]
+    # A target may also stand after its match: the target transducer reads the clause backwards too.
+    state = 0
+    for k in range(len(symbols) - 1, -1, -1):
+        state, written = _target(state, symbols[k])
+        if k in marks and written & TARGETED:
+            marks[k] |= 2 * (TARGETED >> 3)
+    return marks
+
+
 def match_counts(text: str | None, lexicon: Lexicon) -> np.ndarray:
     """Weight of the matches by output of the grammar."""
-    edges, outputs = grammar()
     counts = np.zeros(OUTPUTS)
     if not text:
         return counts
     text = text.lower()
     for lo, hi in lexicon.clauses(text):
         read = [lexicon.read(w[0]) for w in _WORD.finditer(text, lo, hi)]
-        # A target may also stand after its match: the clause is read in both directions and the marks are united.
-        marks = {}
-        for order in (range(len(read)), range(len(read) - 1, -1, -1)):
-            state = 0
-            for k in order:
-                symbol, weight = read[k]
-                out = outputs[state][symbol]
-                if out >= 0:
-                    old = marks.get(k, (0, 0.0))[0]
-                    marks[k] = (old | (out if order.step == 1 else out & (TARGETED | 8)), weight)
-                state = edges[state][symbol]
-        for out, weight in marks.values():
-            counts[out] += weight
+        for k, out in read_clause([symbol for symbol, _ in read]).items():
+            counts[out] += read[k][1]
     return counts
 
 
@@ -186,8 +230,8 @@ def _features(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([counts > 0, np.log1p(counts)], axis=-1).astype(np.float64)
 
 
-#: Weights used where there is nothing to learn from: bias, then presence and log weight of each output.
-FIXED = np.array([-3.0] + [1.0 if k & NEGATED or k & REPORTED else 3.0 for k in range(OUTPUTS)] + [0.5] * OUTPUTS)
+#: Weights before anything is learned: bias, then presence and log weight of each output.
+FIXED = np.array([BIAS] + [path_weight(k) for k in range(OUTPUTS)] + [0.5 if path_weight(k) >= 3 else 0.0 for k in range(OUTPUTS)])
 
 
 def fit(counts: np.ndarray, toxic: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
