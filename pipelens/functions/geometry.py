@@ -106,8 +106,39 @@ def in_ring(px: Column, py: Column, ring: Column) -> Column:
             1,
         ).otherwise(0),
     )
-    on_edge = F.exists(segments(ring), lambda s: point_segment(px, py, s["p"]["x"], s["p"]["y"], s["q"]["x"], s["q"]["y"]) == 0)
-    return (crossings % 2 == 1) | on_edge
+    return (crossings % 2 == 1) | on_ring(px, py, ring)
+
+
+def on_ring(px: Column, py: Column, ring: Column) -> Column:
+    """Whether a point lies on the edge of a closed ring."""
+    return F.exists(segments(ring), lambda s: point_segment(px, py, s["p"]["x"], s["p"]["y"], s["q"]["x"], s["q"]["y"]) == 0)
+
+
+def closed(ring: Column) -> Column:
+    """The ring with its first point at its end."""
+    return F.when(F.element_at(ring, 1) == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.array(F.element_at(ring, 1))))
+
+
+def foot(px: Column, py: Column, s: list[Column]) -> Column:
+    """The point of a segment that is nearest to a point."""
+    dx, dy = s[2] - s[0], s[3] - s[1]
+    length2 = dx * dx + dy * dy
+    t = F.when(length2 == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((px - s[0]) * dx + (py - s[1]) * dy) / F.nullif(length2, F.lit(0.0)))))
+    return F.struct((s[0] + t * dx).alias("x"), (s[1] + t * dy).alias("y"))
+
+
+def crossing_point(a: list[Column], b: list[Column]) -> Column:
+    """The point in which the insides of two segments cross, else null."""
+    s1, s2 = cross(*b, a[0], a[1]), cross(*b, a[2], a[3])
+    t = s1 / F.nullif(s1 - s2, F.lit(0.0))
+    return F.when(properly_cross(a, b), F.struct((a[0] + t * (a[2] - a[0])).alias("x"), (a[1] + t * (a[3] - a[1])).alias("y")))
+
+
+def approach(a: list[Column], b: list[Column]) -> Column:
+    """The middle of the nearest points of two segments: where they cross, or of the first of the four ends that is nearest."""
+    ways = [(a[0], a[1], b), (a[2], a[3], b), (b[0], b[1], a), (b[2], b[3], a)]
+    best = F.array_min(F.array(*[F.struct(point_segment(x, y, *s).alias("d"), F.lit(k).alias("k"), ((x + foot(x, y, s)["x"]) / 2).alias("x"), ((y + foot(x, y, s)["y"]) / 2).alias("y")) for k, (x, y, s) in enumerate(ways)]))
+    return F.coalesce(crossing_point(a, b), F.struct(best["x"].alias("x"), best["y"].alias("y")))
 
 
 def midpoint(pts: Column) -> Column:

@@ -121,13 +121,12 @@ def facility_without_conduit(t):
 @rule("RVZ-004", "W", "plausibility")
 def overflow_far_from_water(t):
     """Overflow manholes without surface water within the distance; without any water there are no findings."""
-    from pipelens.operators import spatial
+    from pipelens.operators import external
 
     own = t.node.where(t.is_a(*config.OVERFLOW_NODE) & F.col("x").isNotNull()).select(F.col("node_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     if t.feature is None:
         return own.where("false").select(F.col("a").alias("object_id"))
-    water = t.feature.where("role = 'water'").select(F.col("feature_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    near = spatial.point_pairs(own, water, t.cfg.water_distance).select("a").distinct()
+    near = external.nodes_at(t, own, "water", radius=t.cfg.water_distance).select("a").distinct()
     return own.join(near, "a", "left_anti").select(F.col("a").alias("object_id"), F.lit(t.cfg.water_distance).alias("threshold"))
 
 

@@ -140,6 +140,42 @@ def segment_pairs(segments: DataFrame, radius: float, size: float) -> DataFrame:
     ))
 
 
+def cross_pairs(lines: DataFrame, edges: DataFrame, radius: float, size: float) -> DataFrame:
+    """Pairs of a segment of ``lines`` (a) and one of ``edges`` (b) that may lie within ``radius`` of each other, each pair once."""
+    left, right = (cut(_boxed(df, size, F.lit(radius / 2 + 1e-9))) for df in (lines, edges))
+    levels = sorted({*_levels(left), *_levels(right)}) or [0]
+    kept = (*_COLUMNS, "lo_x", "lo_y", "hi_x", "hi_y")
+    side = lambda df, p, *more: df.select("level", "cx", "cy", *[F.col(c).alias(f"{p}_{c}") for c in (*kept, *more)])
+    corner = [F.greatest(F.col(f"p_lo_{axis}"), F.col(f"q_lo_{axis}")) for axis in ("x", "y")]
+    once = (F.col("cx") == _cell(corner[0], _size(F.col("level"), size))) & (F.col("cy") == _cell(corner[1], _size(F.col("level"), size)))
+    meet = once & (corner[0] <= F.least("p_hi_x", "q_hi_x")) & (corner[1] <= F.least("p_hi_y", "q_hi_y"))
+    found = None
+    for part in ([k for k in levels if k <= FINE], [k for k in levels if k > FINE]):
+        for first, second, own in ((left, right, F.col("q_own") <= F.col("level")), (right, left, F.col("q_own") < F.col("level"))):
+            if not part:
+                continue
+            p, q = side(_dealt(first.where(F.col("level").isin(part)), size), "p"), side(_dealt(_raised(second, part), size), "q", "own")
+            met = p.join(q, ["level", "cx", "cy"]).where(own & meet & ~_apart("p", "q", F.lit(radius)) & ~_apart("q", "p", F.lit(radius)))
+            of = ("p", "q") if first is left else ("q", "p")
+            rows = met.select(*[F.col(f"{of[0]}_{c}").alias(f"a_{c}") for c in _COLUMNS], *[F.col(f"{of[1]}_{c}").alias(f"b_{c}") for c in _COLUMNS])
+            found = rows if found is None else found.unionByName(rows)
+    return cut(found)
+
+
+def in_areas(points: DataFrame, areas: DataFrame, size: float) -> DataFrame:
+    """(a, area_id, strict): points (a, ax, ay) within or on the edge of areas (area_id, ring); strict is whether they are not on the edge."""
+    box = lambda f, axis: f(F.transform("ring", lambda p: p[axis]))
+    ends = areas.where(F.size("ring") >= 3).select("area_id", "ring", box(F.array_min, "x").alias("x1"), box(F.array_min, "y").alias("y1"), box(F.array_max, "x").alias("x2"), box(F.array_max, "y").alias("y2"))
+    boxed = cut(_boxed(ends, size, F.lit(0.0)))
+    levels = _levels(boxed) or [0]
+    wide = _size(F.col("level"), size)
+    placed = points.where(g.finite(F.col("ax")) & g.finite(F.col("ay"))).withColumn("level", F.explode(F.array(*[F.lit(k) for k in levels])))
+    placed = placed.withColumn("cx", _cell(F.col("ax"), wide)).withColumn("cy", _cell(F.col("ay"), wide))
+    near = placed.join(_dealt(boxed, size), ["level", "cx", "cy"]).where(F.col("ax").between(F.col("lo_x"), F.col("hi_x")) & F.col("ay").between(F.col("lo_y"), F.col("hi_y")))
+    inside = near.where(g.in_ring(F.col("ax"), F.col("ay"), F.col("ring")))
+    return inside.select("a", "area_id", (~g.on_ring(F.col("ax"), F.col("ay"), F.col("ring"))).alias("strict"))
+
+
 def point_segment_pairs(points: DataFrame, segments: DataFrame, radius: float, size: float) -> DataFrame:
     """(a, id, dist): points (a, ax, ay) and lines within ``radius``, with the least distance."""
     boxed = cut(_boxed(segments, size, F.lit(radius)))

@@ -76,7 +76,8 @@ FEATURE = """
 SELECT concat('F', p_partkey) AS feature_id,
   CASE p_partkey % 4 WHEN 0 THEN 'building' WHEN 1 THEN 'water' WHEN 2 THEN 'cover' ELSE 'structure' END AS role,
   100000e0 + (m % 200) * 25e0 + (m * 7919 % 100) / 50e0 + (p_partkey % 5) * 0.4e0 AS x,
-  400000e0 + floor(m / 200e0) * 25e0 + (m * 104729 % 100) / 50e0 + (p_partkey % 3) * 0.3e0 AS y
+  400000e0 + floor(m / 200e0) * 25e0 + (m * 104729 % 100) / 50e0 + (p_partkey % 3) * 0.3e0 AS y,
+  CASE WHEN p_partkey % 3 = 0 THEN 1.5e0 + p_partkey % 4 END AS half
 FROM (SELECT p_partkey, p_partkey * 7 AS m FROM part)
 """
 
@@ -143,7 +144,7 @@ def _build(spark: SparkSession, sf_dir: str) -> Tables:
         conduit=graph.written(conduit),
         class_edge=tree,
         vocabulary=vocabulary(),
-        feature=spark.sql(FEATURE.replace("FROM part", "FROM {part}"), part=parts),
+        feature=_areas(spark.sql(FEATURE.replace("FROM part", "FROM {part}"), part=parts)),
         raster=of(RASTER),
         weir=of(WEIR),
         part=of(PART).withColumn("child_types", F.array("child_cls")),
@@ -151,6 +152,13 @@ def _build(spark: SparkSession, sf_dir: str) -> Tables:
     )
 
 
+def _areas(feature: DataFrame) -> DataFrame:
+    """Features with a half width are squares around their point, the others points."""
+    corner = lambda i, j: F.struct((F.col("x") + i * F.col("half")).alias("x"), (F.col("y") + j * F.col("half")).alias("y"))
+    ring = F.array(*[corner(i, j) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
+    return feature.withColumn("ring", F.when(F.col("half").isNotNull(), ring))
+
+
 def vocabulary() -> dict[str, set[str]]:
     """Descendants of each class of the package's own tree, a few dozen names."""
     found: dict[str, set[str]] = {}
