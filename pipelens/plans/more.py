@@ -6,8 +6,8 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from pipelens import config
-from pipelens.operators import analytics, build, reports, summaries
+from pipelens import config, findings
+from pipelens.operators import analytics, attributes, build, enrich, external, graph, heights, network, reports, summaries, topology  # noqa: F401  (rules register themselves)
 from pipelens.plans import projection
 from pipelens.plans.oracles import COMMON, GRAPH
 
@@ -18,9 +18,14 @@ _REACH = ", got(id) AS (SELECT node_id FROM node WHERE cls = 'Gemaal' UNION SELE
 _BOBS = "(SELECT bob_start AS v FROM conduit WHERE bob_start IS NOT NULL UNION ALL SELECT bob_end FROM conduit WHERE bob_end IS NOT NULL)"
 _DELTA = "SELECT cfk, source, count(*) FILTER (early) AS earlier, count(*) FILTER (NOT early) AS later, count(*) FILTER (NOT early) - count(*) FILTER (early) AS difference FROM report GROUP BY ALL"
 _COUNTS = "SELECT cfk, source, count(*) AS n, count(*) FILTER (severity = 'Violation') AS errors, count(*) FILTER (severity = 'Warning') AS warnings FROM report GROUP BY ALL"
+_LABELS = "SELECT node_id AS id, label FROM node UNION ALL SELECT conduit_id, label FROM conduit"
 _TYPED = "(SELECT node_id AS object_id, cls FROM node UNION ALL SELECT conduit_id, cls FROM conduit)"
 
 
+def _dimensions() -> str:
+    return ", ".join(f"('{r}', '{d}')" for r, (_, d, _) in findings.RULES.items())
+
+
 def _direction(t):
     return build.direction_labels(t)
 
@@ -144,6 +149,22 @@ ON_FINDINGS = {
         f"SELECT cls AS type_name, count(*) AS n FROM (SELECT DISTINCT object_id FROM found WHERE rule_id = 'HGT-004') JOIN {_TYPED} USING (object_id) GROUP BY 1 ORDER BY n DESC, type_name LIMIT 5",
         "",
     ),
+    "fnd_5": (
+        lambda found, t: enrich.full(found, t, "orders", core=t.node.where("node_id like '%3'").select(F.col("node_id").alias("object_id")), unreliable=analytics.unreliable(t, _generic(t))).select(
+            "finding_id", "category", "dimension", "object_label", "object2_label", "cluster_id", "scope", "typing_reliable", "priority", "systemic", F.col("attributes")["detail"].alias("detail"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "run_date", "dataset"
+        ),
+        f"""SELECT CASE WHEN nth > 1 THEN concat(finding_id, '-', nth) ELSE finding_id END AS finding_id, split_part(rule_id, '-', 1) AS category, dimension, l.label AS object_label, m.label AS object2_label, name AS cluster_id,
+        CASE WHEN object_id IN (SELECT node_id FROM node WHERE node_id LIKE '%3') THEN 'core' ELSE 'shell' END AS scope, object_id NOT IN (SELECT object_id FROM {_TYPED} WHERE cls IN ('BlindePut', 'Duiker')) AS typing_reliable, priority, systemic, detail,
+        round(place.x, 6) AS x, round(place.y, 6) AS y, DATE '2026-01-01' AS run_date, 'orders' AS dataset
+        FROM (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY object_id NULLS FIRST, object2_id NULLS FIRST, detail NULLS FIRST, value NULLS FIRST) AS nth FROM judged) f
+        LEFT JOIN ({_LABELS}) l ON l.id = object_id LEFT JOIN ({_LABELS}) m ON m.id = object2_id LEFT JOIN own USING (object_id) LEFT JOIN names USING (component) LEFT JOIN place USING (object_id) JOIN (VALUES {_dimensions()}) d(rule_id, dimension) USING (rule_id)""",
+        GRAPH + _NAMES + _OWN,
+    ),
+    "fnd_14": (
+        lambda found, t: analytics.without_location(found.join(enrich.locations(t.__class__(node=t.node.where("not multipart"), conduit=t.conduit, class_edge=t.class_edge)), "object_id", "left")),
+        "SELECT count(*) AS n, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules FROM found WHERE object_id IN (SELECT node_id FROM node WHERE multipart) OR (object_id NOT IN (SELECT node_id FROM node) AND object_id NOT IN (SELECT conduit_id FROM conduit))",
+        "",
+    ),
     "snk_6": (
         lambda found, t: analytics.run_metadata(found, t, "orders", t.node.where("node_id like '%3'").select(F.col("node_id").alias("object_id"))),
         """SELECT 'orders' AS dataset, DATE '2026-01-01' AS run_date, (SELECT count(*) FROM node) AS nodes, (SELECT count(*) FROM conduit) AS conduits, count(*) AS findings, count(*) FILTER (severity = 'F') AS errors,

@@ -21,7 +21,11 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     all_lines = lines(spark, path)
     cells = F.transform(F.split("line", ";"), lambda c: F.trim(c))
     parted = all_lines.select("file", "at", "line", cells.alias("cells"))
-    heads = parted.where(F.col("cells")[0] == COLUMNS[0]).groupBy("file").agg(F.min("at").alias("head"))
+    heads = parted.where(F.col("cells")[0] == COLUMNS[0]).groupBy("file").agg(F.min("at").alias("head"), F.min_by("cells", "at").alias("names"))
+    wrong = heads.where(F.slice("names", 1, len(COLUMNS)) != F.array(*[F.lit(c) for c in COLUMNS])).first()
+    if wrong is not None:
+        raise ValueError(f"{wrong['file']}: the header is {';'.join(wrong['names'])}, not {';'.join(COLUMNS)}")
+    heads = heads.drop("names")
     marked = parted.join(heads, "file", "left")
     preamble = marked.where("(head is null or at < head) and trim(line) <> ''").select("file", F.col("cells")[0].alias("key"), F.get("cells", F.lit(1)).alias("value"))
     body = marked.where("at > head and trim(line) <> ''").select("file", "at", F.from_csv("line", ", ".join(f"{n} string" for n in _NAMES), {"sep": ";"}).alias("r"))
