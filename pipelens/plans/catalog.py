@@ -171,7 +171,8 @@ _FINDINGS: dict[str, tuple[Callable, str]] = {
     ),
     "win_1": (
         lambda t: enrich.stacks(_placed(t)).select("finding_id", "stack_size", "stack_number"),
-        "SELECT finding_id, count(*) OVER (PARTITION BY round(x * 1000), round(y * 1000)) AS stack_size, row_number() OVER (PARTITION BY round(x * 1000), round(y * 1000) ORDER BY finding_id) AS stack_number FROM found JOIN place USING (object_id)",
+        """SELECT finding_id, count(*) OVER (PARTITION BY round(x * 1000), round(y * 1000)) AS stack_size, row_number() OVER (PARTITION BY round(x * 1000), round(y * 1000) ORDER BY finding_id) AS stack_number FROM found JOIN place USING (object_id)
+        UNION ALL SELECT finding_id, 1, 1 FROM found WHERE object_id NOT IN (SELECT object_id FROM place)""",
     ),
 }
 
