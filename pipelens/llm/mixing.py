@@ -88,7 +88,8 @@ def tilts(cells: DataFrame, goals: DataFrame) -> DataFrame:
         )
         step = F.coalesce(inside, F.col("tilt"))
         # Done where the words fit, or where no number lies between the bracket's ends any more.
-        met = F.coalesce((F.abs(gap) <= TOLERANCE * F.col("target")) | (step == F.col("tilt")) | (high - low <= 1e-14 * F.greatest(F.abs("tilt"), F.lit(1.0))), F.lit(True))
+        narrow = F.coalesce(high - low <= 1e-14 * F.greatest(F.abs("tilt"), F.lit(1.0)), F.lit(False))
+        met = F.coalesce((F.abs(gap) <= TOLERANCE * F.col("target")) | (step == F.col("tilt")), F.lit(True)) | narrow
         state = common.cut(
             state.join(sums, "key", "left").select(
                 "key", "target", "mean",
