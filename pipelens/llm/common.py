@@ -73,7 +73,7 @@ def hot_keys(rows: DataFrame, key: str) -> DataFrame:
 
 def spread_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Inner join with a table that has each key once. Rows of hot keys stay where they are and meet their few table rows by a broadcast."""
-    hot = cut(hot_keys(rows, key))
+    hot = cut(hot_keys(rows, key).repartition(1))
     if hot.isEmpty():
         return rows.join(table, key)
     hot = F.broadcast(hot)
@@ -81,10 +81,15 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return warm.unionByName(rows.join(hot, key, "left_anti").join(table, key))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The frame with its lineage cut by a checkpoint in the shared folder."""
+def cut(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The frame with its lineage cut by a checkpoint in the shared folder; with ``tasks`` in so many files at most."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return (df if tasks is None else df.coalesce(tasks)).checkpoint()
+
+
+def tasks_for(spark: SparkSession, rows: int, each: int) -> int:
+    """Tasks, and so files, for so many rows: a small table does not need as many as the session's shuffles have."""
+    return max(2 * spark.sparkContext.defaultParallelism, 1 + rows // each)
 
 
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:

@@ -131,7 +131,7 @@ def repeated_lines(lines: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """(h1, h2, keeper) of the lines that are in at least MIN_DOCS documents, from a written line table."""
     spark = lines.sparkSession
     sizes = {r["batch"]: r["count"] for r in lines.groupBy("batch").count().collect()}
-    store = LineRuns(spark, common.partitions(spark, sum(sizes.values()) // BUCKET_LINES), fanout)
+    store = LineRuns(spark, common.tasks_for(spark, sum(sizes.values()), BUCKET_LINES), fanout)
     for batch in sorted(sizes):
         store.add(lines.where(F.col("batch") == batch).select(*_HASH, "doc").distinct())
     merged = store.merged()

@@ -53,14 +53,14 @@ def simhash(text: str | None) -> int:
 def _fingerprints(batches):
     for batch in common.slices(batches):
         h = np.fromiter(map(simhash, batch["text"].to_pylist()), dtype=np.uint64, count=batch.num_rows)
-        yield pa.record_batch({"doc_id": batch["doc_id"], "fp": pa.array(h.view(np.int64), pa.int64())})
+        yield pa.record_batch({"doc_id": batch["doc_id"], "fp": pa.array(h.view(np.int64), pa.int64()), "text_hash": batch["text_hash"]})
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of each row, fp as a signed long."""
+    """(doc_id, fp, text_hash) of each row, fp as a signed long."""
     common.ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_fingerprints, "doc_id long, fp long, text_hash long")
 
 
 def block_masks(distance: int = DISTANCE, pieces: int = PIECES) -> list[int]:
@@ -152,17 +152,38 @@ def close_pairs(fps: DataFrame, distance: int = DISTANCE, pieces: int = PIECES,
     return dealt.repartition(common.partitions(fps.sparkSession), *place).sortWithinPartitions(*place).mapInArrow(_links(distance), "a long, b long").distinct()
 
 
-def components(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, fp, component_id) of each row of ``docs``."""
+def _labelled(docs: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, fp, text_hash), and (fp, first, label) of each fingerprint: its smallest document, and one label for all that are linked."""
     rows = common.cut(fingerprints(docs))
     firsts = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     labels = connected(close_pairs(firsts.select("fp"), distance))
-    of = firsts.join(labels.select(F.col("v").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    return rows, firsts.join(labels.select(F.col("v").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
+def components(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(doc_id, fp, component_id) of each row of ``docs``."""
+    rows, of = _labelled(docs, distance)
     smallest = of.groupBy("label").agg(F.min("first").alias("component_id"))
     of = common.cut(common.spread_join(of, smallest, "label").select("fp", "component_id"))
     return common.spread_join(rows, of, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """The rows of ``docs`` with one row of each component: that of the smallest id, then of the smallest hash of the text; null ids come last.
+
+    Of rows that are equal in id and text one stays; which one's other columns is not defined.
+    """
+    rows, of = _labelled(docs, distance)
+    counts = rows.groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    labelled = common.spread_join(counts, of.select("fp", "label"), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n")).alias("m")
+    kept = common.cut(labelled.groupBy("label").agg(first).select(F.col("m.doc_id").alias("k_id"), F.col("m.text_hash").alias("k_hash"), F.col("m.n").alias("k_n")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("k_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("k_hash"))
+    once = docs.join(kept.where("k_n = 1"), same, "left_semi")
+    again = kept.where("k_n > 1")
+    return once if again.isEmpty() else once.unionByName(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     """The contract's query over the whole documents table."""
     found = components(common.table(spark, sf_dir, "documents"))
