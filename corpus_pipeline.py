@@ -29,10 +29,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id stays."""
-    found = simhash.components(docs)
-    first = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near copies one row stays: that of the smallest id, a null id being the largest; of rows of equal id that of the smallest text hash."""
+    return simhash.keep_one(docs).select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
