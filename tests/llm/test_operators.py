@@ -77,9 +77,11 @@ def test_lm_base_counts_and_gain(spark, folder, docs):
 
 def test_lm_classes_are_a_distribution():
     weights = np.random.default_rng(1).normal(size=(lm_score.BUCKETS, lm_score.CLASSES))
-    p = np.exp(lm_score.log_softmax(weights, lm_score.context_features(np.arange(500))))
+    p = np.exp(lm_score.log_softmax(weights, lm_score.class_features(np.arange(500))))
     assert np.allclose(p.sum(axis=1), 1)
-    assert lm_score._contexts(np.array([3, 4, 0, 5, 0]), np.array([3, 2])).tolist() == [0, 3, 3 * 32 + 4, 0, 5]
+    s = lm_score.SLOTS
+    before = lm_score._contexts(np.array([3 * s, 4 * s, 0, 5 * s, 0]), np.array([3, 2])) // lm_score.SKIPS
+    assert before.tolist() == [0, 3 * s, 4 * s, 0, 5 * s]
 
 
 def test_warc_round_trip(spark, folder, pages):
