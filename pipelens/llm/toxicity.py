@@ -51,12 +51,13 @@ INTENTS = "will gonna going shall werde wirst wird vais vas va voy vamos".split(
 
 OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT = range(7)
 KINDS = 7
-#: Marks on a symbol: what the transducers add to the kind.
-NEGATED, REPORTED, INTENDED, TARGETED = 8, 16, 32, 64
-#: Outputs of the composed automaton: (insult or threat) x marks.
+#: Marks of a match. On a symbol they stand above the three bits of its kind, and INTENDED beside them.
+TARGETED, NEGATED, REPORTED, INTENDED = 1, 2, 4, 16
+#: Outputs of the composed automaton: the marks, 8 for a threat, and BARE for a threat without an intent.
 OUTPUTS = 32
+IS_THREAT, BARE = 8, 16
 #: Weights of the arcs that a match's path takes; a reported or negated match keeps a little.
-ARCS = {"insult": 3.5, "threat": 0.5, NEGATED: -2.5, REPORTED: -2.5, INTENDED: 1.25, TARGETED: 1.75}
+ARCS = {"insult": 3.5, "threat": 0.5, "negated": -2.5, "reported": -2.5, "intended": 1.25, "targeted": 1.75}
 BIAS = -3.0
 #: Words that a negation, an intent or a target reaches.
 REACH = 3
@@ -75,25 +76,25 @@ def _is_match(symbol: int) -> bool:
 
 def _negation(state: int, symbol: int) -> tuple[int, int]:
     """States: words left that a negation reaches."""
-    marked = symbol | NEGATED if state and _kind(symbol) in (INSULT, THREAT, INTENT, REPORT) else symbol
+    marked = symbol | NEGATED << 3 if state and _kind(symbol) in (INSULT, THREAT, INTENT, REPORT) else symbol
     return (REACH if _kind(symbol) == NEGATION else max(0, state - 1)), marked
 
 
 def _report(state: int, symbol: int) -> tuple[int, int]:
     """States: whether reported speech has begun; "never said" does not begin it."""
-    marked = symbol | REPORTED if state and _is_match(symbol) else symbol
-    return int(state or (_kind(symbol) == REPORT and not symbol & NEGATED)), marked
+    marked = symbol | REPORTED << 3 if state and _is_match(symbol) else symbol
+    return int(state or (_kind(symbol) == REPORT and not symbol & NEGATED << 3)), marked
 
 
 def _intent(state: int, symbol: int) -> tuple[int, int]:
     """States: words left that an intent reaches; "will not" has none."""
-    marked = symbol | INTENDED if state and _kind(symbol) == THREAT else symbol
-    return (REACH if _kind(symbol) == INTENT and not symbol & NEGATED else 0 if _kind(symbol) == NEGATION else max(0, state - 1)), marked
+    marked = symbol | INTENDED << 3 if state and _kind(symbol) == THREAT else symbol
+    return (REACH if _kind(symbol) == INTENT and not symbol & NEGATED << 3 else 0 if _kind(symbol) == NEGATION else max(0, state - 1)), marked
 
 
 def _target(state: int, symbol: int) -> tuple[int, int]:
     """States: words left that a target reaches."""
-    marked = symbol | TARGETED if state and _is_match(symbol) else symbol
+    marked = symbol | TARGETED << 3 if state and _is_match(symbol) else symbol
     return (REACH if _kind(symbol) == TARGET else max(0, state - 1)), marked
 
 
@@ -103,7 +104,11 @@ CASCADE = (_negation, _report, _intent, _target)
 
 def output(symbol: int) -> int:
     """The output of a marked match, or -1 for other symbols."""
-    return (symbol >> 3) * 2 + (_kind(symbol) == THREAT) if _is_match(symbol) else -1
+    if not _is_match(symbol):
+        return -1
+    marks = symbol >> 3
+    threat = 0 if _kind(symbol) == INSULT else IS_THREAT | (0 if marks & INTENDED else BARE)
+    return marks & (TARGETED | NEGATED | REPORTED) | threat
 
 
 @functools.lru_cache(maxsize=2)
@@ -130,8 +135,10 @@ def grammar(cascade: tuple = CASCADE) -> tuple[list[list[int]], list[list[int]]]
 
 def path_weight(out: int) -> float:
     """The sum of the weights of a match's arcs, at least a little."""
-    marks = (out // 2) << 3
-    return max(0.25, ARCS["threat" if out % 2 else "insult"] + sum(w for mark, w in ARCS.items() if isinstance(mark, int) and marks & mark))
+    taken = {"threat" if out & IS_THREAT else "insult"} | {name for name, mark in (("targeted", TARGETED), ("negated", NEGATED), ("reported", REPORTED)) if out & mark}
+    if out & IS_THREAT and not out & BARE:
+        taken.add("intended")
+    return max(0.25, sum(ARCS[name] for name in taken))
 
 
 class Lexicon:
@@ -186,8 +193,8 @@ def read_clause(symbols: list[int]) -> dict[int, int]:
     state = 0
     for k in range(len(symbols) - 1, -1, -1):
         state, written = _target(state, symbols[k])
-        if k in marks and written & TARGETED:
-            marks[k] |= 2 * (TARGETED >> 3)
+        if k in marks and written & TARGETED << 3:
+            marks[k] |= TARGETED
     return marks
 
 
