@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, line_dedup, lm_score, mixing, quality, secrets, simhash, toxicity, warc
+from . import align, bpe, fingerprint, line_dedup, lm_score, minhash, mixing, quality, secrets, simhash, toxicity, vector_codes, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         mixing.op8_mixing,
         secrets.op9_secrets,
         quality.op10_quality,
+        align.op11_align,
+        minhash.op12_minhash,
+        vector_codes.op13_vector_codes,
     ]
     return {f.__name__: f for f in found}
 
