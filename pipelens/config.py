@@ -85,13 +85,17 @@ OVERFLOW_CONDUIT = ("Overstortleiding",)
 TANK = ("Bergbezinkbassin", "Bergingsbassin", "Bezinkbassin")
 DROP = ("Valput", "Zandvangput")
 CROSSING = ("Zinker", "Duiker")
+WATER = ("Oppervlaktewater",)
+
+#: Roles of external layers.
+ROLES = ("building", "water", "cover", "structure")
 
 #: (child, parent) of the class tree that the rules are tested with.
 CLASS_TREE = (
     [(c, NODE) for c in ("Inspectieput", *OVERFLOW_NODE, *DROP, *FUNCTIONLESS, *OUTFLOW, *DISCHARGE, *TANK, "Compartiment")]
     + [(c, GRAVITY) for c in (*FOUL, *RAIN, *INFILTRATION, *OVERFLOW_CONDUIT, "Drain", *CROSSING)]
     + [(c, "MechanischeLeiding") for c in MECHANICAL]
-    + [(GRAVITY, CONDUIT), ("MechanischeLeiding", CONDUIT)]
+    + [(GRAVITY, CONDUIT), ("MechanischeLeiding", CONDUIT), ("Oppervlaktewater", "Waterobject")]
 )
 
 #: System type of a conduit by class root; fixed values.

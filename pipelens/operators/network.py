@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pipelens import config
 from pipelens.findings import rule
-from pipelens.operators import graph
+from pipelens.functions import geometry as g
+from pipelens.operators import graph, spatial
 
 
 def edges(t) -> DataFrame:
@@ -120,13 +121,11 @@ def facility_without_conduit(t):
 
 @rule("RVZ-004", "W", "plausibility")
 def overflow_far_from_water(t):
-    """Overflow manholes without surface water within the distance; without any water there are no findings."""
-    from pipelens.operators import external
-
+    """Overflow manholes without surface water of the network itself within the distance; without any water the rule is off."""
     own = t.node.where(t.is_a(*config.OVERFLOW_NODE) & F.col("x").isNotNull()).select(F.col("node_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    if t.feature is None:
-        return own.where("false").select(F.col("a").alias("object_id"))
-    near = external.nodes_at(t, own, "water", radius=t.cfg.water_distance).select("a").distinct()
+    points, lines = t.water
+    near = spatial.point_pairs(own, points.select(F.col("node_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by")), t.cfg.water_distance).select("a")
+    near = near.unionByName(spatial.point_segment_pairs(own, spatial.line_segments(lines, "conduit_id"), t.cfg.water_distance, 2 * t.cfg.water_distance).select("a")).distinct()
     return own.join(near, "a", "left_anti").select(F.col("a").alias("object_id"), F.lit(t.cfg.water_distance).alias("threshold"))
 
 
@@ -145,11 +144,14 @@ def overflow_on_rain_only(t):
 
 @rule("RVZ-006", "W", "completeness")
 def mixed_without_overflow(t):
-    """Components with mixed conduits and neither overflow manhole nor tank; on the smallest node."""
+    """Components with mixed conduits and neither overflow manhole nor tank; on the smallest node, at the mean of their points."""
     parts = components(t)
     mixed = t.gravity.where(t.system == "mixed").select(F.col("start_id").alias("node_id")).join(parts, "node_id").select("component").distinct()
     served = parts.join(t.node.where(t.is_a(*config.OVERFLOW_NODE, *config.TANK)).select("node_id"), "node_id", "left_semi").select("component").distinct()
-    return mixed.join(served, "component", "left_anti").join(parts.groupBy("component").agg(F.count("*").alias("value")), "component").select(F.col("component").alias("object_id"), "value")
+    # Sums of decimals do not depend on their order.
+    mean = lambda c: (F.sum(F.col(c).cast("decimal(20,6)")).cast("double") / F.count(c)).alias(c)
+    sizes = parts.join(t.node.select("node_id", *[F.when(g.finite(F.col(c)) & (F.abs(c) < 1e13), F.col(c)).alias(c) for c in ("x", "y")]), "node_id").groupBy("component").agg(F.count("*").alias("value"), mean("x"), mean("y"))
+    return mixed.join(served, "component", "left_anti").join(sizes, "component").select(F.col("component").alias("object_id"), "value", "x", "y")
 
 
 @rule("RVZ-008", "W", "completeness")

@@ -55,14 +55,14 @@ def end_off_its_node(t):
     """Ends further from their own node than the tolerance, by side."""
     nodes = t.node.select("node_id", "x", "y")
     found = t.gravity_ends.join(nodes, "node_id").withColumn("value", g.distance(F.col("px"), F.col("py"), F.col("x"), F.col("y")))
-    return found.where(F.col("value") > t.cfg.snap).select(F.col("conduit_id").alias("object_id"), F.col("node_id").alias("object2_id"), F.col("side").alias("detail"), "value", F.lit(t.cfg.snap).alias("threshold"))
+    return found.where(F.col("value") > t.cfg.snap).select(F.col("conduit_id").alias("object_id"), F.col("node_id").alias("object2_id"), F.col("side").alias("detail"), "value", F.lit(t.cfg.snap).alias("threshold"), F.col("px").alias("x"), F.col("py").alias("y"))
 
 
 @rule("TOP-005", "F", "topology")
 def duplicate_nodes(t):
     left = _points(t).select(F.col("node_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     pairs = spatial.point_pairs(left, _as_b(_points(t)), t.cfg.duplicate_node).where("a < b")
-    return pairs.select(F.col("a").alias("object_id"), F.col("b").alias("object2_id"), F.col("dist").alias("value"), F.lit(t.cfg.duplicate_node).alias("threshold"))
+    return pairs.select(F.col("a").alias("object_id"), F.col("b").alias("object2_id"), F.col("dist").alias("value"), F.lit(t.cfg.duplicate_node).alias("threshold"), ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"))
 
 
 @rule("TOP-006", "F", "topology")
@@ -74,13 +74,25 @@ def overlapping_lines(t):
     """
     tol = t.cfg.overlap_tolerance
     pairs = spatial.segment_pairs(spatial.line_segments(t.conduit, "conduit_id"), tol, CELL)
-    near = pairs.select("a_id", "b_id", "a_seq", interval(spatial.segment_columns("a"), spatial.segment_columns("b"), tol).alias("i"))
-    near = near.select("a_id", "b_id", "a_seq", "i.lo", "i.hi").where("hi > lo")
+    near = pairs.select("*", interval(spatial.segment_columns("a"), spatial.segment_columns("b"), tol).alias("i"))
+    near = near.select("a_id", "b_id", "a_seq", "i.lo", "i.hi", _nearness()).where("hi > lo")
     order = Window.partitionBy("a_id", "b_id", "a_seq").orderBy("lo", "hi")
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     piece = F.greatest(F.lit(0.0), F.col("hi") - F.greatest("lo", F.coalesce(reach, F.col("lo"))))
-    sums = near.withColumn("piece", piece).groupBy("a_id", "b_id").agg(F.sum("piece").alias("value"))
-    return sums.where(F.col("value") >= t.cfg.overlap_length).select(F.col("a_id").alias("object_id"), F.col("b_id").alias("object2_id"), "value", F.lit(t.cfg.overlap_length).alias("threshold"))
+    sums = near.withColumn("piece", piece).groupBy("a_id", "b_id").agg(F.sum("piece").alias("value"), F.min("nearness").alias("nearest"))
+    return sums.where(F.col("value") >= t.cfg.overlap_length).select(F.col("a_id").alias("object_id"), F.col("b_id").alias("object2_id"), "value", F.lit(t.cfg.overlap_length).alias("threshold"), *_place())
+
+
+def _nearness():
+    """What of two segments tells how near their lines come there: the distance, then their numbers; with the segments themselves."""
+    a, b = spatial.segment_columns("a"), spatial.segment_columns("b")
+    return F.struct(g.segment_segment(a, b).alias("d"), "a_seq", "b_seq", *[F.col(f"{side}_{c}") for side in "ab" for c in ("x1", "y1", "x2", "y2")]).alias("nearness")
+
+
+def _place():
+    """(x, y): the middle of the closest approach of the nearest segments of two lines."""
+    at = g.approach(*[[F.col("nearest")[f"{side}_{c}"] for c in ("x1", "y1", "x2", "y2")] for side in "ab"])
+    return at["x"].alias("x"), at["y"].alias("y")
 
 
 def interval(a: list, b: list, tol: float):
@@ -192,35 +204,35 @@ def conflicting_conduits(t):
     half = F.coalesce(F.greatest(F.coalesce("width_mm", F.lit(0.0)), F.coalesce("height_mm", F.lit(0.0))), F.lit(0.0)) / 2000
     sized = t.conduit.select("conduit_id", "start_id", "end_id", "pts", half.alias("r"))
     near = spatial.segment_pairs(spatial.line_segments(sized, "conduit_id", F.col("r")), t.cfg.conflict_margin, CELL)
-    dist = g.segment_segment(spatial.segment_columns("a"), spatial.segment_columns("b"))
     limit = F.col("a_reach") + F.col("b_reach") + t.cfg.conflict_margin
-    close = near.select("a_id", "b_id", dist.alias("d"), limit.alias("limit")).where("d <= limit").groupBy("a_id", "b_id").agg(F.min("d").alias("value"))
+    close = near.select("a_id", "b_id", _nearness(), limit.alias("limit")).where("nearness.d <= limit").groupBy("a_id", "b_id").agg(F.min("nearness").alias("nearest")).withColumn("value", F.col("nearest.d"))
     side = lambda p: sized.select(F.col("conduit_id").alias(f"{p}_id"), F.array("start_id", "end_id").alias(f"{p}_nodes"), F.col("r").alias(f"{p}_r"), F.array(F.element_at("pts", 1), F.element_at("pts", -1)).alias(f"{p}_ends"))
     both = close.join(side("a"), "a_id").join(side("b"), "b_id").withColumn("threshold", F.col("a_r") + F.col("b_r") + t.cfg.conflict_margin)
     meet = F.exists("a_ends", lambda p: F.exists("b_ends", lambda q: g.distance(p["x"], p["y"], q["x"], q["y"]) <= t.cfg.snap))
     found = both.where((F.col("threshold") > 0) & (F.col("value") <= F.col("threshold")) & ~F.coalesce(F.arrays_overlap("a_nodes", "b_nodes"), F.lit(False)) & ~meet)
-    return found.select(F.col("a_id").alias("object_id"), F.col("b_id").alias("object2_id"), "value", "threshold")
+    return found.select(F.col("a_id").alias("object_id"), F.col("b_id").alias("object2_id"), "value", "threshold", *_place())
 
 
 @rule("TOP-011", "W", "topology")
 def crossing_lines(t):
     """Lines whose insides meet in points only: segments that cross, or a vertex inside the other line, and no shared stretch.
 
-    The two ends of an open line are not inside it; a closed line has no ends.
+    The two ends of an open line are not inside it; a closed line has no ends. The place is the meeting point of the smallest x, then y.
     """
     pairs = spatial.segment_pairs(spatial.line_segments(t.conduit, "conduit_id"), 0.0, CELL)
     a, b = spatial.segment_columns("a"), spatial.segment_columns("b")
     same = g.overlap(a, b)
     touch = F.filter(F.array(*[_touch(p, own, other) for own, other in ((a, b), (b, a)) for p in (own[:2], own[2:])]), lambda p: p.isNotNull())
-    seen = pairs.select("a_id", "b_id", g.properly_cross(a, b).alias("cross"), same.alias("same"), touch.alias("touch")).where("cross or same or size(touch) > 0")
+    seen = pairs.select("a_id", "b_id", g.properly_cross(a, b).alias("cross"), g.crossing_point(a, b).alias("at"), same.alias("same"), touch.alias("touch")).where("cross or same or size(touch) > 0")
     # A point where segments touch counts unless it is an end of one of the lines.
     ends = lambda side: t.conduit.select(
         F.col("conduit_id").alias(f"{side}_id"), F.when(F.element_at("pts", 1) != F.element_at("pts", -1), F.array(F.element_at("pts", 1), F.element_at("pts", -1))).otherwise(F.array().cast("array<struct<x:double,y:double>>")).alias(f"{side}_ends")
     )
     met = seen.join(ends("a"), "a_id").join(ends("b"), "b_id")
-    inside = F.exists("touch", lambda p: ~F.exists(F.concat("a_ends", "b_ends"), lambda q: (p["x"] == q["x"]) & (p["y"] == q["y"])))
-    found = met.groupBy("a_id", "b_id").agg(F.max(F.col("cross") | inside).alias("meet"), F.max("same").alias("same")).where("meet and not same")
-    return found.select(F.col("a_id").alias("object_id"), F.col("b_id").alias("object2_id"))
+    inside = F.filter("touch", lambda p: ~F.exists(F.concat("a_ends", "b_ends"), lambda q: (p["x"] == q["x"]) & (p["y"] == q["y"])))
+    met = met.withColumn("inside", F.array_min(F.array_append(inside, F.col("at"))))
+    found = met.groupBy("a_id", "b_id").agg(F.min("inside").alias("p"), F.max("same").alias("same")).where("p is not null and not same")
+    return found.select(F.col("a_id").alias("object_id"), F.col("b_id").alias("object2_id"), "p.x", "p.y")
 
 
 def _touch(p, own, other):

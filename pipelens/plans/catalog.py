@@ -121,7 +121,7 @@ def _all(t) -> DataFrame:
 
 
 def _placed(t) -> DataFrame:
-    return _all(t).join(enrich.locations(t), "object_id", "left")
+    return enrich.placed(_all(t), t)
 
 
 def _judged(t) -> DataFrame:
@@ -135,7 +135,7 @@ def _judged(t) -> DataFrame:
 
 
 def _found_sql(before: str = "") -> str:
-    none = "SELECT NULL::VARCHAR AS object_id, NULL::VARCHAR AS object2_id, NULL::VARCHAR AS detail, NULL::DOUBLE AS value, NULL::DOUBLE AS threshold, NULL::VARCHAR AS rule_id, NULL::VARCHAR AS severity WHERE false"
+    none = "SELECT NULL::VARCHAR AS object_id, NULL::VARCHAR AS object2_id, NULL::VARCHAR AS detail, NULL::DOUBLE AS value, NULL::DOUBLE AS threshold, NULL::DOUBLE AS x, NULL::DOUBLE AS y, NULL::VARCHAR AS rule_id, NULL::VARCHAR AS severity WHERE false"
     inner = lambda more: f"WITH RECURSIVE {more.lstrip(', ')} " if more else ""
     parts = " UNION ALL BY NAME ".join(
         f"SELECT *, '{r}' AS rule_id, '{findings.RULES[r][0]}' AS severity FROM ({inner(more)}SELECT object_id, * EXCLUDE (object_id) FROM ({body}))" for r, (more, body) in oracles.BODIES.items()
@@ -145,7 +145,8 @@ outcome AS (SELECT rule_id, severity, status, coalesce(examined, 0) AS examined,
   FROM (VALUES {_rule_values()}) r(rule_id, severity, status, population) LEFT JOIN (SELECT rule_id, count(*) AS n FROM found GROUP BY 1) USING (rule_id)
   LEFT JOIN (SELECT 'node' AS population, count(*) AS examined FROM node UNION ALL SELECT 'gravity', count(*) FROM grav UNION ALL SELECT 'conduit', count(*) FROM conduit) USING (population)),
 judged AS (SELECT f.*, systemic, CASE WHEN f.severity = 'F' AND cls IN ('Overstortput', 'Bergbezinkbassin', 'Gemaal') THEN 1 WHEN f.severity = 'F' THEN 2 ELSE 3 END AS priority
-  FROM found f LEFT JOIN node ON node_id = object_id LEFT JOIN outcome USING (rule_id)){PLACES}
+  FROM found f LEFT JOIN node ON node_id = object_id LEFT JOIN outcome USING (rule_id)){PLACES},
+placed AS (SELECT f.* EXCLUDE (x, y), coalesce(f.x, place.x) AS x, coalesce(f.y, place.y) AS y FROM found f LEFT JOIN place USING (object_id))
 """
 
 
@@ -156,14 +157,14 @@ def _rule_values() -> str:
 
 
 _FINDINGS: dict[str, tuple[Callable, str]] = {
-    "snk_1": (lambda t: _all(t).withColumn("category", enrich.category(F.col("rule_id"))), "SELECT *, split_part(rule_id, '-', 1) AS category FROM (SELECT finding_id, rule_id, severity, object_id, object2_id, detail, round(value, 8) AS value, round(threshold, 8) AS threshold FROM found)"),
+    "snk_1": (lambda t: _all(t).withColumn("category", enrich.category(F.col("rule_id"))), "SELECT *, split_part(rule_id, '-', 1) AS category FROM (SELECT finding_id, rule_id, severity, object_id, object2_id, detail, round(value, 8) AS value, round(threshold, 8) AS threshold, round(x, 8) AS x, round(y, 8) AS y FROM found)"),
     "snk_2": (
         lambda t: enrich.per_object(_judged(t)),
         "SELECT object_id, min(severity) AS worst, count(*) FILTER (severity = 'F') AS errors, count(*) FILTER (severity = 'W') AS warnings, count(*) FILTER (systemic) AS systemic, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules, count(DISTINCT rule_id) AS n_rules, min(priority) AS priority FROM judged GROUP BY 1",
     ),
     "snk_5": (lambda t: enrich.outcomes(_all(t), t), "SELECT * FROM outcome"),
     "fnd_7": (lambda t: _judged(t).groupBy("rule_id", "priority", "systemic").agg(F.count("*").alias("n")), "SELECT rule_id, priority, systemic, count(*) AS n FROM judged GROUP BY ALL"),
-    "fnd_8": (lambda t: _placed(t).select("finding_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y")), "SELECT finding_id, round(x, 3) AS x, round(y, 3) AS y FROM found LEFT JOIN place USING (object_id)"),
+    "fnd_8": (lambda t: _placed(t).select("finding_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y")), "SELECT finding_id, round(x, 3) AS x, round(y, 3) AS y FROM placed"),
     "fnd_11": (lambda t: enrich.stacked_objects(_all(t), t.cfg.stacked), "SELECT object_id, count(DISTINCT rule_id) AS n_rules FROM found GROUP BY 1 HAVING count(DISTINCT rule_id) >= 3"),
     "topk_3": (
         lambda t: enrich.shown(_all(t), 25).select("rule_id", "finding_id"),
@@ -171,8 +172,8 @@ _FINDINGS: dict[str, tuple[Callable, str]] = {
     ),
     "win_1": (
         lambda t: enrich.stacks(_placed(t)).select("finding_id", "stack_size", "stack_number"),
-        """SELECT finding_id, count(*) OVER (PARTITION BY round(x * 1000), round(y * 1000)) AS stack_size, row_number() OVER (PARTITION BY round(x * 1000), round(y * 1000) ORDER BY finding_id) AS stack_number FROM found JOIN place USING (object_id)
-        UNION ALL SELECT finding_id, 1, 1 FROM found WHERE object_id NOT IN (SELECT object_id FROM place)""",
+        """SELECT finding_id, count(*) OVER (PARTITION BY round(x * 1000), round(y * 1000)) AS stack_size, row_number() OVER (PARTITION BY round(x * 1000), round(y * 1000) ORDER BY finding_id) AS stack_number FROM placed WHERE x IS NOT NULL
+        UNION ALL SELECT finding_id, 1, 1 FROM placed WHERE x IS NULL""",
     ),
 }
 

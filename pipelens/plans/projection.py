@@ -39,7 +39,7 @@ FROM (SELECT *, CASE WHEN o_orderkey % 113 = 1 THEN o_orderkey - 1 ELSE o_orderk
 
 CONDUIT = """
 SELECT k, concat('C', k) AS conduit_id, concat('s-', CASE WHEN k % 70 = 0 THEN k % 700 ELSE k END) AS label,
-  CASE WHEN k % 80 IN (0, 79) THEN 'Hemelwaterriool' WHEN k % 64 = 5 THEN 'Duiker' WHEN kk % 16 < 6 THEN 'GemengdRiool' WHEN kk % 16 < 10 THEN 'Vuilwaterriool' WHEN kk % 16 < 13 THEN 'Hemelwaterriool'
+  CASE WHEN k % 400 = 39 OR kk % 80 = 30 THEN 'Oppervlaktewater' WHEN k % 80 IN (0, 79) THEN 'Hemelwaterriool' WHEN k % 64 = 5 THEN 'Duiker' WHEN kk % 16 < 6 THEN 'GemengdRiool' WHEN kk % 16 < 10 THEN 'Vuilwaterriool' WHEN kk % 16 < 13 THEN 'Hemelwaterriool'
     WHEN kk % 16 = 13 THEN 'Infiltratieriool' WHEN kk % 16 = 14 THEN 'Persleiding' ELSE 'Overstortleiding' END AS cls,
   s.node_id AS start_id, e.node_id AS end_id,
   CASE WHEN k % 199 = 0 THEN e.x WHEN k % 37 = 0 THEN s.x + 0.2e0 ELSE s.x END AS x1,

@@ -214,3 +214,71 @@ def test_every_rule_has_a_query():
     names = catalog.queries()
     assert {r.lower().replace("-", "_") for r in findings.RULES} <= set(names) | {"adm_008", "adm_009"}
     assert set(catalog.oracle_sql()) <= set(names)
+
+
+def _layer(spark, rows):
+    return spark.createDataFrame(rows, "role string, feature_id string, x double, y double")
+
+
+NEAR_NONE = [("tree", "T", 0.0, 0.0)]
+
+
+@pytest.mark.parametrize("rule_id", ["EXT-001", "EXT-002", "EXT-003", "EXT-005", "EXT-006", "EXT-007", "RVZ-004", "HGT-001", "HGT-002", "HGT-003", "HGT-011", "RVZ-011", "ADM-008", "ADM-009"])
+@pytest.mark.parametrize("layer", [None, NEAR_NONE])
+def test_rules_are_off_without_what_they_need(spark, rule_id, layer):
+    nodes = [node("A", types=["Overstortput"]), node("B", types=["Lozingspunt"]), node("C")]
+    t = tables(spark, nodes, [AB, BC])
+    t.feature = layer and _layer(spark, layer)
+    found = findings.run(rule_id, t)
+    assert found.columns == findings.COLUMNS and found.count() == 0
+    assert rule_id not in findings.runnable(t)
+
+
+def test_a_layer_of_a_role_turns_only_its_rules_on(spark):
+    t = tables(spark, [node("A", types=["Overstortput"]), node("B", types=["Lozingspunt"])], [AB])
+    t.feature = _layer(spark, [("water", "W", 9000.0, 9000.0)])
+    on = {r for r in findings.runnable(t) if r.startswith("EXT") or r == "RVZ-004"}
+    assert on == {"EXT-002", "EXT-003", "EXT-007"}
+    assert [r["object_id"] for r in findings.run("EXT-007", t).collect()] == ["B"]
+
+
+def test_an_empty_layer_is_a_layer(spark):
+    t = tables(spark, ABC, [AB, BC])
+    t.feature, t.layers = _layer(spark, NEAR_NONE), frozenset({"cover"})
+    assert sorted(r["object_id"] for r in findings.run("EXT-005", t).collect()) == ["A", "B", "C"]
+
+
+def test_covers_count_testable_nodes_only(spark):
+    t = tables(spark, ABC, [AB, BC])
+    x, y = t.node.where("node_id = 'A'").select("x", "y").first()
+    t.feature = _layer(spark, [("cover", "on", x, y), ("cover", "off", x + 500, y)])
+    got = findings.run("EXT-006", t).select("object_id", "x", "y").collect()
+    assert [tuple(r) for r in got] == [("off", x + 500, y)]
+    t = tables(spark, ABC, [AB, BC], unreliable=spark.createDataFrame([("A",)], "object_id string"))
+    t.feature = _layer(spark, [("cover", "on", x, y)])
+    assert [r["object_id"] for r in findings.run("EXT-006", t).collect()] == ["on"]
+    t = tables(spark, ABC, [AB, BC], unreliable=t.node.select(F.col("node_id").alias("object_id")))
+    t.feature = _layer(spark, [("cover", "off", x + 500, y)])
+    assert findings.run("EXT-006", t).count() == 0 and "EXT-006" not in findings.runnable(t)
+
+
+def test_overflow_measures_to_the_networks_own_water(spark):
+    nodes = [node("A", types=["Overstortput"]), node("B"), node("C", types=["Overstortput"])]
+    dry = tables(spark, nodes, [AB])
+    dry.feature = _layer(spark, [("water", "W", 0.0, 0.0)])
+    assert findings.run("RVZ-004", dry).count() == 0
+    wet = tables(spark, nodes, [line("1", "A", "B", types=["Oppervlaktewater"])])
+    assert [r["object_id"] for r in findings.run("RVZ-004", wet).collect()] == ["C"]
+
+
+def test_places_of_findings(spark):
+    p = lambda x, y: {"x": x, "y": y}
+    rows = [("a", [p(0.0, 0.0), p(10.0, 0.0)]), ("b", [p(2.0, -1.0), p(2.0, 1.0), p(6.0, 1.0), p(6.0, -1.0)]), ("c", [p(20.0, 0.02), p(30.0, 0.02)]), ("d", [p(18.0, 0.0), p(26.0, 0.0)])]
+    t = tables(spark, ABC, [])
+    own = spark.createDataFrame([(k, k + "1", k + "2", v, ["GemengdRiool"], 300.0, 300.0, "Beton") for k, v in rows], "conduit_id string, start_id string, end_id string, pts array<struct<x:double,y:double>>, types array<string>, width_mm double, height_mm double, material string")
+    t.conduit = own
+    where = lambda rule_id: {(r["object_id"], r["object2_id"]): (r["x"], r["y"]) for r in findings.run(rule_id, t).collect()}
+    assert where("TOP-011") == {("a", "b"): (2.0, 0.0)}
+    # Of the two crossings of a and b the one on the first segment; c lies along d, nearest at d's end and c's start alike: the first end.
+    assert where("TOP-010") == {("a", "b"): (2.0, 0.0), ("c", "d"): (20.0, 0.01)}
+    assert where("TOP-006") == {("c", "d"): (20.0, 0.01)}
