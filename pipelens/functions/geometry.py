@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,7 +19,8 @@ def point_segment(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2
     """Distance of a point to a segment; a segment of no length is its first point."""
     dx, dy = x2 - x1, y2 - y1
     length2 = dx * dx + dy * dy
-    t = F.when(length2 == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((px - x1) * dx + (py - y1) * dy) / F.nullif(length2, F.lit(0.0)))))
+    # No branches: what is computed in any case, generated code computes once. Without a length the quotient is null, which greatest passes over.
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((px - x1) * dx + (py - y1) * dy) / F.nullif(length2, F.lit(0.0))))
     return distance(px, py, x1 + t * dx, y1 + t * dy)
 
 
@@ -47,7 +48,7 @@ def segment_segment(a: list[Column], b: list[Column]) -> Column:
     ends = F.least(
         point_segment(a[0], a[1], *b), point_segment(a[2], a[3], *b), point_segment(b[0], b[1], *a), point_segment(b[2], b[3], *a)
     )
-    return F.when(properly_cross(a, b), F.lit(0.0)).otherwise(ends)
+    return F.least(F.when(properly_cross(a, b), F.lit(0.0)), ends)
 
 
 def pairs_of(pts: Column) -> Column:
@@ -123,7 +124,7 @@ def foot(px: Column, py: Column, s: list[Column]) -> Column:
     """The point of a segment that is nearest to a point."""
     dx, dy = s[2] - s[0], s[3] - s[1]
     length2 = dx * dx + dy * dy
-    t = F.when(length2 == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((px - s[0]) * dx + (py - s[1]) * dy) / F.nullif(length2, F.lit(0.0)))))
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((px - s[0]) * dx + (py - s[1]) * dy) / F.nullif(length2, F.lit(0.0))))
     return F.struct((s[0] + t * dx).alias("x"), (s[1] + t * dy).alias("y"))
 
 
@@ -134,11 +135,21 @@ def crossing_point(a: list[Column], b: list[Column]) -> Column:
     return F.when(properly_cross(a, b), F.struct((a[0] + t * (a[2] - a[0])).alias("x"), (a[1] + t * (a[3] - a[1])).alias("y")))
 
 
-def approach(a: list[Column], b: list[Column]) -> Column:
-    """The middle of the nearest points of two segments: where they cross, or of the first of the four ends that is nearest."""
+def with_approach(rows: DataFrame, a: list[Column], b: list[Column]) -> DataFrame:
+    """Adds x and y: the middle of the nearest points of two segments, where they cross, or of the first of the four ends that is nearest.
+
+    In steps, so that each is small and computed once.
+    """
+    names = [f"_{side}{k}" for side in "ab" for k in range(4)]
+    rows = rows.withColumns(dict(zip(names, [*a, *b], strict=True)))
+    a, b = [F.col(n) for n in names[:4]], [F.col(n) for n in names[4:]]
     ways = [(a[0], a[1], b), (a[2], a[3], b), (b[0], b[1], a), (b[2], b[3], a)]
-    best = F.array_min(F.array(*[F.struct(point_segment(x, y, *s).alias("d"), F.lit(k).alias("k"), ((x + foot(x, y, s)["x"]) / 2).alias("x"), ((y + foot(x, y, s)["y"]) / 2).alias("y")) for k, (x, y, s) in enumerate(ways)]))
-    return F.coalesce(crossing_point(a, b), F.struct(best["x"].alias("x"), best["y"].alias("y")))
+    rows = rows.withColumn("_best", F.array_min(F.array(*[F.struct(point_segment(x, y, *s).alias("d"), F.lit(k).alias("k")) for k, (x, y, s) in enumerate(ways)]))["k"]).withColumn("_cross", crossing_point(a, b))
+    pick = lambda values: F.get(F.array(*values), F.col("_best"))
+    chosen = {"_px": pick([w[0] for w in ways]), "_py": pick([w[1] for w in ways]), **{f"_s{k}": pick([w[2][k] for w in ways]) for k in range(4)}}
+    rows = rows.withColumns(chosen).withColumn("_foot", foot(F.col("_px"), F.col("_py"), [F.col(f"_s{k}") for k in range(4)]))
+    place = {axis: F.coalesce(F.col("_cross")[axis], (F.col(f"_p{axis}") + F.col("_foot")[axis]) / 2) for axis in ("x", "y")}
+    return rows.withColumns(place).drop(*names, *chosen, "_best", "_cross", "_foot")
 
 
 def midpoint(pts: Column) -> Column:

@@ -3,9 +3,15 @@
 Points are dealt to one cell and looked for in the cells around. A segment has a level by
 the size of its box: at level k cells are 2^k times as wide as at level 0 and at least as
 wide as the box, so that it touches four cells at most whatever its length. Segments of a
-level meet those of the same level there, and those of smaller levels, which are dealt to
-the cells of every level above that occurs. A pair is taken only in the cell of the lower
-left corner of what the two boxes share, so that it comes out once without a distinct.
+level up to FINE meet those of the same level there, and those of smaller levels, which are
+dealt to the cells of every such level above that occurs. A pair is taken only in the cell
+of the lower left corner of what the two boxes share, so that it comes out once without a
+distinct.
+
+Longer segments go down instead: from the cells of the largest level to those child cells
+that their strip crosses and that hold something, until cells are those of level FINE. So a
+long segment meets what lies along it and not all that lies in its box. Among themselves
+long segments go down only from cells that hold many of them.
 
 Cells are whole numbers held as doubles: a coordinate of any finite size has one. Points
 and segments with a coordinate that is missing or not finite are near nothing.
@@ -19,8 +25,10 @@ from pyspark.sql import functions as F
 from pipelens.functions import geometry as g
 from pipelens.operators.graph import cut
 
-#: Levels up to this one are joined by a shuffle; the segments of those above are few in a network, so the engine can broadcast them where they are.
+#: Segments of levels up to this one meet in cells of their level; longer ones go down to the cells of this level.
 FINE = 3
+#: Levels of one step down, and long segments that may share a cell without going down further.
+STEP, LEAF = 3, 256
 
 _COLUMNS = ("id", "seq", "x1", "y1", "x2", "y2")
 
@@ -106,6 +114,86 @@ def _apart(first: str, second: str, reach: Column) -> Column:
     return (off < float("inf")) & (off > (reach + g.distance(x1, y1, x2, y2) / 2) * length + slack)
 
 
+def _up(cell: Column, levels: int) -> Column:
+    """The cell so many levels above that holds a cell."""
+    return _cell(cell, float(2**levels))
+
+
+def _crossed(size: float) -> Column:
+    """Whether the strip of a segment with its box (x1, y1, x2, y2, lo_x, ...) meets the cell (level, cx, cy): boxes overlap, and the cell is not beside the strip."""
+    wide = _size(F.col("level"), size)
+    middle, half = {}, {}
+    for axis in ("x", "y"):
+        cell = F.col(f"c{axis}")
+        lo, hi = F.when(cell > 0, cell).otherwise(cell - 1) * wide, F.when(cell < 0, cell).otherwise(cell + 1) * wide
+        middle[axis], half[axis] = (lo + hi) / 2, (hi - lo) / 2
+    boxes = (F.abs((F.col("lo_x") + F.col("hi_x")) / 2 - middle["x"]) <= (half["x"] + (F.col("hi_x") - F.col("lo_x")) / 2) * 1.000001) & (
+        F.abs((F.col("lo_y") + F.col("hi_y")) / 2 - middle["y"]) <= (half["y"] + (F.col("hi_y") - F.col("lo_y")) / 2) * 1.000001
+    )
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    off = F.abs(dx * (middle["y"] - F.col("y1")) - dy * (middle["x"] - F.col("x1")))
+    margin = F.least("x1", "x2") - F.col("lo_x")
+    length = F.sqrt(dx * dx + dy * dy)
+    reach = F.abs(dy) * half["x"] + F.abs(dx) * half["y"] + margin * length
+    # What rounding can add, for segments and cells of any size; a product that is beyond all numbers tells nothing.
+    slack = 1e-9 + 1e-12 * length * (F.abs(middle["x"]) + F.abs(middle["y"]) + F.abs("x1") + F.abs("y1"))
+    return boxes & ~F.coalesce((off < float("inf")) & (off > reach * 1.000001 + slack), F.lit(False))
+
+
+def _top(levels: list[int]) -> int:
+    """The level that long segments start from."""
+    return FINE + STEP * -(-(max(levels) - FINE) // STEP)
+
+
+def _at_level(boxed: DataFrame, level: int, size: float) -> DataFrame:
+    """The rows in the cells of one level, which is theirs or a larger one."""
+    return _dealt(boxed.withColumn("level", F.lit(level)), size)
+
+
+def _down(rows: DataFrame, size: float) -> DataFrame:
+    """Rows (with level, cx, cy) in the cells STEP levels below that they cross."""
+    factor = 2**STEP
+    inner = lambda lo, hi: F.array(*[F.lit(float(k)) for k in range(lo, hi)])
+    for axis in ("x", "y"):
+        cell = F.col(f"c{axis}")
+        steps = F.when(cell > 0, inner(0, factor)).when(cell < 0, inner(1 - factor, 1)).otherwise(inner(1 - factor, factor))
+        rows = rows.withColumn("step", F.explode(steps)).withColumn(f"c{axis}", cell * factor + F.col("step")).drop("step")
+    return rows.withColumn("level", F.col("level") - STEP).where(_crossed(size))
+
+
+def _along(longs: DataFrame, levels: list[int], occupied: DataFrame, size: float) -> DataFrame:
+    """The long segments in those cells of level FINE that they cross and that are in ``occupied`` (cx, cy)."""
+    top, occupied = _top(levels), cut(occupied)
+    rows = _at_level(longs, top, size)
+    while top > FINE:
+        top -= STEP
+        there = occupied.select(*[_up(F.col(f"c{axis}"), top - FINE).alias(f"c{axis}") for axis in ("x", "y")]).distinct()
+        rows = _down(rows, size).join(there, ["cx", "cy"], "left_semi")
+    return rows
+
+
+def _leaves(longs: DataFrame, levels: list[int], size: float) -> DataFrame:
+    """The long segments in cells (level, cx, cy) that hold LEAF of them at most, or are of level FINE; two that come near each other share one."""
+    level = _top(levels)
+    rows, out = cut(_at_level(longs, level, size)), None
+    while True:
+        crowded = rows.groupBy("level", "cx", "cy").agg(F.count("*").alias("n")).where(F.col("n") > LEAF).drop("n")
+        last = level <= FINE or crowded.isEmpty()
+        done = rows if last else rows.join(crowded, ["level", "cx", "cy"], "left_anti")
+        out = done if out is None else out.unionByName(done)
+        if last:
+            return out
+        rows, level = cut(_down(rows.join(crowded, ["level", "cx", "cy"], "left_semi"), size)), level - STEP
+
+
+_KEY = ("p_id", "p_seq", "q_id", "q_seq")
+
+
+def _meet() -> Column:
+    """Whether the boxes of p and q overlap."""
+    return (F.greatest("p_lo_x", "q_lo_x") <= F.least("p_hi_x", "q_hi_x")) & (F.greatest("p_lo_y", "q_lo_y") <= F.least("p_hi_y", "q_hi_y"))
+
+
 def segment_pairs(segments: DataFrame, radius: float, size: float) -> DataFrame:
     """Pairs of segments of different lines (a.id < b.id) that may lie within ``radius`` of each other, each pair once.
 
@@ -113,25 +201,26 @@ def segment_pairs(segments: DataFrame, radius: float, size: float) -> DataFrame:
     """
     own = F.col("reach") if "reach" in segments.columns else F.lit(0.0)
     boxed = cut(_boxed(segments, size, own + radius / 2 + 1e-9))
-    levels = _levels(boxed)
-    if not levels:
-        levels = [0]
+    levels = _levels(boxed) or [0]
     kept = [*[c for c in (*_COLUMNS, "reach") if c in boxed.columns], "lo_x", "lo_y", "hi_x", "hi_y"]
     side = lambda df, p, *more: df.select("level", "cx", "cy", *[F.col(c).alias(f"{p}_{c}") for c in (*kept, *more)])
     both = F.lit(radius) + ((F.col("p_reach") + F.col("q_reach")) if "reach" in kept else F.lit(0.0))
-    found = None
-    for part in ([k for k in levels if k <= FINE], [k for k in levels if k > FINE]):
-        if not part:
-            continue
-        p = side(_dealt(boxed.where(F.col("level").isin(part)), size), "p")
-        q = side(_dealt(_raised(boxed, part), size), "q", "own")
-        corner = [F.greatest(F.col(f"p_lo_{axis}"), F.col(f"q_lo_{axis}")) for axis in ("x", "y")]
-        once = (F.col("cx") == _cell(corner[0], _size(F.col("level"), size))) & (F.col("cy") == _cell(corner[1], _size(F.col("level"), size)))
-        meet = once & (corner[0] <= F.least("p_hi_x", "q_hi_x")) & (corner[1] <= F.least("p_hi_y", "q_hi_y"))
-        # Of two segments of one level each meets the other; of different levels the larger one meets the smaller.
-        order = (F.col("q_own") < F.col("level")) & (F.col("p_id") != F.col("q_id")) | (F.col("q_own") == F.col("level")) & (F.col("p_id") < F.col("q_id"))
-        pairs = p.join(q, ["level", "cx", "cy"]).where(order & meet & ~_apart("p", "q", both) & ~_apart("q", "p", both))
-        found = pairs if found is None else found.unionByName(pairs)
+    near = ~_apart("p", "q", both) & ~_apart("q", "p", both)
+    fine = [k for k in levels if k <= FINE]
+    small, longs = boxed.where(F.col("level") <= FINE), boxed.where(F.col("level") > FINE)
+    p, q = side(_dealt(small, size), "p"), side(_dealt(_raised(small, fine or [0]), size), "q", "own")
+    corner = [F.greatest(F.col(f"p_lo_{axis}"), F.col(f"q_lo_{axis}")) for axis in ("x", "y")]
+    once = (F.col("cx") == _cell(corner[0], _size(F.col("level"), size))) & (F.col("cy") == _cell(corner[1], _size(F.col("level"), size)))
+    # Of two segments of one level each meets the other; of different levels the larger one meets the smaller.
+    order = (F.col("q_own") < F.col("level")) & (F.col("p_id") != F.col("q_id")) | (F.col("q_own") == F.col("level")) & (F.col("p_id") < F.col("q_id"))
+    found = p.join(q, ["level", "cx", "cy"]).where(order & once & _meet()).drop("q_own")
+    if max(levels) > FINE:
+        placed = _at_level(small, FINE, size)
+        strips = _along(longs, levels, placed.select("cx", "cy").distinct(), size)
+        leaves = cut(_leaves(longs, levels, size))
+        mixed = side(strips, "p").join(side(placed, "q"), ["level", "cx", "cy"]).where((F.col("p_id") != F.col("q_id")) & _meet() & near)
+        alike = side(leaves, "p").join(side(leaves, "q"), ["level", "cx", "cy"]).where((F.col("p_id") < F.col("q_id")) & _meet() & near)
+        found = found.unionByName(mixed.dropDuplicates(_KEY)).unionByName(alike.dropDuplicates(_KEY))
     first = F.col("p_id") < F.col("q_id")
     columns = [c for c in kept if c in (*_COLUMNS, "reach")]
     # Written, so that exact tests are compiled apart from the join.
@@ -144,21 +233,28 @@ def cross_pairs(lines: DataFrame, edges: DataFrame, radius: float, size: float)
     """Pairs of a segment of ``lines`` (a) and one of ``edges`` (b) that may lie within ``radius`` of each other, each pair once."""
     left, right = (cut(_boxed(df, size, F.lit(radius / 2 + 1e-9))) for df in (lines, edges))
     levels = sorted({*_levels(left), *_levels(right)}) or [0]
+    fine = [k for k in levels if k <= FINE] or [0]
     kept = (*_COLUMNS, "lo_x", "lo_y", "hi_x", "hi_y")
     side = lambda df, p, *more: df.select("level", "cx", "cy", *[F.col(c).alias(f"{p}_{c}") for c in (*kept, *more)])
     corner = [F.greatest(F.col(f"p_lo_{axis}"), F.col(f"q_lo_{axis}")) for axis in ("x", "y")]
     once = (F.col("cx") == _cell(corner[0], _size(F.col("level"), size))) & (F.col("cy") == _cell(corner[1], _size(F.col("level"), size)))
-    meet = once & (corner[0] <= F.least("p_hi_x", "q_hi_x")) & (corner[1] <= F.least("p_hi_y", "q_hi_y"))
+    near = _meet() & ~_apart("p", "q", F.lit(radius)) & ~_apart("q", "p", F.lit(radius))
+    named = lambda rows, a, b: rows.select(*[F.col(f"{a}_{c}").alias(f"a_{c}") for c in _COLUMNS], *[F.col(f"{b}_{c}").alias(f"b_{c}") for c in _COLUMNS])
     found = None
-    for part in ([k for k in levels if k <= FINE], [k for k in levels if k > FINE]):
-        for first, second, own in ((left, right, F.col("q_own") <= F.col("level")), (right, left, F.col("q_own") < F.col("level"))):
-            if not part:
-                continue
-            p, q = side(_dealt(first.where(F.col("level").isin(part)), size), "p"), side(_dealt(_raised(second, part), size), "q", "own")
-            met = p.join(q, ["level", "cx", "cy"]).where(own & meet & ~_apart("p", "q", F.lit(radius)) & ~_apart("q", "p", F.lit(radius)))
-            of = ("p", "q") if first is left else ("q", "p")
-            rows = met.select(*[F.col(f"{of[0]}_{c}").alias(f"a_{c}") for c in _COLUMNS], *[F.col(f"{of[1]}_{c}").alias(f"b_{c}") for c in _COLUMNS])
-            found = rows if found is None else found.unionByName(rows)
+    for first, second, own in ((left, right, F.col("q_own") <= F.col("level")), (right, left, F.col("q_own") < F.col("level"))):
+        of = ("p", "q") if first is left else ("q", "p")
+        small = second.where(F.col("level") <= FINE)
+        p, q = side(_dealt(first.where(F.col("level") <= FINE), size), "p"), side(_dealt(_raised(small, fine), size), "q", "own")
+        rows = named(p.join(q, ["level", "cx", "cy"]).where(own & once & _meet()), *of)
+        if max(levels) > FINE:
+            placed = _at_level(small, FINE, size)
+            strips = _along(first.where(F.col("level") > FINE), levels, placed.select("cx", "cy").distinct(), size)
+            rows = rows.unionByName(named(side(strips, "p").join(side(placed, "q"), ["level", "cx", "cy"]).where(near).dropDuplicates(_KEY), *of))
+        found = rows if found is None else found.unionByName(rows)
+    if max(levels) > FINE:
+        longs = left.where(F.col("level") > FINE).withColumn("left", F.lit(True)).unionByName(right.where(F.col("level") > FINE).withColumn("left", F.lit(False)))
+        leaves = cut(_leaves(longs, levels, size))
+        found = found.unionByName(named(side(leaves.where("left"), "p").join(side(leaves.where("not left"), "q"), ["level", "cx", "cy"]).where(near).dropDuplicates(_KEY), "p", "q"))
     return cut(found)
 
 
@@ -180,18 +276,17 @@ def point_segment_pairs(points: DataFrame, segments: DataFrame, radius: float, s
     """(a, id, dist): points (a, ax, ay) and lines within ``radius``, with the least distance."""
     boxed = cut(_boxed(segments, size, F.lit(radius)))
     levels = _levels(boxed) or [0]
-    placed = points.where(g.finite(F.col("ax")) & g.finite(F.col("ay")))
+    placed = points.where(g.finite(F.col("ax")) & g.finite(F.col("ay"))).select("a", "ax", "ay")
     dist = g.point_segment(F.col("ax"), F.col("ay"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    found = None
-    for part in ([k for k in levels if k <= FINE], [k for k in levels if k > FINE]):
-        if not part:
-            continue
-        wide = _size(F.col("level"), size)
-        near = placed.select("a", "ax", "ay", F.explode(F.array(*[F.lit(k) for k in part])).alias("level"))
-        near = near.withColumn("cx", _cell(F.col("ax"), wide)).withColumn("cy", _cell(F.col("ay"), wide))
-        inside = F.col("ax").between(F.col("lo_x"), F.col("hi_x")) & F.col("ay").between(F.col("lo_y"), F.col("hi_y"))
-        hits = near.join(_dealt(boxed.where(F.col("level").isin(part)), size), ["level", "cx", "cy"]).where(inside).select("a", "id", dist.alias("dist"))
-        found = hits if found is None else found.unionByName(hits)
+    inside = F.col("ax").between(F.col("lo_x"), F.col("hi_x")) & F.col("ay").between(F.col("lo_y"), F.col("hi_y"))
+    cells = lambda rows, wide: rows.withColumn("cx", _cell(F.col("ax"), wide)).withColumn("cy", _cell(F.col("ay"), wide))
+    fine = [k for k in levels if k <= FINE] or [0]
+    near = cells(placed.withColumn("level", F.explode(F.array(*[F.lit(k) for k in fine]))), _size(F.col("level"), size))
+    found = near.join(_dealt(boxed.where(F.col("level") <= FINE), size), ["level", "cx", "cy"]).where(inside).select("a", "id", dist.alias("dist"))
+    if max(levels) > FINE:
+        there = cells(placed, 2.0**FINE * size)
+        strips = _along(boxed.where(F.col("level") > FINE), levels, there.select("cx", "cy").distinct(), size)
+        found = found.unionByName(there.join(strips, ["cx", "cy"]).where(inside).select("a", "id", dist.alias("dist")))
     return found.where(F.col("dist") <= radius).groupBy("a", "id").agg(F.min("dist").alias("dist"))
 
 

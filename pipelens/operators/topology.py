@@ -80,7 +80,7 @@ def overlapping_lines(t):
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     piece = F.greatest(F.lit(0.0), F.col("hi") - F.greatest("lo", F.coalesce(reach, F.col("lo"))))
     sums = near.withColumn("piece", piece).groupBy("a_id", "b_id").agg(F.sum("piece").alias("value"), F.min("nearness").alias("nearest"))
-    return sums.where(F.col("value") >= t.cfg.overlap_length).select(F.col("a_id").alias("object_id"), F.col("b_id").alias("object2_id"), "value", F.lit(t.cfg.overlap_length).alias("threshold"), *_place())
+    return _placed(sums.where(F.col("value") >= t.cfg.overlap_length)).select(F.col("a_id").alias("object_id"), F.col("b_id").alias("object2_id"), "value", F.lit(t.cfg.overlap_length).alias("threshold"), "x", "y")
 
 
 def _nearness():
@@ -89,10 +89,9 @@ def _nearness():
     return F.struct(g.segment_segment(a, b).alias("d"), "a_seq", "b_seq", *[F.col(f"{side}_{c}") for side in "ab" for c in ("x1", "y1", "x2", "y2")]).alias("nearness")
 
 
-def _place():
-    """(x, y): the middle of the closest approach of the nearest segments of two lines."""
-    at = g.approach(*[[F.col("nearest")[f"{side}_{c}"] for c in ("x1", "y1", "x2", "y2")] for side in "ab"])
-    return at["x"].alias("x"), at["y"].alias("y")
+def _placed(rows: DataFrame) -> DataFrame:
+    """Adds x and y: the middle of the closest approach of the nearest segments of two lines."""
+    return g.with_approach(rows, *[[F.col("nearest")[f"{side}_{c}"] for c in ("x1", "y1", "x2", "y2")] for side in "ab"])
 
 
 def interval(a: list, b: list, tol: float):
@@ -210,7 +209,7 @@ def conflicting_conduits(t):
     both = close.join(side("a"), "a_id").join(side("b"), "b_id").withColumn("threshold", F.col("a_r") + F.col("b_r") + t.cfg.conflict_margin)
     meet = F.exists("a_ends", lambda p: F.exists("b_ends", lambda q: g.distance(p["x"], p["y"], q["x"], q["y"]) <= t.cfg.snap))
     found = both.where((F.col("threshold") > 0) & (F.col("value") <= F.col("threshold")) & ~F.coalesce(F.arrays_overlap("a_nodes", "b_nodes"), F.lit(False)) & ~meet)
-    return found.select(F.col("a_id").alias("object_id"), F.col("b_id").alias("object2_id"), "value", "threshold", *_place())
+    return _placed(found).select(F.col("a_id").alias("object_id"), F.col("b_id").alias("object2_id"), "value", "threshold", "x", "y")
 
 
 @rule("TOP-011", "W", "topology")

@@ -176,3 +176,68 @@ def test_network_from_statements(spark, tmp_path):
     assert (got["start_id"], got["end_id"], got["bob_start"], got["bob_end"], len(got["pts"])) == (f"{d}A", f"{d}K", 1.5, 1.25, 2)
     assert {r["node_id"]: r["label"] for r in t.node.collect()} == {f"{d}A": "put A", f"{d}B": "put B", f"{d}K": "put K"}
     assert findings.run("NET-003", t).count() == 0 and findings.run("NET-001", t).count() == 1
+
+
+def _touching(rows, radius):
+    """Pairs of segments of different lines within the radius, by plain arithmetic."""
+
+    def to(p, s):
+        dx, dy = s[2] - s[0], s[3] - s[1]
+        n = dx * dx + dy * dy
+        k = max(0.0, min(1.0, ((p[0] - s[0]) * dx + (p[1] - s[1]) * dy) / n)) if n else 0.0
+        return math.hypot(p[0] - s[0] - k * dx, p[1] - s[1] - k * dy)
+
+    def side(s, p):
+        return (s[2] - s[0]) * (p[1] - s[1]) - (s[3] - s[1]) * (p[0] - s[0])
+
+    out = set()
+    for k, (a, _, *p) in enumerate(rows):
+        for b, _, *q in rows[:k]:
+            cross = side(p, q[:2]) * side(p, q[2:]) < 0 and side(q, p[:2]) * side(q, p[2:]) < 0
+            if a != b and (cross or min(to(p[:2], q), to(p[2:], q), to(q[:2], p), to(q[2:], p)) <= radius):
+                out.add((min(a, b), max(a, b)))
+    return out
+
+
+def _long_and_short(n_long, n_short, seed):
+    """Short segments in a small area, and long ones that leave it in all directions, some of them along each other."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(n_short):
+        x, y, a = rng.uniform(-900, 900), rng.uniform(-900, 900), rng.uniform(0, 6.3)
+        rows.append((f"s{k:04}", 0, x, y, x + 40 * math.cos(a), y + 40 * math.sin(a)))
+    for k in range(n_long):
+        x, y, a, n = rng.uniform(-900, 900), rng.uniform(-900, 900), rng.choice([0.0, 0.001, 1.0, 2.5, 4.0]), rng.choice([3e2, 5e3, 8e5])
+        rows.append((f"t{k:04}", 0, x, y, x + n * math.cos(a), y + n * math.sin(a)))
+    return rows
+
+
+SEGMENT = "id string, seq int, x1 double, y1 double, x2 double, y2 double"
+
+
+@pytest.mark.parametrize("leaf", [4, spatial.LEAF])
+def test_long_segments_meet_what_they_pass(spark, monkeypatch, leaf):
+    monkeypatch.setattr(spatial, "LEAF", leaf)
+    rows = _long_and_short(40, 120, 1)
+    pairs = spatial.segment_pairs(spark.createDataFrame(rows, SEGMENT), 2.0, 8.0).select("a_id", "b_id", "a_seq", "b_seq").collect()
+    assert len(pairs) == len(set(pairs)) and all(r["a_id"] < r["b_id"] for r in pairs)
+    assert _touching(rows, 2.0) <= {(r["a_id"], r["b_id"]) for r in pairs}
+    left, right = rows[::2], rows[1::2]
+    met = spatial.cross_pairs(spark.createDataFrame(left, SEGMENT), spark.createDataFrame(right, SEGMENT), 2.0, 8.0).select("a_id", "b_id").collect()
+    names = {r[0] for r in left}
+    want = {(a, b) if a in names else (b, a) for a, b in _touching(rows, 2.0) if (a in names) != (b in names)}
+    assert len(met) == len(set(met)) and want <= {tuple(r) for r in met}
+    points = [(f"p{k}", r[2], r[3]) for k, r in enumerate(rows[:100])]
+    near = spatial.point_segment_pairs(spark.createDataFrame(points, "a string, ax double, ay double"), spark.createDataFrame(rows, SEGMENT), 2.0, 8.0).collect()
+    dots = [(a, 0, x, y, x, y) for a, x, y in points]
+    assert {(r["a"], r["id"]) for r in near} == {(a, b) for a, b in _touching(rows + dots, 2.0) if (a in dict((p[0], 1) for p in points)) != (b in dict((p[0], 1) for p in points))}
+
+
+def test_a_long_segment_does_not_meet_all_that_its_box_holds(spark):
+    counts = []
+    for side in (10, 20):
+        grid = [(f"g{i:03}{j:03}", 0, 100.0 * i, 100.0 * j, 100.0 * i + 20, 100.0 * j) for i in range(side) for j in range(side)]
+        grid += [(f"z{k}", 0, 50.0 + k, -50.0, 50.0 + k + 1e6, 1e6) for k in range(side)]
+        counts.append(spatial.segment_pairs(spark.createDataFrame(grid, SEGMENT), 1.0, 8.0).count())
+    # Four times the grid and twice the long ones, each along twice as many: four times as many pairs, where boxes would give eight.
+    assert counts[1] <= 5 * counts[0]
