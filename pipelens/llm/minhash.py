@@ -218,7 +218,7 @@ def close_pairs(sets: DataFrame, positions: int = POSITIONS, chunks: int = CHUNK
     """(a, b): pairs of the distinct ``sets`` (id, sig) within the radius that connect whatever all such pairs connect."""
     spark = sets.sparkSession
     rows = keyed(sets.select("id", "sig"), masks(positions, chunks, errors))
-    large = common.cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > key_rows), 1)
+    large = common.cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > key_rows))
     if large.count() <= LARGE_KEYS:
         large = F.broadcast(large)
     meets = F.ceil(F.coalesce("n", F.lit(1)) / key_rows)
