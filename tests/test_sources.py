@@ -71,3 +71,41 @@ def test_sinks_guard_their_inputs(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
     with pytest.raises(ValueError):
         sinks.archive(found, str(tmp_path / "in" / "sub"), [str(tmp_path / "in")])
+
+
+def test_escapes_are_decoded_once(spark, tmp_path):
+    lines = [
+        r'<a> <p> "C:\\new" .', r'<b> <p> "caf\u00e9 \U0001F600 \uD83D\uDE00" .', r'<c> <p> "tab\there\r\n\b\f\"\'" .', r'<d> <p> "\\u00e9"@nl . # said', r'<e\u00e9> <p> <x\u0020y> .',
+        "broken <x> .", "broken <x> .", "  # only a comment", "", "<a> <b> .",
+    ]
+    (tmp_path / "e.nt").write_text("\n".join(lines))
+    got = {r["s"]: r["o"] for r in graph.triples(spark, str(tmp_path / "e.nt")).collect()}
+    assert got == {"a": r"C:\new", "b": "café \U0001f600 \U0001f600", "c": "tab\there\r\n\b\f\"'", "d": r"\u00e9", "eé": "x y"}
+    assert sorted((r["line"], r["n"]) for r in graph.unread(spark, str(tmp_path / "e.nt")).collect()) == [("<a> <b> .", 1), ("broken <x> .", 2)]
+
+
+def test_encoding_audit_samples(spark, tmp_path):
+    old = ["plain", *[f"ligt é {k}" for k in range(7)], "ligt é 0"]
+    (tmp_path / "old.nt").write_bytes("\n".join(old).encode("latin-1"))
+    (tmp_path / "new.nt").write_text("één\nstraße", encoding="utf-8")
+    got = {r["path"].rsplit("/", 1)[1]: r for r in graph.encoding_audit(spark, str(tmp_path)).collect()}
+    assert not got["old.nt"]["valid"] and got["old.nt"]["not_ascii"] == 8 and got["old.nt"]["samples"] == [f"ligt é {k}" for k in range(5)]
+    assert got["new.nt"]["valid"] and got["new.nt"]["not_ascii"] == 6 and got["new.nt"]["samples"] == [] and got["new.nt"]["length"] == len("één\nstraße".encode())
+    (tmp_path / "t.nt").write_bytes('<a> <p> "é" .'.encode("latin-1"))
+    assert graph.triples(spark, str(tmp_path / "t.nt"), encoding="ISO-8859-1").first()["o"] == "é"
+
+
+def test_a_report_is_read_in_ranges(spark, tmp_path):
+    body = "".join(f"n{k};S;{k};Violation;m;p;d;Focus-node: type=T{k % 3}, label=L, hasAspect=x\n" for k in range(4000))
+    (tmp_path / "r.csv").write_text("Class;Hyd\nnote;Focus node;no header\n\n" + REPORT.split("\n")[4] + "\n" + body)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+        rows, preamble = reports.read(spark, str(tmp_path / "r.csv"))
+        assert reports.lines(spark, str(tmp_path / "r.csv")).rdd.getNumPartitions() > 5
+        assert rows.count() == 4000 and {r["cfk"] for r in rows.select("cfk").distinct().collect()} == {"Hyd"}
+        assert {(r["key"], r["value"]) for r in preamble.collect()} == {("Class", "Hyd"), ("note", "Focus node")}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
