@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipelens import config, findings
-from pipelens.operators import attributes, enrich, external, graph, heights, hierarchy, network, reports, summaries, topology  # noqa: F401  (rules register themselves)
+from pipelens.operators import attributes, enrich, external, graph, heights, hierarchy, network, regions, reports, summaries, topology  # noqa: F401  (rules register themselves)
 from pipelens.plans import export, more, oracles, projection
 from pipelens.plans.oracles import COMMON, GRAPH
 
@@ -92,6 +92,24 @@ _NETWORK: dict[str, tuple[Callable, str | None]] = {
     "f_17": (summaries.midpoints, f"{COMMON}{PLACES} SELECT conduit_id, p.x, p.y, CASE WHEN xm IS NULL THEN sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2)) ELSE l1 + l2 END AS length FROM line JOIN place p ON p.object_id = conduit_id"),
 }
 
+#: Slabs between the sides of all squares, and in each the union of the stretches of those that reach across it.
+_COVERED = f""", sq AS ({projection.REGION_SQL}), xs AS (SELECT x - h AS v FROM sq UNION SELECT x + h FROM sq UNION SELECT x - g FROM sq WHERE g IS NOT NULL UNION SELECT x + g FROM sq WHERE g IS NOT NULL),
+slab AS (SELECT v AS x0, lead(v) OVER (ORDER BY v) AS x9 FROM xs),
+run AS (SELECT x0, x9, y - h AS lo, CASE WHEN g IS NOT NULL AND x - g <= x0 AND x + g >= x9 THEN y - g ELSE y + h END AS hi FROM sq JOIN slab ON x - h <= x0 AND x + h >= x9
+  UNION ALL SELECT x0, x9, y + g, y + h FROM sq JOIN slab ON x - g <= x0 AND x + g >= x9),
+part AS (SELECT x0, x9, lo, hi, max(hi) OVER (PARTITION BY x0 ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM run)"""
+
+_NETWORK |= {
+    "src_5": (
+        lambda t: regions.covered(projection.region(t)).select("areas", F.round("hectares", 4).alias("hectares")),
+        f"{COMMON}{_COVERED} SELECT (SELECT count(DISTINCT role) FROM sq) AS areas, round(sum(greatest(0, hi - greatest(lo, coalesce(upto, lo))) * (x9 - x0)) / 10000, 4) AS hectares FROM part",
+    ),
+    "join_8": (
+        lambda t: regions.points_in(t.node.select(F.col("node_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")), projection.region(t)).select(F.col("a").alias("node_id"), "area_id"),
+        f"{COMMON}, sq AS ({projection.REGION_SQL}) SELECT DISTINCT node_id, role AS area_id FROM node n JOIN sq ON abs(n.x - sq.x) <= h AND abs(n.y - sq.y) <= h AND NOT coalesce(abs(n.x - sq.x) < g AND abs(n.y - sq.y) < g, false)",
+    ),
+}
+
 _REPORTS: dict[str, tuple[Callable, str]] = {
     "agg_1": (
         reports.messages,

@@ -159,6 +159,17 @@ def _areas(feature: DataFrame) -> DataFrame:
     return feature.withColumn("ring", F.when(F.col("half").isNotNull(), ring))
 
 
+def region(t: Tables) -> DataFrame:
+    """A region for each role (area_id, part, ring, pts): large squares around its square features, every second with a square hole."""
+    square = lambda n: F.array(*[F.struct((F.col("x") + i * n * F.col("half")).alias("x"), (F.col("y") + j * n * F.col("half")).alias("y")) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
+    holed = F.substring("feature_id", 2, 12).cast("long") % 2 == 0
+    return t.feature.where("half is not null").select(F.col("role").alias("area_id"), F.col("feature_id").alias("part"), F.posexplode(F.when(holed, F.array(square(12), square(4))).otherwise(F.array(square(12)))).alias("ring", "pts"))
+
+
+#: The same squares for DuckDB: half widths of the outside and of the hole.
+REGION_SQL = "SELECT role, feature_id, x, y, 12 * half AS h, CASE WHEN CAST(substr(feature_id, 2) AS BIGINT) % 2 = 0 THEN 4 * half END AS g FROM feature WHERE half IS NOT NULL"
+
+
 def vocabulary() -> dict[str, set[str]]:
     """Descendants of each class of the package's own tree, a few dozen names."""
     found: dict[str, set[str]] = {}
