@@ -281,9 +281,8 @@ def _scores(stems, weights):
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, held_out, score) of each row of ``docs`` (doc_id, text), learned from ``labels`` (doc_id, toxic)."""
-    common.ship_package(docs.sparkSession)
+def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(text, toxic): for each of at most ``sample`` labels of either kind outside the held-out fold one row of that id, that of the smallest text hash."""
     known = (
         labels.where("toxic in (0, 1) and doc_id is not null")
         .where(common.id_bucket(F.col("doc_id"), FOLDS) != 0)
@@ -291,7 +290,16 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
         .agg(F.max("toxic").cast("int").alias("toxic"))
     )
     chosen = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("label_id"), "label_id").limit(sample) for k in (0, 1)]
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), F.col("doc_id") == F.col("label_id")).select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), F.col("doc_id") == F.col("label_id"))
+    # A sample of labels is no bound on rows: an id may stand in any number of them.
+    one = rows.groupBy("label_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m"))
+    return one.select("m.text", "toxic")
+
+
+def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, held_out, score) of each row of ``docs`` (doc_id, text), learned from ``labels`` (doc_id, toxic)."""
+    common.ship_package(docs.sparkSession)
+    rows = labelled(docs, labels, sample)
     stems = learn_stems(rows)
     got = rows.mapInArrow(_counts(stems), "counts array<double>, toxic int").toArrow()
     counts = got["counts"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, OUTPUTS) if got.num_rows else np.zeros((0, OUTPUTS))

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -263,3 +264,13 @@ def test_clashing_columns(spark):
     assert secrets.find(docs).count() == n
     assert fingerprint.compare_neighbours(docs).count() == n
     assert lm_score.score(docs, F.col("doc_id") > 5).count() == n
+
+
+def test_a_repeated_labelled_id_counts_once(spark):
+    docs = spark.createDataFrame([(1, f"text {k % 3}") for k in range(300)] + [(2, "other"), (5, None), (None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (5, 0), (7, 1), (None, 1), (2, None)], "doc_id long, toxic int")
+    got = sorted((r["toxic"], r["text"] or "") for r in toxicity.labelled(docs, labels).collect())
+    held = {k for k in (1, 2, 5) if zlib.crc32(str(k).encode()) % 5 == 0}
+    assert [t for t, _ in got] == [0] * len({2, 5} - held) + [1] * len({1} - held)
+    assert all(text.startswith("text ") for t, text in got if t == 1)
+    assert toxicity.labelled(docs, labels, sample=0).count() == 0
