@@ -14,7 +14,7 @@ meet two by two. So no link is taken without its full sets, and no group writes
 
 Documents at the threshold itself differ in a fifth of the positions; with 40 positions and
 a radius of 19 a link at exactly 0.8 is missed with probability 2e-5, one at 0.85 with
-2e-8. All pairs within the radius are found, whatever their group's size.
+2e-7. All pairs within the radius are found, whatever their group's size.
 
 Defined results: null, empty and blank texts have the empty set, are linked with nothing
 and stand alone; rows that share an id are separate members; a null id is never the
