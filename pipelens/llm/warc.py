@@ -43,6 +43,9 @@ ARCHIVE_BYTES = 32 << 20
 #: Bytes given to the unpacker at a time; what it does not use is copied, so they are few.
 CHUNK = 1 << 15
 
+#: Bytes of a file name or a comment in the header of a member, at most.
+NAME = 1 << 16
+
 #: Digests that are checked, by the name in the header.
 DIGESTS = {"md5": hashlib.md5, "sha1": hashlib.sha1, "sha256": hashlib.sha256, "sha384": hashlib.sha384, "sha512": hashlib.sha512}
 
@@ -90,12 +93,18 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     if not re.fullmatch(r"[0-9]{1,15}", length):
         raise ValueError("no content length")
     end = head.end() + int(length)
-    blank = next((x for x in (b"\r\n\r\n", b"\n\n") if data[end : end + len(x)] == x), None)
-    if blank is None:
+    if end > len(data):
         raise ValueError("record is cut or its length is wrong")
+    blank = next((x for x in (b"\r\n\r\n", b"\n\n") if data[end : end + len(x)] == x), None)
     fields["payload"] = data[head.end() : end]
     if fields.get("warc-type") != "revisit":
         _check_digest(fields)
+    if blank is None:
+        # Its payload fits its digest, so only the lines that close it are lost.
+        if not fields.get("checked"):
+            raise ValueError("record is cut or its length is wrong")
+        fields["note"] = "closing lines are missing"
+        blank = re.compile(rb"[\r\n]{0,3}").match(data, end)[0]
     return fields, end + len(blank)
 
 
@@ -119,23 +128,43 @@ def _check_digest(fields: dict) -> None:
     fields["checked"] = True
 
 
+def _member_header(data: bytes, at: int) -> int:
+    """The place after the header of the member at ``at``; ValueError if it is none, so that chance finds of its first bytes cost little."""
+    if len(data) < at + 10 or data[at : at + 3] != _GZIP or data[at + 3] & 0xE0:
+        raise ValueError("no header of a member")
+    flags, end = data[at + 3], at + 10
+    if flags & 4:
+        end += 2 + int.from_bytes(data[end : end + 2], "little")
+    for flag in (8, 16):
+        if flags & flag:
+            end = data.find(b"\0", end, end + NAME) + 1
+            if not end:
+                raise ValueError("no end of a name in the header of a member")
+    return end + (2 if flags & 2 else 0)
+
+
 def unpack(data: bytes, at: int) -> tuple[bytes, int, str]:
     """The bytes of the member that begins at ``at``, as far as they unpack, the place after it, and what is wrong with it."""
-    unpacker, parts, end = zlib.decompressobj(31), [], at
+    unpacker, parts, end, size = zlib.decompressobj(31), [], at, max(64, _member_header(data, at) - at)
     while not unpacker.eof and end < len(data):
-        chunk = memoryview(data)[end : end + CHUNK]
+        chunk = memoryview(data)[end : end + size]
         before = unpacker.copy()
         try:
             parts.append(unpacker.decompress(chunk))
         except zlib.error as e:
-            # The bytes before the damage: the chunk again, byte by byte.
-            for k in range(len(chunk)):
+            # The bytes before the damage: halves of what is left of the chunk, as long as they unpack.
+            good, step = 0, len(chunk)
+            while step > 1:
+                step = (step + 1) // 2
+                trial = before.copy()
                 try:
-                    parts.append(before.decompress(chunk[k : k + 1]))
+                    parts.append(trial.decompress(chunk[good : good + step]))
                 except zlib.error:
-                    break
-            return b"".join(parts), end + k, f"member: {e}"
+                    continue
+                before, good = trial, good + step
+            return b"".join(parts), end + good, f"member: {e}"
         end += len(chunk)
+        size = min(CHUNK, 4 * size)
     if not unpacker.eof:
         return b"".join(parts), end, "member is cut"
     return b"".join(parts), end - len(unpacker.unused_data), ""
@@ -173,11 +202,12 @@ def parse_at(data: bytes, at: int) -> tuple[list[tuple[str, dict | str]], int, s
     plain, end, wrong = unpack(data, at)
     found = []
     for kind, start, stop, what in _plain(plain):
-        if kind == "record" and wrong and not _HEADLINE.match(plain, stop):
-            kind, what = "gap", "no record follows in a cut or damaged member"
-        elif kind == "record" and wrong != "" and wrong != "member is cut" and not what.get("checked"):
-            kind, what = "gap", "record without a checked digest in a damaged member"
+        # A digest that fits speaks for itself; a record without one is taken from a cut member if another one follows.
+        if kind == "record" and wrong and not what.get("checked") and not (wrong == "member is cut" and _HEADLINE.match(plain, stop)):
+            kind, what = "gap", "record without a checked digest at the end of a cut member or in a damaged one"
         found.append((kind, what if kind == "record" else f"{what} (unpacked bytes {start} to {stop})"))
+    if wrong and len(found) > 1 and found[-1][0] == "gap":
+        found.pop()  # what is wrong with the member covers what follows its last record
     if not any(kind == "record" for kind, _ in found) and (found or wrong):
         raise ValueError(wrong or found[0][1].rpartition(" (")[0])
     return found, end, wrong
