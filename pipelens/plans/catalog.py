@@ -164,7 +164,7 @@ outcome AS (SELECT rule_id, severity, status, coalesce(examined, 0) AS examined,
   LEFT JOIN (SELECT 'node' AS population, count(*) AS examined FROM node UNION ALL SELECT 'gravity', count(*) FROM grav UNION ALL SELECT 'conduit', count(*) FROM conduit) USING (population)),
 judged AS (SELECT f.*, systemic, CASE WHEN f.severity = 'F' AND cls IN ('Overstortput', 'Bergbezinkbassin', 'Gemaal') THEN 1 WHEN f.severity = 'F' THEN 2 ELSE 3 END AS priority
   FROM found f LEFT JOIN node ON node_id = object_id LEFT JOIN outcome USING (rule_id)){PLACES},
-placed AS (SELECT f.* EXCLUDE (x, y), coalesce(f.x, place.x) AS x, coalesce(f.y, place.y) AS y FROM found f LEFT JOIN place USING (object_id))
+placed AS (SELECT f.* EXCLUDE (x, y), coalesce(round(f.x, 4), place.x) AS x, coalesce(round(f.y, 4), place.y) AS y FROM found f LEFT JOIN place USING (object_id))
 """
 
 
@@ -175,14 +175,14 @@ def _rule_values() -> str:
 
 
 _FINDINGS: dict[str, tuple[Callable, str]] = {
-    "snk_1": (lambda t: _all(t).withColumn("category", enrich.category(F.col("rule_id"))), "SELECT *, split_part(rule_id, '-', 1) AS category FROM (SELECT finding_id, rule_id, severity, object_id, object2_id, detail, round(value, 8) AS value, round(threshold, 8) AS threshold, round(x, 8) AS x, round(y, 8) AS y FROM found)"),
+    "snk_1": (lambda t: _all(t).withColumn("category", enrich.category(F.col("rule_id"))), "SELECT *, split_part(rule_id, '-', 1) AS category FROM (SELECT finding_id, rule_id, severity, object_id, object2_id, detail, round(value, 8) AS value, round(threshold, 8) AS threshold, round(x, 4) AS x, round(y, 4) AS y FROM found)"),
     "snk_2": (
         lambda t: enrich.per_object(_judged(t)),
         "SELECT object_id, min(severity) AS worst, count(*) FILTER (severity = 'F') AS errors, count(*) FILTER (severity = 'W') AS warnings, count(*) FILTER (systemic) AS systemic, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules, count(DISTINCT rule_id) AS n_rules, min(priority) AS priority FROM judged GROUP BY 1",
     ),
     "snk_5": (lambda t: enrich.outcomes(_all(t), t), "SELECT * FROM outcome"),
     "fnd_7": (lambda t: _judged(t).groupBy("rule_id", "priority", "systemic").agg(F.count("*").alias("n")), "SELECT rule_id, priority, systemic, count(*) AS n FROM judged GROUP BY ALL"),
-    "fnd_8": (lambda t: _placed(t).select("finding_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y")), "SELECT finding_id, round(x, 3) AS x, round(y, 3) AS y FROM placed"),
+    "fnd_8": (lambda t: _placed(t).select("finding_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y")), "SELECT finding_id, round(x, 4) AS x, round(y, 4) AS y FROM placed"),
     "fnd_11": (lambda t: enrich.stacked_objects(_all(t), t.cfg.stacked), "SELECT object_id, count(DISTINCT rule_id) AS n_rules FROM found GROUP BY 1 HAVING count(DISTINCT rule_id) >= 3"),
     "topk_3": (
         lambda t: enrich.shown(_all(t), 25).select("rule_id", "finding_id"),

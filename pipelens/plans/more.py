@@ -155,7 +155,7 @@ ON_FINDINGS = {
         ),
         f"""SELECT CASE WHEN nth > 1 THEN concat(finding_id, '-', nth) ELSE finding_id END AS finding_id, split_part(rule_id, '-', 1) AS category, dimension, l.label AS object_label, m.label AS object2_label, name AS cluster_id,
         CASE WHEN object_id IN (SELECT node_id FROM node WHERE node_id LIKE '%3') THEN 'core' ELSE 'shell' END AS scope, object_id NOT IN (SELECT object_id FROM {_TYPED} WHERE cls IN ('BlindePut', 'Duiker')) AS typing_reliable, priority, systemic, detail,
-        round(coalesce(f.x, place.x), 6) AS x, round(coalesce(f.y, place.y), 6) AS y, DATE '2026-01-01' AS run_date, 'orders' AS dataset
+        round(coalesce(round(f.x, 4), place.x), 6) AS x, round(coalesce(round(f.y, 4), place.y), 6) AS y, DATE '2026-01-01' AS run_date, 'orders' AS dataset
         FROM (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY object_id NULLS FIRST, object2_id NULLS FIRST, detail NULLS FIRST, value NULLS FIRST) AS nth FROM judged) f
         LEFT JOIN ({_LABELS}) l ON l.id = object_id LEFT JOIN ({_LABELS}) m ON m.id = object2_id LEFT JOIN own USING (object_id) LEFT JOIN names USING (component) LEFT JOIN place USING (object_id) JOIN (VALUES {_dimensions()}) d(rule_id, dimension) USING (rule_id)""",
         GRAPH + _NAMES + _OWN,
