@@ -42,7 +42,7 @@ def found(rows):
     return Counter(tuple(r[c] for c in ("doc_id", "n_shingles", "component_id", "kept")) for r in rows)
 
 
-def near_copies(n=30, words=60, seed=3):
+def near_copies(n=12, words=60, seed=3):
     """A chain and a star of texts at about the threshold, and texts that share a passage only."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
