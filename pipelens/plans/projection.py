@@ -137,14 +137,13 @@ def _build(spark: SparkSession, sf_dir: str) -> Tables:
     conduit = conduit.withColumn("types", F.array("cls")).withColumn(
         "pts", F.when(F.col("xm").isNull(), F.array(point("x1", "y1"), point("x2", "y2"))).otherwise(F.array(point("x1", "y1"), point("xm", "ym"), point("x2", "y2")))
     )
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
     tree = class_tree(spark)
     return Tables(
         node=node,
         conduit=graph.written(conduit),
         class_edge=tree,
         vocabulary=vocabulary(),
-        feature=_areas(spark.sql(FEATURE.replace("FROM part", "FROM {part}"), part=parts)),
+        feature=features(spark, sf_dir),
         raster=of(RASTER),
         weir=of(WEIR),
         part=of(PART).withColumn("child_types", F.array("child_cls")),
@@ -152,6 +151,11 @@ def _build(spark: SparkSession, sf_dir: str) -> Tables:
     )
 
 
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
+    return _areas(spark.sql(FEATURE.replace("FROM part", "FROM {part}"), part=parts))
+
+
 def _areas(feature: DataFrame) -> DataFrame:
     """Features with a half width are squares around their point, the others points."""
     corner = lambda i, j: F.struct((F.col("x") + i * F.col("half")).alias("x"), (F.col("y") + j * F.col("half")).alias("y"))
@@ -159,11 +163,11 @@ def _areas(feature: DataFrame) -> DataFrame:
     return feature.withColumn("ring", F.when(F.col("half").isNotNull(), ring))
 
 
-def region(t: Tables) -> DataFrame:
+def region(feature: DataFrame) -> DataFrame:
     """A region for each role (area_id, part, ring, pts): large squares around its square features, every second with a square hole."""
     square = lambda n: F.array(*[F.struct((F.col("x") + i * n * F.col("half")).alias("x"), (F.col("y") + j * n * F.col("half")).alias("y")) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
     holed = F.substring("feature_id", 2, 12).cast("long") % 2 == 0
-    return t.feature.where("half is not null").select(F.col("role").alias("area_id"), F.col("feature_id").alias("part"), F.posexplode(F.when(holed, F.array(square(12), square(4))).otherwise(F.array(square(12)))).alias("ring", "pts"))
+    return feature.where("half is not null").select(F.col("role").alias("area_id"), F.col("feature_id").alias("part"), F.posexplode(F.when(holed, F.array(square(12), square(4))).otherwise(F.array(square(12)))).alias("ring", "pts"))
 
 
 #: The same squares for DuckDB: half widths of the outside and of the hole.

@@ -48,6 +48,17 @@ def test_covered_area(spark, polygons, square_metres):
     assert hectares(spark, polygons) * 10_000 == pytest.approx(square_metres)
 
 
+def test_slabs_grow_with_the_polygons(spark):
+    counts = []
+    for n in (30, 60):
+        tower = [[[[k % 7 * 1.3, 20 * k], [k % 7 * 1.3 + 10, 20 * k], [k % 7 * 1.3 + 10, 20 * k + 10], [k % 7 * 1.3, 20 * k + 10]]] for k in range(n)]
+        edges = regions._edges(rings(spark, tower))
+        counts.append(regions._heights(edges, *regions._boxes(edges)).count())
+        assert hectares(spark, tower) * 10_000 == pytest.approx(100 * n)
+    # Polygons above each other have no slabs in common.
+    assert counts[1] <= 2.2 * counts[0]
+
+
 def test_covered_area_of_many_against_sampling(spark):
     rng = random.Random(3)
     polygons = []
