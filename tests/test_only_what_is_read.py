@@ -17,3 +17,4 @@ def _never(*_):
 def test_queries_of_a_few_rules_run_no_others(spark):
     queries = more.queries(_never, _never, _never)
     assert queries["agg_15"](spark, FOLDER).count() == 5
+    assert queries["fnd_12"](spark, FOLDER).columns == ["component"]
