@@ -4,7 +4,8 @@ import os
 
 import pytest
 
-from pipelens.plans import more
+from pipelens.operators import build
+from pipelens.plans import export, more
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the given tables are not here")
@@ -18,3 +19,10 @@ def test_queries_of_a_few_rules_run_no_others(spark):
     queries = more.queries(_never, _never, _never)
     assert queries["agg_15"](spark, FOLDER).count() == 5
     assert queries["fnd_12"](spark, FOLDER).columns == ["component"]
+
+
+def test_queries_of_statements_build_no_nodes(spark, monkeypatch):
+    monkeypatch.setattr(export, "_read", {})
+    monkeypatch.setattr(build, "node_table", _never)
+    for name in ("mod_2", "mod_3", "mod_4", "agg_11"):
+        assert export.queries()[name](spark, FOLDER).columns, name
