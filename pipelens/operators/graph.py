@@ -7,6 +7,9 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +45,69 @@ def gathered(makers: list[Callable[[], DataFrame]], at_once: int = 4) -> DataFra
     return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*paths)
 
 
+#: Pairs that a task joins up at once, before what is left goes to rounds of joins.
+LOCAL = 250_000
+
+
+def _joining(size: int):
+    """The function of a task that gives rows (v, root) for its pairs (a, b), ``size`` at a time: each vertex with the smallest one that those pairs join it to."""
+
+    # Inner functions, as executors get these with the task and need not have the package.
+    def labelled(held):
+        rows = pa.Table.from_batches(held).combine_chunks()
+        coded = pa.chunked_array([rows["a"].chunk(0), rows["b"].chunk(0)]).combine_chunks().dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        names, codes = coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy()]
+        x, y, root = codes[: len(rows)], codes[len(rows) :], np.arange(len(order))
+        while True:
+            # The larger root of each pair hangs on the smaller one, then all climb to the top.
+            p, q = root[x], root[y]
+            apart = p != q
+            if not apart.any():
+                return pa.RecordBatch.from_arrays([names, names.take(pa.array(root))], names=["v", "root"])
+            x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+            np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+            while (root[root] != root).any():
+                root = root[root]
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= size:
+                yield labelled(held)
+                held, n = [], 0
+        if n:
+            yield labelled(held)
+
+    return run
+
+
 def components(pairs: DataFrame) -> DataFrame:
-    """(id, component) for every vertex of ``pairs`` (a, b); the component is its smallest id. Loops keep lone vertices."""
+    """(id, component) for every vertex of ``pairs`` (a, b), strings; the component is its smallest id. Loops keep lone vertices.
+
+    Pairs are dealt and sorted by ids, the shorter ones first, as neighbours mostly have ids
+    near each other, and each task joins up its own, some at a time. Only the roots of vertices
+    that were seen apart are joined in rounds, so what does not lie near each other costs those
+    rounds and nothing is lost.
+    """
+    first = F.least("a", "b")
+    ranged = pairs.select("a", "b").where("a is not null and b is not null").repartitionByRange(F.length(first), first).sortWithinPartitions(F.length(first), first)
+    near = written(ranged.select("a", "b").mapInArrow(_joining(LOCAL), "v string, root string"))
+    ids = near.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    split = cut(ids.where("lo <> hi").select("v", "lo"))
+    if split.isEmpty():
+        return written(ids.select(F.col("v").alias("id"), F.col("lo").alias("component")))
+    links = near.join(split, "v").where("root <> lo").select(F.col("root").alias("a"), F.col("lo").alias("b"))
+    top = _rounds(links).select(F.col("id").alias("lo"), "component")
+    return written(ids.join(top, "lo", "left").select(F.col("v").alias("id"), F.coalesce("component", "lo").alias("component")))
+
+
+def _rounds(pairs: DataFrame) -> DataFrame:
+    """(id, component) as ``components`` has it, by rounds in which each vertex takes the smallest label around it and then that label's own."""
     both = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
