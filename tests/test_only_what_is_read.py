@@ -26,3 +26,15 @@ def test_queries_of_statements_build_no_nodes(spark, monkeypatch):
     monkeypatch.setattr(build, "node_table", _never)
     for name in ("mod_2", "mod_3", "mod_4", "agg_11"):
         assert export.queries()[name](spark, FOLDER).columns, name
+
+
+def test_aspects_are_joined_once_and_stored_by_class(spark):
+    """Aspects of a class come from the stored table without another join; doubled statements and several values change nothing."""
+    rows = [("o", "hasAspect", "a"), ("o", "hasAspect", "a"), ("a", "type", "v#Inwinning"), ("a", "type", "w#Inwinning"), ("a", "hasValue", "x"), ("a", "hasValue", "b"), ("a", "hasReference", "v#R")]
+    rows += [("a", "hasAspect", "w"), ("w", "type", "v#WijzeVanInwinning"), ("w", "hasReference", "v#Meting"), ("w", "hasReference", "v#Zien")]
+    rows += [("a", "hasAspect", "d"), ("d", "type", "v#DatumInwinning"), ("d", "hasValue", "0"), ("d", "hasValue", "2016"), ("d", "hasValue", "2015-02-03"), ("p", "hasAspect", "n"), ("n", "type", "v#Inwinning")]
+    st = build.Statements(spark.createDataFrame(rows, "s string, p string, o string"))
+    found = st.aspects("owner", "Inwinning")
+    assert [tuple(r) for r in found.collect()] == [("o", "a", "b")]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["aspect"], r["method"], str(r["date"])) for r in build.provenance(st).collect()] == [("o", "Meting", "2015-02-03")]
