@@ -38,3 +38,13 @@ def test_aspects_are_joined_once_and_stored_by_class(spark):
     assert [tuple(r) for r in found.collect()] == [("o", "a", "b")]
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert [(r["aspect"], r["method"], str(r["date"])) for r in build.provenance(st).collect()] == [("o", "Meting", "2015-02-03")]
+
+
+def test_a_geometry_literal_is_parsed_once(spark):
+    from pyspark.sql import functions as F
+
+    from pipelens.sources import graph
+
+    frame = spark.createDataFrame([("<gml:Point><gml:pos>1 2</gml:pos></gml:Point>",)], "v string").select(graph.gml(F.col("v")).alias("g"))
+    assert frame._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1
+    assert [(p["x"], p["y"]) for p in frame.first()["g"]["pts"]] == [(1.0, 2.0)]
