@@ -2,16 +2,16 @@
 
 Points are dealt to one cell and looked for in the cells around. A segment has a level by
 the size of its box: at level k cells are 2^k times as wide as at level 0 and at least as
-wide as the box, so that it touches four cells at most whatever its length. Segments of a
-level up to FINE meet those of the same level there, and those of smaller levels, which are
-dealt to the cells of every such level above that occurs. A pair is taken only in the cell
-of the lower left corner of what the two boxes share, so that it comes out once without a
-distinct.
+wide as the box, so that it touches four cells at most whatever its length. Segments of
+levels up to FINE are all dealt to the cells of level GRID that their boxes touch, five by
+five at most, and meet there. A pair is taken only in the cell of the lower left corner of
+what the two boxes share, so that it comes out once without a distinct.
 
 Longer segments go down instead: from the cells of the largest level to those child cells
-that their strip crosses and that hold something, until cells are those of level FINE. So a
-long segment meets what lies along it and not all that lies in its box. Among themselves
-long segments go down only from cells that hold many of them.
+that their strip crosses and that hold something, until cells are those of level FINE, and
+then to those of level GRID. So a long segment meets what lies along it and not all that
+lies in its box. Among themselves long segments go down only from cells that hold many of
+them. Only ids and ends of segments are shuffled; boxes are worked out again.
 
 Cells are whole numbers held as doubles: a coordinate of any finite size has one. Points
 and segments with a coordinate that is missing or not finite are near nothing.
@@ -19,14 +19,16 @@ and segments with a coordinate that is missing or not finite are near nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pipelens.functions import geometry as g
-from pipelens.operators.graph import cut
+from pipelens.operators.graph import cut, written
 
-#: Segments of levels up to this one meet in cells of their level; longer ones go down to the cells of this level.
-FINE = 3
+#: Segments of levels up to this one meet in cells of the level GRID; longer ones go down to the cells of this level first.
+FINE, GRID = 3, 1
 #: Levels of one step down, and long segments that may share a cell without going down further.
 STEP, LEAF = 3, 256
 
@@ -45,7 +47,7 @@ def _cells(lo: Column, hi: Column, size: Column | float, *more: Column) -> Colum
 
 def point_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """(left.*, right.*, dist): points (a, ax, ay) and (b, bx, by) no further apart than ``radius``."""
-    size = max(2.5 * radius, 1e-6)
+    size = max(6 * radius, 1e-6)
     near = left.where(g.finite(F.col("ax")) & g.finite(F.col("ay"))).withColumn("cx", F.explode(_cells(F.col("ax") - radius, F.col("ax") + radius, size, F.col("ax"))))
     near = near.withColumn("cy", F.explode(_cells(F.col("ay") - radius, F.col("ay") + radius, size, F.col("ay"))))
     cells = right.where(g.finite(F.col("bx")) & g.finite(F.col("by"))).withColumn("cx", _cell(F.col("bx"), size)).withColumn("cy", _cell(F.col("by"), size))
@@ -59,12 +61,18 @@ def nearest(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return best.select("a", F.col("m.b").alias("b"), F.col("m.dist").alias("dist"))
 
 
-def line_segments(lines: DataFrame, id_column: str, reach: Column | None = None) -> DataFrame:
-    """(id, seq, x1, y1, x2, y2) of lines with a column ``pts``, and ``reach`` where it is given."""
-    more = [] if reach is None else [reach.alias("reach")]
-    return lines.select(F.col(id_column).alias("id"), *more, F.posexplode(g.segments(F.col("pts"))).alias("seq", "s")).select(
-        "id", "seq", F.col("s.p.x").alias("x1"), F.col("s.p.y").alias("y1"), F.col("s.q.x").alias("x2"), F.col("s.q.y").alias("y2"), *(["reach"] if more else [])
-    )
+def line_segments(lines: DataFrame, id_column: str, reach: Column | None = None, tips: Column | None = None) -> DataFrame:
+    """(id, seq, x1, y1, x2, y2) of lines with a column ``pts``, and ``reach`` where it is given.
+
+    With ``tips``, whether a line's ends count, also ``tip``: 1 if the segment starts the line, 2 if it ends it, 3 if both, else 0.
+    """
+    more = ([] if reach is None else [reach.alias("reach")]) + ([] if tips is None else [F.when(tips, F.size("pts")).alias("n")])
+    rows = lines.select(F.col(id_column).alias("id"), *more, F.posexplode(g.segments(F.col("pts"))).alias("seq", "s"))
+    tip = F.when(F.col("seq") == 0, 1).otherwise(0) + F.when(F.col("seq") == F.col("n") - 2, 2).otherwise(0) if tips is not None else None
+    return rows.select(
+        "id", "seq", F.col("s.p.x").alias("x1"), F.col("s.p.y").alias("y1"), F.col("s.q.x").alias("x2"), F.col("s.q.y").alias("y2"),
+        *([] if reach is None else ["reach"]), *([] if tips is None else [F.when(F.col("n").isNotNull(), tip).otherwise(0).alias("tip")]),
+    )
 
 
 def _boxed(segments: DataFrame, size: float, margin: Column) -> DataFrame:
@@ -86,6 +94,13 @@ def _levels(boxed: DataFrame) -> list[int]:
     return sorted(r["level"] for r in boxed.select("level").distinct().collect())
 
 
+def _split(boxed: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
+    """The segments of levels up to FINE, the longer ones, which are few and read in steps, and the levels of these. Boxes are written first, so that what is done with them is compiled apart."""
+    boxed = written(boxed)
+    longs = cut(boxed.where(F.col("level") > FINE))
+    return boxed.where(F.col("level") <= FINE), longs, _levels(longs)
+
+
 def _size(level: Column, size: float) -> Column:
     return F.pow(F.lit(2.0), level) * size
 
@@ -98,9 +113,12 @@ def _dealt(boxed: DataFrame, size: float) -> DataFrame:
     return boxed
 
 
-def _raised(boxed: DataFrame, levels: list[int]) -> DataFrame:
-    """The segments at each level that occurs from their own upwards."""
-    return boxed.withColumnRenamed("level", "own").withColumn("level", F.explode(F.filter(F.array(*[F.lit(k) for k in levels]), lambda k: k >= F.col("own"))))
+def _spread(boxed: DataFrame, size: float) -> DataFrame:
+    """A row for each cell (cx, cy) of level GRID that the box of a segment of level FINE at most touches."""
+    for axis in ("x", "y"):
+        first, last = (_cell(F.col(f"{end}_{axis}"), 2.0**GRID * size) for end in ("lo", "hi"))
+        boxed = boxed.withColumn("first", first).withColumn("step", F.explode(F.sequence(F.lit(0), (last - first).cast("int")))).withColumn(f"c{axis}", F.col("first") + F.col("step")).drop("first", "step")
+    return boxed
 
 
 def _apart(first: str, second: str, reach: Column) -> Column:
@@ -119,9 +137,8 @@ def _up(cell: Column, levels: int) -> Column:
     return _cell(cell, float(2**levels))
 
 
-def _crossed(size: float) -> Column:
-    """Whether the strip of a segment with its box (x1, y1, x2, y2, lo_x, ...) meets the cell (level, cx, cy): boxes overlap, and the cell is not beside the strip."""
-    wide = _size(F.col("level"), size)
+def _crossed(wide: float) -> Column:
+    """Whether the strip of a segment with its box (x1, y1, x2, y2, lo_x, ...) meets the cell (cx, cy) of that width: boxes overlap, and the cell is not beside the strip."""
     middle, half = {}, {}
     for axis in ("x", "y"):
         cell = F.col(f"c{axis}")
@@ -150,26 +167,27 @@ def _at_level(boxed: DataFrame, level: int, size: float) -> DataFrame:
     return _dealt(boxed.withColumn("level", F.lit(level)), size)
 
 
-def _down(rows: DataFrame, size: float) -> DataFrame:
-    """Rows (with level, cx, cy) in the cells STEP levels below that they cross."""
-    factor = 2**STEP
+def _down(rows: DataFrame, size: float, level: int, levels: int = STEP) -> DataFrame:
+    """Rows (with cx, cy) of the cells so many levels above ``level`` in the cells of that level that they cross."""
+    factor = 2**levels
     inner = lambda lo, hi: F.array(*[F.lit(float(k)) for k in range(lo, hi)])
     for axis in ("x", "y"):
         cell = F.col(f"c{axis}")
         steps = F.when(cell > 0, inner(0, factor)).when(cell < 0, inner(1 - factor, 1)).otherwise(inner(1 - factor, factor))
         rows = rows.withColumn("step", F.explode(steps)).withColumn(f"c{axis}", cell * factor + F.col("step")).drop("step")
-    return rows.withColumn("level", F.col("level") - STEP).where(_crossed(size))
+    return rows.withColumn("level", F.lit(level)).where(_crossed(2.0**level * size))
 
 
 def _along(longs: DataFrame, levels: list[int], occupied: DataFrame, size: float) -> DataFrame:
-    """The long segments in those cells of level FINE that they cross and that are in ``occupied`` (cx, cy)."""
+    """The long segments in those cells of level GRID that they cross and that lie in cells of level FINE in ``occupied`` (cx, cy)."""
     top, occupied = _top(levels), cut(occupied)
-    rows = _at_level(longs, top, size)
+    rows = cut(_at_level(longs, top, size))
     while top > FINE:
         top -= STEP
         there = occupied.select(*[_up(F.col(f"c{axis}"), top - FINE).alias(f"c{axis}") for axis in ("x", "y")]).distinct()
-        rows = _down(rows, size).join(there, ["cx", "cy"], "left_semi")
-    return rows
+        # Written at each step: steps that are compiled as one take far longer than all of them apart.
+        rows = cut(_down(rows, size, top).join(there, ["cx", "cy"], "left_semi"))
+    return cut(_down(rows, size, GRID, FINE - GRID))
 
 
 def _leaves(longs: DataFrame, levels: list[int], size: float) -> DataFrame:
@@ -183,79 +201,87 @@ def _leaves(longs: DataFrame, levels: list[int], size: float) -> DataFrame:
         out = done if out is None else out.unionByName(done)
         if last:
             return out
-        rows, level = cut(_down(rows.join(crowded, ["level", "cx", "cy"], "left_semi"), size)), level - STEP
+        rows, level = cut(_down(rows.join(crowded, ["level", "cx", "cy"], "left_semi"), size, level - STEP)), level - STEP
 
 
 _KEY = ("p_id", "p_seq", "q_id", "q_seq")
 
 
-def _meet() -> Column:
-    """Whether the boxes of p and q overlap."""
-    return (F.greatest("p_lo_x", "q_lo_x") <= F.least("p_hi_x", "q_hi_x")) & (F.greatest("p_lo_y", "q_lo_y") <= F.least("p_hi_y", "q_hi_y"))
+def _box(side: str, end: str, axis: str, margin: Column) -> Column:
+    """The lower ("lo") or upper ("hi") end of the box of segment p or q, as ``_boxed`` has it."""
+    of = (f"{side}_{axis}1", f"{side}_{axis}2")
+    return F.least(*of) - margin if end == "lo" else F.greatest(*of) + margin
+
 
+def _met(margins: dict[str, Column], size: float) -> tuple[Column, Column]:
+    """Whether the boxes of p and q overlap, and whether a cell (cx, cy) of level GRID holds the corner of what they share."""
+    box = lambda end, axis: [_box(side, end, axis, margins[side]) for side in "pq"]
+    corner = {axis: F.greatest(*box("lo", axis)) for axis in ("x", "y")}
+    meet = (corner["x"] <= F.least(*box("hi", "x"))) & (corner["y"] <= F.least(*box("hi", "y")))
+    once = (F.col("cx") == _cell(corner["x"], 2.0**GRID * size)) & (F.col("cy") == _cell(corner["y"], 2.0**GRID * size))
+    return meet, once
 
-def segment_pairs(segments: DataFrame, radius: float, size: float) -> DataFrame:
+
+def _side(rows: DataFrame, side: str, columns: list[str], *more: str) -> DataFrame:
+    """The columns of p or q. Boxed segments have no null coordinates, and code for columns that are never null is short enough for the compiler."""
+    known = lambda c: F.coalesce(c, F.lit(0 if c == "tip" else 0.0)) if c in ("x1", "y1", "x2", "y2", "tip") else F.col(c)
+    return rows.select(*more, *[known(c).alias(f"{side}_{c}") for c in columns])
+
+
+def segment_pairs(segments: DataFrame, radius: float, size: float, useless: Callable[[list, list], Column] | None = None) -> DataFrame:
     """Pairs of segments of different lines (a.id < b.id) that may lie within ``radius`` of each other, each pair once.
 
-    With a column ``reach`` two segments may lie within the sum of theirs and ``radius``.
+    With a column ``reach`` two segments may lie within the sum of theirs and ``radius``; a column ``tip`` is kept.
+    ``useless`` tells of two segments (x1, y1, x2, y2, tip), in either order, whether their pair is not asked for.
     """
-    own = F.col("reach") if "reach" in segments.columns else F.lit(0.0)
-    boxed = cut(_boxed(segments, size, own + radius / 2 + 1e-9))
-    levels = _levels(boxed) or [0]
-    kept = [*[c for c in (*_COLUMNS, "reach") if c in boxed.columns], "lo_x", "lo_y", "hi_x", "hi_y"]
-    side = lambda df, p, *more: df.select("level", "cx", "cy", *[F.col(c).alias(f"{p}_{c}") for c in (*kept, *more)])
-    both = F.lit(radius) + ((F.col("p_reach") + F.col("q_reach")) if "reach" in kept else F.lit(0.0))
+    columns = [*_COLUMNS, *[c for c in ("reach", "tip") if c in segments.columns]]
+    own = lambda c: (F.col(c) if "reach" in columns else F.lit(0.0)) + radius / 2 + 1e-9
+    both = F.lit(radius) + ((F.col("p_reach") + F.col("q_reach")) if "reach" in columns else F.lit(0.0))
+    meet, once = _met({side: own(f"{side}_reach") for side in "pq"}, size)
     near = ~_apart("p", "q", both) & ~_apart("q", "p", both)
-    fine = [k for k in levels if k <= FINE]
-    small, longs = boxed.where(F.col("level") <= FINE), boxed.where(F.col("level") > FINE)
-    p, q = side(_dealt(small, size), "p"), side(_dealt(_raised(small, fine or [0]), size), "q", "own")
-    corner = [F.greatest(F.col(f"p_lo_{axis}"), F.col(f"q_lo_{axis}")) for axis in ("x", "y")]
-    once = (F.col("cx") == _cell(corner[0], _size(F.col("level"), size))) & (F.col("cy") == _cell(corner[1], _size(F.col("level"), size)))
-    # Of two segments of one level each meets the other; of different levels the larger one meets the smaller.
-    order = (F.col("q_own") < F.col("level")) & (F.col("p_id") != F.col("q_id")) | (F.col("q_own") == F.col("level")) & (F.col("p_id") < F.col("q_id"))
-    found = p.join(q, ["level", "cx", "cy"]).where(order & once & _meet()).drop("q_own")
-    if max(levels) > FINE:
-        placed = _at_level(small, FINE, size)
-        strips = _along(longs, levels, placed.select("cx", "cy").distinct(), size)
-        leaves = cut(_leaves(longs, levels, size))
-        mixed = side(strips, "p").join(side(placed, "q"), ["level", "cx", "cy"]).where((F.col("p_id") != F.col("q_id")) & _meet() & near)
-        alike = side(leaves, "p").join(side(leaves, "q"), ["level", "cx", "cy"]).where((F.col("p_id") < F.col("q_id")) & _meet() & near)
-        found = found.unionByName(mixed.dropDuplicates(_KEY)).unionByName(alike.dropDuplicates(_KEY))
-    first = F.col("p_id") < F.col("q_id")
-    columns = [c for c in kept if c in (*_COLUMNS, "reach")]
+    if useless is not None:
+        meet = meet & ~useless(*[[F.col(f"{side}_{c}") for c in (*_COLUMNS[2:], "tip")] for side in "pq"])
+    small, longs, levels = _split(_boxed(segments, size, own("reach")))
+    cells = _spread(small, size).select("cx", "cy", *columns)
+    p, q = _side(cells, "p", columns, "cx", "cy"), _side(cells, "q", columns, "cx", "cy")
+    ordered = F.col("p_id") < F.col("q_id")
+    written_columns = [f"{side}_{c}" for side in "pq" for c in columns if c in (*_COLUMNS, "reach")]
     # Written, so that exact tests are compiled apart from the join.
-    return cut(found.select(
-        *[F.when(first, F.col(f"p_{c}")).otherwise(F.col(f"q_{c}")).alias(f"a_{c}") for c in columns], *[F.when(first, F.col(f"q_{c}")).otherwise(F.col(f"p_{c}")).alias(f"b_{c}") for c in columns]
-    ))
+    found = written(p.join(q, ["cx", "cy"]).where(ordered & once & meet).select(*written_columns))
+    if levels:
+        strips = _side(_along(longs, levels, _at_level(small, FINE, size).select("cx", "cy").distinct(), size), "p", columns, "cx", "cy")
+        leaves = cut(_leaves(longs, levels, size))
+        mixed = strips.join(q, ["cx", "cy"]).where((F.col("p_id") != F.col("q_id")) & meet & near)
+        alike = _side(leaves, "p", columns, "level", "cx", "cy").join(_side(leaves, "q", columns, "level", "cx", "cy"), ["level", "cx", "cy"]).where(ordered & meet & near)
+        found = found.unionByName(cut(mixed.select(*written_columns).unionByName(alike.select(*written_columns)).dropDuplicates(_KEY)))
+    kept = [c for c in columns if c != "tip"]
+    return found.select(*[F.when(ordered, F.col(f"{own}_{c}")).otherwise(F.col(f"{other}_{c}")).alias(f"{side}_{c}") for side, own, other in (("a", "p", "q"), ("b", "q", "p")) for c in kept])
 
 
 def cross_pairs(lines: DataFrame, edges: DataFrame, radius: float, size: float) -> DataFrame:
     """Pairs of a segment of ``lines`` (a) and one of ``edges`` (b) that may lie within ``radius`` of each other, each pair once."""
-    left, right = (cut(_boxed(df, size, F.lit(radius / 2 + 1e-9))) for df in (lines, edges))
-    levels = sorted({*_levels(left), *_levels(right)}) or [0]
-    fine = [k for k in levels if k <= FINE] or [0]
-    kept = (*_COLUMNS, "lo_x", "lo_y", "hi_x", "hi_y")
-    side = lambda df, p, *more: df.select("level", "cx", "cy", *[F.col(c).alias(f"{p}_{c}") for c in (*kept, *more)])
-    corner = [F.greatest(F.col(f"p_lo_{axis}"), F.col(f"q_lo_{axis}")) for axis in ("x", "y")]
-    once = (F.col("cx") == _cell(corner[0], _size(F.col("level"), size))) & (F.col("cy") == _cell(corner[1], _size(F.col("level"), size)))
-    near = _meet() & ~_apart("p", "q", F.lit(radius)) & ~_apart("q", "p", F.lit(radius))
-    named = lambda rows, a, b: rows.select(*[F.col(f"{a}_{c}").alias(f"a_{c}") for c in _COLUMNS], *[F.col(f"{b}_{c}").alias(f"b_{c}") for c in _COLUMNS])
-    found = None
-    for first, second, own in ((left, right, F.col("q_own") <= F.col("level")), (right, left, F.col("q_own") < F.col("level"))):
-        of = ("p", "q") if first is left else ("q", "p")
-        small = second.where(F.col("level") <= FINE)
-        p, q = side(_dealt(first.where(F.col("level") <= FINE), size), "p"), side(_dealt(_raised(small, fine), size), "q", "own")
-        rows = named(p.join(q, ["level", "cx", "cy"]).where(own & once & _meet()), *of)
-        if max(levels) > FINE:
-            placed = _at_level(small, FINE, size)
-            strips = _along(first.where(F.col("level") > FINE), levels, placed.select("cx", "cy").distinct(), size)
-            rows = rows.unionByName(named(side(strips, "p").join(side(placed, "q"), ["level", "cx", "cy"]).where(near).dropDuplicates(_KEY), *of))
-        found = rows if found is None else found.unionByName(rows)
-    if max(levels) > FINE:
-        longs = left.where(F.col("level") > FINE).withColumn("left", F.lit(True)).unionByName(right.where(F.col("level") > FINE).withColumn("left", F.lit(False)))
-        leaves = cut(_leaves(longs, levels, size))
-        found = found.unionByName(named(side(leaves.where("left"), "p").join(side(leaves.where("not left"), "q"), ["level", "cx", "cy"]).where(near).dropDuplicates(_KEY), "p", "q"))
-    return cut(found)
+    margin, columns = F.lit(radius / 2 + 1e-9), list(_COLUMNS)
+    meet, once = _met({"p": margin, "q": margin}, size)
+    near = meet & ~_apart("p", "q", F.lit(radius)) & ~_apart("q", "p", F.lit(radius))
+    parts = {side: _split(_boxed(df, size, margin)) for side, df in (("p", lines), ("q", edges))}
+    cells = {side: _side(_spread(small, size), side, columns, "cx", "cy") for side, (small, _, _) in parts.items()}
+    found = cells["p"].join(cells["q"], ["cx", "cy"]).where(once & meet).drop("cx", "cy")
+    more = []
+    for side, other in (("p", "q"), ("q", "p")):
+        _, longs, levels = parts[side]
+        if levels:
+            strips = _along(longs, levels, _at_level(parts[other][0], FINE, size).select("cx", "cy").distinct(), size)
+            more.append(_side(strips, side, columns, "cx", "cy").join(cells[other], ["cx", "cy"]).where(near))
+    levels = sorted({*parts["p"][2], *parts["q"][2]})
+    if parts["p"][2] and parts["q"][2]:
+        both = parts["p"][1].withColumn("left", F.lit(True)).unionByName(parts["q"][1].withColumn("left", F.lit(False)))
+        leaves = cut(_leaves(both, levels, size))
+        more.append(_side(leaves.where("left"), "p", columns, "level", "cx", "cy").join(_side(leaves.where("not left"), "q", columns, "level", "cx", "cy"), ["level", "cx", "cy"]).where(near))
+    found = written(found)
+    names = [f"{side}_{c}" for side in "pq" for c in columns]
+    for rows in more:
+        found = found.unionByName(cut(rows.select(*names).dropDuplicates(_KEY)))
+    return found.select(*[F.col(f"{of}_{c}").alias(f"{side}_{c}") for side, of in (("a", "p"), ("b", "q")) for c in columns])
 
 
 def in_areas(points: DataFrame, areas: DataFrame, size: float) -> DataFrame:
@@ -274,19 +300,18 @@ def in_areas(points: DataFrame, areas: DataFrame, size: float) -> DataFrame:
 
 def point_segment_pairs(points: DataFrame, segments: DataFrame, radius: float, size: float) -> DataFrame:
     """(a, id, dist): points (a, ax, ay) and lines within ``radius``, with the least distance."""
-    boxed = cut(_boxed(segments, size, F.lit(radius)))
-    levels = _levels(boxed) or [0]
+    small, longs, levels = _split(_boxed(segments, size, F.lit(radius)))
     placed = points.where(g.finite(F.col("ax")) & g.finite(F.col("ay"))).select("a", "ax", "ay")
     dist = g.point_segment(F.col("ax"), F.col("ay"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    inside = F.col("ax").between(F.col("lo_x"), F.col("hi_x")) & F.col("ay").between(F.col("lo_y"), F.col("hi_y"))
-    cells = lambda rows, wide: rows.withColumn("cx", _cell(F.col("ax"), wide)).withColumn("cy", _cell(F.col("ay"), wide))
-    fine = [k for k in levels if k <= FINE] or [0]
-    near = cells(placed.withColumn("level", F.explode(F.array(*[F.lit(k) for k in fine]))), _size(F.col("level"), size))
-    found = near.join(_dealt(boxed.where(F.col("level") <= FINE), size), ["level", "cx", "cy"]).where(inside).select("a", "id", dist.alias("dist"))
-    if max(levels) > FINE:
-        there = cells(placed, 2.0**FINE * size)
-        strips = _along(boxed.where(F.col("level") > FINE), levels, there.select("cx", "cy").distinct(), size)
-        found = found.unionByName(there.join(strips, ["cx", "cy"]).where(inside).select("a", "id", dist.alias("dist")))
+    inside = F.lit(True)
+    for axis in ("x", "y"):
+        inside = inside & F.col(f"a{axis}").between(F.least(f"{axis}1", f"{axis}2") - radius, F.greatest(f"{axis}1", f"{axis}2") + radius)
+    cells = lambda level: [_cell(F.col(f"a{axis}"), 2.0**level * size).alias(f"c{axis}") for axis in ("x", "y")]
+    columns = ["cx", "cy", "id", "x1", "y1", "x2", "y2"]
+    rows = _spread(small, size).select(*columns)
+    if levels:
+        rows = rows.unionByName(_along(longs, levels, placed.select(*cells(FINE)).distinct(), size).select(*columns))
+    found = placed.select("*", *cells(GRID)).join(rows, ["cx", "cy"]).where(inside).select("a", "id", dist.alias("dist"))
     return found.where(F.col("dist") <= radius).groupBy("a", "id").agg(F.min("dist").alias("dist"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from pipelens import config
 from pipelens.findings import rule
 from pipelens.functions import geometry as g
 from pipelens.operators import spatial
+from pipelens.operators.graph import written
 
 CELL = 32.0
 
@@ -28,11 +32,21 @@ def _snapped(t, ends: DataFrame) -> DataFrame:
     return spatial.nearest(left, _as_b(_points(t)), t.cfg.snap)
 
 
+def _hit(t) -> DataFrame:
+    """(node_id): the nodes nearest to a line end within the snap tolerance; ends of one place are looked up once."""
+
+    def make():
+        spots = t.ends.select(F.col("px").alias("ax"), F.col("py").alias("ay")).distinct()
+        best = spatial.point_pairs(spots, _as_b(_points(t)), t.cfg.snap).groupBy("ax", "ay").agg(F.min(F.struct("dist", "b")).alias("m"))
+        return written(best.select(F.col("m.b").alias("node_id")).distinct())
+
+    return t.once(("hit", t.cfg.snap), make)
+
+
 @rule("TOP-001", "F", "topology")
 def node_without_line_end(t):
     """Nodes that are the nearest node of no line end."""
-    hit = _snapped(t, t.ends).select(F.col("b").alias("node_id")).distinct()
-    return _points(t).join(hit, "node_id", "left_anti").select(F.col("node_id").alias("object_id"))
+    return _points(t).join(_hit(t), "node_id", "left_anti").select(F.col("node_id").alias("object_id"))
 
 
 def _loose(t, n):
@@ -75,7 +89,7 @@ def overlapping_lines(t):
     tol = t.cfg.overlap_tolerance
     pairs = spatial.segment_pairs(spatial.line_segments(t.conduit, "conduit_id"), tol, CELL)
     near = pairs.select("*", interval(spatial.segment_columns("a"), spatial.segment_columns("b"), tol).alias("i"))
-    near = near.select("a_id", "b_id", "a_seq", "i.lo", "i.hi", _nearness()).where("hi > lo")
+    near = near.select("a_id", "b_id", "a_seq", "i.lo", "i.hi", _nearness()).where("hi > lo").repartition("a_id", "b_id")
     order = Window.partitionBy("a_id", "b_id", "a_seq").orderBy("lo", "hi")
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     piece = F.greatest(F.lit(0.0), F.col("hi") - F.greatest("lo", F.coalesce(reach, F.col("lo"))))
@@ -202,7 +216,7 @@ def conflicting_conduits(t):
     """Lines closer than their radii allow that share no node and meet at no end."""
     half = F.coalesce(F.greatest(F.coalesce("width_mm", F.lit(0.0)), F.coalesce("height_mm", F.lit(0.0))), F.lit(0.0)) / 2000
     sized = t.conduit.select("conduit_id", "start_id", "end_id", "pts", half.alias("r"))
-    near = spatial.segment_pairs(spatial.line_segments(sized, "conduit_id", F.col("r")), t.cfg.conflict_margin, CELL)
+    near = spatial.segment_pairs(spatial.line_segments(sized, "conduit_id", F.col("r"), F.lit(True)), t.cfg.conflict_margin, CELL, lambda p, q: _tips_meet(p, q, t.cfg.snap))
     limit = F.col("a_reach") + F.col("b_reach") + t.cfg.conflict_margin
     close = near.select("a_id", "b_id", _nearness(), limit.alias("limit")).where("nearness.d <= limit").groupBy("a_id", "b_id").agg(F.min("nearness").alias("nearest")).withColumn("value", F.col("nearest.d"))
     side = lambda p: sized.select(F.col("conduit_id").alias(f"{p}_id"), F.array("start_id", "end_id").alias(f"{p}_nodes"), F.col("r").alias(f"{p}_r"), F.array(F.element_at("pts", 1), F.element_at("pts", -1)).alias(f"{p}_ends"))
@@ -218,7 +232,8 @@ def crossing_lines(t):
 
     The two ends of an open line are not inside it; a closed line has no ends. The place is the meeting point of the smallest x, then y.
     """
-    pairs = spatial.segment_pairs(spatial.line_segments(t.conduit, "conduit_id"), 0.0, CELL)
+    opened = F.element_at("pts", 1) != F.element_at("pts", -1)
+    pairs = spatial.segment_pairs(spatial.line_segments(t.conduit, "conduit_id", tips=opened), 0.0, CELL, _only_tips_touch)
     a, b = spatial.segment_columns("a"), spatial.segment_columns("b")
     same = g.overlap(a, b)
     touch = F.filter(F.array(*[_touch(p, own, other) for own, other in ((a, b), (b, a)) for p in (own[:2], own[2:])]), lambda p: p.isNotNull())
@@ -234,6 +249,24 @@ def crossing_lines(t):
     return found.select(F.col("a_id").alias("object_id"), F.col("b_id").alias("object2_id"), "p.x", "p.y")
 
 
+def _tips(p: list, q: list):
+    """Pairs of ends of two segments (x1, y1, x2, y2, tip): whether both end their lines, and the two ends."""
+    ends = lambda s: [(s[4].bitwiseAND(1) != 0, s[:2]), (s[4].bitwiseAND(2) != 0, s[2:4])]
+    return [(mine & yours, a, b) for mine, a in ends(p) for yours, b in ends(q)]
+
+
+def _tips_meet(p: list, q: list, snap: float):
+    """Whether ends of the two lines meet."""
+    return reduce(or_, [both & (g.distance(*a, *b) <= snap) for both, a, b in _tips(p, q)])
+
+
+def _only_tips_touch(p: list, q: list):
+    """Whether two segments have an end of both their lines in common and surely nothing else, as neither lies on the line through the other."""
+    shared = reduce(or_, [both & (a[0] == b[0]) & (a[1] == b[1]) for both, a, b in _tips(p, q)])
+    off = lambda s, o: (g.cross(*s[:4], *o[:2]) != 0) | (g.cross(*s[:4], *o[2:4]) != 0)
+    return shared & off(p, q) & off(q, p)
+
+
 def _touch(p, own, other):
     """The end ``p`` of the segment ``own`` where it lies on the segment ``other``, else null."""
     on = (g.cross(*other, *p) == 0) & p[0].between(F.least(other[0], other[2]), F.greatest(other[0], other[2])) & p[1].between(F.least(other[1], other[3]), F.greatest(other[1], other[3]))
@@ -310,8 +343,7 @@ def drawn_backwards(t):
 @rule("TOP-021", "W", "topology")
 def node_on_passing_line(t):
     """Nodes that no line end meets, close to a line whose ends are further than the line; the nearest line."""
-    hit = _snapped(t, t.ends).select(F.col("b").alias("node_id")).distinct()
-    left = _points(t).join(hit, "node_id", "left_anti").select(F.col("node_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    left = written(_points(t).join(_hit(t), "node_id", "left_anti").select(F.col("node_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")))
     near = spatial.point_segment_pairs(left, spatial.line_segments(t.conduit, "conduit_id"), t.cfg.near_line, CELL)
     ends = t.conduit.select(F.col("conduit_id").alias("id"), F.element_at("pts", 1).alias("p"), F.element_at("pts", -1).alias("q"))
     away = F.least(g.distance(F.col("ax"), F.col("ay"), F.col("p.x"), F.col("p.y")), g.distance(F.col("ax"), F.col("ay"), F.col("q.x"), F.col("q.y")))
