@@ -262,7 +262,37 @@ def type_names(t: Tables) -> DataFrame:
 
 
 def parent_chain(objects: DataFrame, parents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(object_id, link_id): all objects on the way from an object up to the first of ``wanted`` (id), both ends included."""
+    """(object_id, link_id): all objects on the way from an object up to the first of ``wanted`` (id), both ends included.
+
+    Where each object has one parent, ways are arrays: those of objects that are parents double
+    in a round, and the others, mostly the many, take their parent's at the end.
+    """
+    goal = wanted.select(F.col("id").alias("at")).where("at is not null").distinct()
+    pairs = parents.where("child_id <> parent_id").groupBy(F.col("child_id").alias("at")).agg(F.min("parent_id").alias("above"), F.max("parent_id").alias("other"))
+    pairs = graph.written(pairs.join(goal, "at", "left_anti"))
+    if not pairs.where("above <> other").isEmpty():
+        return _ways_of_several(objects, parents, wanted)
+    ups = pairs.select("at", "above")
+    ended = goal.select(F.col("at").alias("above"), F.lit(True).alias("ended"))
+    first = ups.join(ups.select(F.col("above").alias("at")).distinct(), "at", "left_semi").join(ended, "above", "left")
+    known = graph.written(first.select("at", F.array("above").alias("way"), F.coalesce("ended", F.lit(False)).alias("ended")))
+    while True:
+        going = known.where("not ended").withColumn("last", F.element_at("way", -1))
+        # A way whose last object has none ends below no goal, one that meets an object twice goes round: neither is followed.
+        step = going.join(known.select(F.col("at").alias("last"), F.col("way").alias("more"), F.col("ended").alias("done")), "last")
+        step = step.select("at", F.concat("way", "more").alias("way"), F.col("done").alias("ended")).where(F.size(F.array_distinct("way")) == F.size("way"))
+        if going.isEmpty():
+            break
+        known = graph.written(known.where("ended").unionByName(step))
+    own = objects.select(F.col("object_id").alias("at")).distinct()
+    top = goal.select(F.col("at").alias("above"), F.array().cast("array<string>").alias("way"))
+    ways = known.select(F.col("at").alias("above"), "way").unionByName(top)
+    found = ups.join(own, "at", "left_semi").join(ways, "above").select(F.col("at").alias("object_id"), F.explode(F.concat(F.array("at", "above"), "way")).alias("link_id"))
+    return found.unionByName(own.join(goal, "at", "left_semi").select(F.col("at").alias("object_id"), F.col("at").alias("link_id")))
+
+
+def _ways_of_several(objects: DataFrame, parents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``parent_chain`` where objects have several parents: each way up is followed."""
     goal = wanted.select(F.col("id").alias("at")).distinct()
     ups = parents.where("child_id <> parent_id").select(F.col("child_id").alias("at"), F.col("parent_id").alias("above")).distinct().join(goal, "at", "left_anti")
     way = hierarchy.closure(ups.select(F.col("above").alias("parent"), F.col("at").alias("child"))).where("root <> cls")
