@@ -120,12 +120,82 @@ def _rounds(pairs: DataFrame) -> DataFrame:
         labels = nxt.select("id", "component")
 
 
-def reaching(edges: DataFrame, goals: DataFrame) -> DataFrame:
+#: Edges of a component up to which a task takes it whole; larger components go to rounds of joins.
+WHOLE = 100_000
+
+
+def _reached(size: int):
+    """The function of a task that gives (id) of what reaches a goal, for edges (a, b, component) and goals (a, null, component) sorted by component. It takes whole components, about ``size`` rows at a time."""
+
+    # Inner functions, as executors get these with the task and need not have the package.
+    def found(rows):
+        edge = rows["b"].is_valid()
+        edges, goals = rows.filter(edge), rows.filter(pc.invert(edge))["a"]
+        coded = pa.chunked_array([*edges["a"].chunks, *edges["b"].chunks, *goals.chunks], type=rows.schema.field("a").type).combine_chunks()
+        coded = coded.dictionary_encode()
+        names, codes = coded.dictionary, coded.indices.to_numpy()
+        x, y, front = codes[: len(edges)], codes[len(edges) : 2 * len(edges)], np.unique(codes[2 * len(edges) :])
+        order = np.argsort(y, kind="stable")
+        x, first = x[order], np.searchsorted(y[order], np.arange(len(names) + 1))
+        seen, goal = np.zeros(len(names), dtype=bool), front
+        seen[front] = True
+        while len(front):
+            # All edges that end on the front: where each vertex's begin, then one after the other.
+            n = first[front + 1] - first[front]
+            back = x[np.repeat(first[front] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            front = np.unique(back[~seen[back]])
+            seen[front] = True
+        seen[goal] = False
+        return pa.RecordBatch.from_arrays([names.take(pa.array(np.flatnonzero(seen)))], names=["id"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= size:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                start = pc.index(rows["component"], rows["component"][-1]).as_py()
+                if start:
+                    yield found(rows.slice(0, start))
+                held = rows.slice(start).to_batches()
+                n = sum(b.num_rows for b in held)
+        if n:
+            yield found(pa.Table.from_batches(held))
+
+    return run
+
+
+def reaching(edges: DataFrame, goals: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """(id): all vertices from which a goal (id) can be reached along ``edges`` (a, b), goals included.
 
-    Each round follows a set of jumps. A vertex with one way out jumps on to where that way's
-    own jump goes, so chains are crossed in a number of rounds that grows with the logarithm
-    of their length; only vertices that a goal has just been found from are joined.
+    With ``parts`` (id, component), the undirected components of all edges, a task works out
+    whole components, as nothing is reached from one in another; only those of more than WHOLE
+    edges cost rounds of joins.
+    """
+    if parts is None:
+        return _jumping(edges, goals)
+    placed = written(edges.select("a", "b").where("a <> b").join(parts.select(F.col("id").alias("a"), "component"), "a"))
+    goals = goals.select("id").distinct()
+    own = goals.join(parts, "id").select(F.col("id").alias("a"), F.lit(None).cast(placed.schema["b"].dataType).alias("b"), "component")
+    large = cut(placed.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > WHOLE).select("component"))
+    alone = large.isEmpty()
+    in_large = lambda rows, how: rows.join(F.broadcast(large), "component", how)
+    rows = placed.select("a", "b", "component").unionByName(own)
+    dealt = (rows if alone else in_large(rows, "left_anti")).select("a", "b", "component").repartition("component").sortWithinPartitions("component")
+    near = dealt.mapInArrow(_reached(WHOLE), f"id {placed.schema['a'].dataType.simpleString()}")
+    if not alone:
+        far = _jumping(in_large(placed, "left_semi"), in_large(own, "left_semi").select(F.col("a").alias("id")))
+        near = near.unionByName(far.join(goals, "id", "left_anti"))
+    return written(goals.unionByName(near))
+
+
+def _jumping(edges: DataFrame, goals: DataFrame) -> DataFrame:
+    """What reaches a goal, by rounds that each follow a set of jumps.
+
+    A vertex with one way out jumps on to where that way's own jump goes, so chains are
+    crossed in a number of rounds that grows with the logarithm of their length; only
+    vertices that a goal has just been found from are joined.
     """
     edges = cut(edges.select("a", "b").where("a <> b").distinct())
     goals = cut(goals.select("id").distinct())

@@ -30,7 +30,7 @@ def strong_components(t) -> DataFrame:
 def reach(t, goals) -> DataFrame:
     """(id): nodes from which a node of the classes ``goals`` can be reached."""
     ends = t.node.where(t.is_a(*goals)).select(F.col("node_id").alias("id"))
-    return t.once(("reach", *goals), lambda: graph.reaching(edges(t).select("a", "b"), ends))
+    return t.once(("reach", *goals), lambda: graph.reaching(edges(t).select("a", "b"), ends, components(t).withColumnRenamed("node_id", "id")))
 
 
 def _unreached(t, roots, goals):
