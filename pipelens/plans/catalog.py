@@ -16,8 +16,13 @@ from pipelens.plans.oracles import COMMON, GRAPH
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Rules that pass over the conduits or the nodes once, with few of their columns: run alone they need no written network.
+ONE_PASS = {"ATTR-001", "ATTR-002", "ATTR-003", "ATTR-004", "ATTR-005", "ATTR-008", "ATTR-012", "HGT-005", "HGT-006", "HGT-007", "HGT-008", "HGT-012", "HGT-017", "NET-003", "RVZ-007"}
+
+
 def _rule(rule_id: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.run(rule_id, projection.tables(spark, sf_dir))
+    read = projection.views if rule_id in ONE_PASS else projection.tables
+    return findings.run(rule_id, read(spark, sf_dir))
 
 
 def _on(f: Callable, spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ come from the key by arithmetic.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -128,10 +129,16 @@ def tables(spark: SparkSession, sf_dir: str, cfg: config.Config | None = None) -
     return _read[key] if cfg is None else replace(_read[key], cfg=cfg, memo={})
 
 
-def _build(spark: SparkSession, sf_dir: str) -> Tables:
+def views(spark: SparkSession, sf_dir: str) -> Tables:
+    """The network as ``tables`` gives it, but not written where it has not been yet: for a query that passes over it once and asks for few columns and rows."""
+    built = (spark.sparkContext.applicationId, sf_dir) in _read
+    return tables(spark, sf_dir) if built else _build(spark, sf_dir, lambda df: df)
+
+
+def _build(spark: SparkSession, sf_dir: str, keep: Callable[[DataFrame], DataFrame] = graph.written) -> Tables:
     source = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderdate")
     of = lambda sql: spark.sql(sql.replace("FROM orders", "FROM {orders}"), orders=source)
-    node = graph.written(of(NODE).withColumn("types", F.array("cls")))
+    node = keep(of(NODE).withColumn("types", F.array("cls")))
     point = lambda a, b: F.struct(F.col(a).alias("x"), F.col(b).alias("y"))
     conduit = spark.sql(CONDUIT.replace("FROM orders", "FROM {orders}").replace("JOIN node", "JOIN {node}"), orders=source, node=node)
     conduit = conduit.withColumn("types", F.array("cls")).withColumn(
@@ -140,7 +147,7 @@ def _build(spark: SparkSession, sf_dir: str) -> Tables:
     tree = class_tree(spark)
     return Tables(
         node=node,
-        conduit=graph.written(conduit),
+        conduit=keep(conduit),
         class_edge=tree,
         vocabulary=vocabulary(),
         feature=features(spark, sf_dir),

@@ -48,3 +48,19 @@ def test_a_geometry_literal_is_parsed_once(spark):
     frame = spark.createDataFrame([("<gml:Point><gml:pos>1 2</gml:pos></gml:Point>",)], "v string").select(graph.gml(F.col("v")).alias("g"))
     assert frame._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1
     assert [(p["x"], p["y"]) for p in frame.first()["g"]["pts"]] == [(1.0, 2.0)]
+
+
+def test_rules_of_one_pass_write_no_network(spark, monkeypatch):
+    from pipelens import findings
+    from pipelens.operators import graph
+    from pipelens.plans import catalog, projection
+
+    built, found = projection.tables(spark, FOLDER), catalog.queries()
+    rows = lambda df: sorted(map(repr, df.collect()))
+    whole = {r: rows(findings.run(r, built)) for r in catalog.ONE_PASS}
+    assert whole["ATTR-008"] and whole["NET-003"]
+    monkeypatch.setattr(projection, "_read", {})
+    monkeypatch.setattr(graph, "written", _never)
+    for rule_id, expected in whole.items():
+        assert rows(found[rule_id.lower().replace("-", "_")](spark, FOLDER)) == expected, rule_id
+    assert not projection._read
