@@ -124,10 +124,31 @@ def _rounds(pairs: DataFrame) -> DataFrame:
 WHOLE = 100_000
 
 
+def _by_component(size: int, found: Callable):
+    """The function of a task that gives what ``found`` gives for rows of whole components, about ``size`` at a time; its rows are sorted by component."""
+
+    # An inner function, as executors get it with the task and need not have the package.
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= size:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                start = pc.index(rows["component"], rows["component"][-1]).as_py()
+                if start:
+                    yield found(rows.slice(0, start))
+                held = rows.slice(start).to_batches()
+                n = sum(b.num_rows for b in held)
+        if n:
+            yield found(pa.Table.from_batches(held))
+
+    return run
+
+
 def _reached(size: int):
-    """The function of a task that gives (id) of what reaches a goal, for edges (a, b, component) and goals (a, null, component) sorted by component. It takes whole components, about ``size`` rows at a time."""
+    """The function of a task that gives (id) of what reaches a goal, for edges (a, b, component) and goals (a, null, component) sorted by component."""
 
-    # Inner functions, as executors get these with the task and need not have the package.
     def found(rows):
         edge = rows["b"].is_valid()
         edges, goals = rows.filter(edge), rows.filter(pc.invert(edge))["a"]
@@ -148,22 +169,62 @@ def _reached(size: int):
         seen[goal] = False
         return pa.RecordBatch.from_arrays([names.take(pa.array(np.flatnonzero(seen)))], names=["id"])
 
-    def run(batches):
-        held, n = [], 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= size:
-                rows = pa.Table.from_batches(held).combine_chunks()
-                start = pc.index(rows["component"], rows["component"][-1]).as_py()
-                if start:
-                    yield found(rows.slice(0, start))
-                held = rows.slice(start).to_batches()
-                n = sum(b.num_rows for b in held)
-        if n:
-            yield found(pa.Table.from_batches(held))
+    return _by_component(size, found)
 
-    return run
+
+def _strong(size: int):
+    """The function of a task that gives (id, component) of the vertices on cycles, for edges (a, b, component) sorted by component: Tarjan's, without recursion."""
+
+    def found(rows):
+        coded = pa.chunked_array([*rows["a"].chunks, *rows["b"].chunks], type=rows.schema.field("a").type).combine_chunks().dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        names, codes = coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy()]
+        x, y = codes[: len(rows)], codes[len(rows) :]
+        by = np.argsort(x, kind="stable")
+        to, first = y[by].tolist(), np.searchsorted(x[by], np.arange(len(names) + 1)).tolist()
+        at, number, low, root, place, open_, count = first[:], [0] * len(names), [0] * len(names), [-1] * len(names), [0] * len(names), [], 0
+        for start in range(len(names)):
+            path = [] if number[start] else [start]
+            while path:
+                v = path[-1]
+                if not number[v]:
+                    count += 1
+                    number[v] = low[v] = count
+                    place[v] = len(open_)
+                    open_.append(v)
+                if at[v] < first[v + 1]:
+                    w = to[at[v]]
+                    at[v] += 1
+                    if not number[w]:
+                        path.append(w)
+                    elif root[w] < 0:
+                        low[v] = min(low[v], number[w])
+                    continue
+                path.pop()
+                if path:
+                    low[path[-1]] = min(low[path[-1]], low[v])
+                if low[v] == number[v]:
+                    whole = open_[place[v] :]
+                    del open_[place[v] :]
+                    least = min(whole)
+                    for w in whole:
+                        root[w] = least
+        root = np.array(root, dtype=np.int64)
+        cyclic = np.bincount(root, minlength=len(names))[root] > 1
+        cyclic[x[x == y]] = True
+        ids = np.flatnonzero(cyclic)
+        return pa.RecordBatch.from_arrays([names.take(pa.array(ids)), names.take(pa.array(root[ids]))], names=["id", "component"])
+
+    return _by_component(size, found)
+
+
+def _in_components(edges: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Edges (a, b) with their ``component`` of ``parts`` (id, component), the components of more than WHOLE edges, and whether there are none."""
+    placed = written(edges.select("a", "b").join(parts.select(F.col("id").alias("a"), "component"), "a").select("a", "b", "component"))
+    large = cut(placed.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > WHOLE).select("component"))
+    return placed, large, large.isEmpty()
 
 
 def reaching(edges: DataFrame, goals: DataFrame, parts: DataFrame | None = None) -> DataFrame:
@@ -175,13 +236,11 @@ def reaching(edges: DataFrame, goals: DataFrame, parts: DataFrame | None = None)
     """
     if parts is None:
         return _jumping(edges, goals)
-    placed = written(edges.select("a", "b").where("a <> b").join(parts.select(F.col("id").alias("a"), "component"), "a"))
+    placed, large, alone = _in_components(edges.where("a <> b"), parts)
     goals = goals.select("id").distinct()
     own = goals.join(parts, "id").select(F.col("id").alias("a"), F.lit(None).cast(placed.schema["b"].dataType).alias("b"), "component")
-    large = cut(placed.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > WHOLE).select("component"))
-    alone = large.isEmpty()
     in_large = lambda rows, how: rows.join(F.broadcast(large), "component", how)
-    rows = placed.select("a", "b", "component").unionByName(own)
+    rows = placed.unionByName(own)
     dealt = (rows if alone else in_large(rows, "left_anti")).select("a", "b", "component").repartition("component").sortWithinPartitions("component")
     near = dealt.mapInArrow(_reached(WHOLE), f"id {placed.schema['a'].dataType.simpleString()}")
     if not alone:
@@ -234,9 +293,25 @@ def _new(ids: DataFrame, known: list[DataFrame]) -> DataFrame:
     return ids.distinct().join(_all(known), "id", "left_anti")
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """(id, component) of the vertices on cycles; the component is its smallest id.
 
+    With ``parts`` (id, component), the undirected components of all edges, a task takes whole
+    ones, as no cycle leaves one; only those of more than WHOLE edges cost rounds of joins.
+    """
+    if parts is None:
+        return _colouring(edges)
+    placed, large, alone = _in_components(edges, parts)
+    in_large = lambda how: placed.join(F.broadcast(large), "component", how).select("a", "b", "component")
+    dealt = (placed if alone else in_large("left_anti")).repartition("component").sortWithinPartitions("component")
+    kind = placed.schema["a"].dataType.simpleString()
+    near = dealt.mapInArrow(_strong(WHOLE), f"id {kind}, component {kind}")
+    return near if alone else near.unionByName(_colouring(in_large("left_semi")))
+
+
+def _colouring(edges: DataFrame) -> DataFrame:
+    """Strong components by rounds of joins.
+
     Vertices without a way in or out are trimmed; then each round colours forward by the
     smallest id and takes, backward from each colour's own vertex, the vertices of that colour.
     """

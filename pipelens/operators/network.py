@@ -24,7 +24,7 @@ def components(t) -> DataFrame:
 
 
 def strong_components(t) -> DataFrame:
-    return t.once("strong", lambda: graph.cut(graph.strong_components(edges(t).select("a", "b"))))
+    return t.once("strong", lambda: graph.written(graph.strong_components(edges(t).select("a", "b"), components(t).withColumnRenamed("node_id", "id"))))
 
 
 def reach(t, goals) -> DataFrame:
@@ -75,7 +75,7 @@ def neighbour_types(t) -> DataFrame:
     own = t.gravity_ends.select("conduit_id", "side", "node_id").distinct()
     typed = t.gravity.select(F.col("conduit_id").alias("other"), t.system.alias("kind"))
     at = t.incidence.select("node_id", F.col("conduit_id").alias("other")).join(typed, "other").where("kind is not null")
-    return own.join(at, "node_id").where("conduit_id <> other").groupBy("conduit_id", "side").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    return t.once("neighbours", lambda: graph.written(own.join(at, "node_id").where("conduit_id <> other").groupBy("conduit_id", "side").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))))
 
 
 @rule("NET-005", "F", "consistency")
