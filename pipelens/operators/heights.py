@@ -22,7 +22,7 @@ def size_m():
 
 @rule("HGT-004", "F", "consistency")
 def invert_outside_node(t):
-    found = t.gravity_ends.drop("types").join(t.tops.drop("types"), "node_id")
+    found = t.at_nodes
     high = found.where("bob > top").select("conduit_id", "node_id", F.concat("side", F.lit(":above")).alias("side"), F.col("bob").alias("value"), F.col("top").alias("threshold"))
     low = found.where("bob < floor").select("conduit_id", "node_id", F.concat("side", F.lit(":below")).alias("side"), F.col("bob").alias("value"), F.col("floor").alias("threshold"))
     return _end(high.unionByName(low), "value", "threshold")
@@ -107,7 +107,7 @@ def node_height(t):
 @rule("HGT-013", "W", "plausibility")
 def earth_cover(t):
     lo, hi = t.cfg.cover_range
-    found = t.gravity_ends.drop("types").join(t.node.select("node_id", "ground"), "node_id").withColumn("value", F.col("ground") - (F.col("bob") + size_m()))
+    found = t.at_nodes.withColumn("value", F.col("ground") - (F.col("bob") + size_m()))
     return _end(found.where((F.col("value") < lo) | (F.col("value") > hi)), "value")
 
 
@@ -129,7 +129,7 @@ def floor_off_inverts(t):
 
 @rule("HGT-016", "W", "plausibility")
 def end_above_floor(t):
-    found = t.gravity_ends.drop("types").join(t.tops.where(~t.is_a(*config.DROP)).drop("types"), "node_id").withColumn("value", F.col("bob") - F.col("floor"))
+    found = t.at_nodes.where(~t.is_a(*config.DROP, types="node_types")).withColumn("value", F.col("bob") - F.col("floor"))
     return _end(found.where(F.col("value") > t.cfg.drop), "value", F.lit(t.cfg.drop).alias("threshold"))
 
 
@@ -145,5 +145,5 @@ def z_unlike_level(t):
 
 @rule("HGT-018", "F", "consistency")
 def crown_above_top(t):
-    found = t.gravity_ends.drop("types").join(t.tops.drop("types"), "node_id").withColumn("value", F.col("bob") + size_m()).where(F.col("value") > F.col("top"))
+    found = t.at_nodes.withColumn("value", F.col("bob") + size_m()).where(F.col("value") > F.col("top"))
     return _end(found, "value", F.col("top").alias("threshold"))

@@ -26,12 +26,6 @@ def _as_b(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("node_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
 
 
-def _snapped(t, ends: DataFrame) -> DataFrame:
-    """(a, b, dist): the node nearest to each line end within the snap tolerance; a is conduit and side."""
-    left = ends.select(F.struct("conduit_id", "side").alias("a"), F.col("px").alias("ax"), F.col("py").alias("ay"))
-    return spatial.nearest(left, _as_b(_points(t)), t.cfg.snap)
-
-
 def _hit(t) -> DataFrame:
     """(node_id): the nodes nearest to a line end within the snap tolerance; ends of one place are looked up once."""
 
@@ -50,7 +44,14 @@ def node_without_line_end(t):
 
 
 def _loose(t, n):
-    hits = _snapped(t, t.ends.where(t.is_a(config.GRAVITY))).groupBy(F.col("a.conduit_id").alias("conduit_id")).agg(F.count("*").alias("hits"))
+    """Gravity conduits with so many ends that have a node within the snap tolerance."""
+
+    def make():
+        ends = t.ends.where(t.is_a(config.GRAVITY)).select("conduit_id", "side", F.col("px").alias("ax"), F.col("py").alias("ay"))
+        near = spatial.point_pairs(ends, _as_b(_points(t)), t.cfg.snap)
+        return near.groupBy("conduit_id").agg(sum(F.max(F.when(F.col("side") == side, 1).otherwise(0)) for side in ("start", "end")).alias("hits"))
+
+    hits = t.shared(("hits", t.cfg.snap), make)
     return t.gravity.join(hits, "conduit_id", "left").where(F.coalesce("hits", F.lit(0)) == n).select(F.col("conduit_id").alias("object_id"))
 
 
@@ -67,8 +68,7 @@ def one_end_loose(t):
 @rule("TOP-004", "F", "topology")
 def end_off_its_node(t):
     """Ends further from their own node than the tolerance, by side."""
-    nodes = t.node.select("node_id", "x", "y")
-    found = t.gravity_ends.join(nodes, "node_id").withColumn("value", g.distance(F.col("px"), F.col("py"), F.col("x"), F.col("y")))
+    found = t.at_nodes.withColumn("value", g.distance(F.col("px"), F.col("py"), F.col("node_x"), F.col("node_y")))
     return found.where(F.col("value") > t.cfg.snap).select(F.col("conduit_id").alias("object_id"), F.col("node_id").alias("object2_id"), F.col("side").alias("detail"), "value", F.lit(t.cfg.snap).alias("threshold"), F.col("px").alias("x"), F.col("py").alias("y"))
 
 
@@ -79,6 +79,22 @@ def duplicate_nodes(t):
     return pairs.select(F.col("a").alias("object_id"), F.col("b").alias("object2_id"), F.col("dist").alias("value"), F.lit(t.cfg.duplicate_node).alias("threshold"), ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"))
 
 
+def _sized(t) -> DataFrame:
+    """Conduits with half of their larger size in metres (r)."""
+    half = F.coalesce(F.greatest(F.coalesce("width_mm", F.lit(0.0)), F.coalesce("height_mm", F.lit(0.0))), F.lit(0.0)) / 2000
+    return t.conduit.select("conduit_id", "start_id", "end_id", "pts", half.alias("r"))
+
+
+def _open():
+    return F.element_at("pts", 1) != F.element_at("pts", -1)
+
+
+def _all_pairs(t) -> DataFrame:
+    """Pairs of segments that any rule on pairs of lines asks for, with their ``reach`` and ``tip``, worked out once."""
+    segments = lambda: spatial.line_segments(_sized(t), "conduit_id", F.col("r"), F.lit(True), ~_open())
+    return t.once("pairs", lambda: spatial.segment_pairs(segments(), max(t.cfg.overlap_tolerance, t.cfg.conflict_margin), CELL))
+
+
 @rule("TOP-006", "F", "topology")
 def overlapping_lines(t):
     """Pairs of lines of which the first lies along the second for the least length or more.
@@ -87,12 +103,13 @@ def overlapping_lines(t):
     within the tolerance of it. Intervals are merged by their running ends and summed.
     """
     tol = t.cfg.overlap_tolerance
-    pairs = spatial.segment_pairs(spatial.line_segments(t.conduit, "conduit_id"), tol, CELL)
-    near = pairs.select("*", interval(spatial.segment_columns("a"), spatial.segment_columns("b"), tol).alias("i"))
-    near = near.select("a_id", "b_id", "a_seq", "i.lo", "i.hi", _nearness()).where("hi > lo").repartition("a_id", "b_id")
+    pairs = _all_pairs(t).where(spatial.boxes_meet(tol)) if t.sharing else spatial.segment_pairs(spatial.line_segments(t.conduit, "conduit_id"), tol, CELL)
+    near = with_interval(pairs, spatial.segment_columns("a"), spatial.segment_columns("b"), tol)
+    # Pairs without an interval have nulls and not a filter, before which it would be worked out again.
+    near = near.select("a_id", "b_id", "a_seq", *[F.when(F.col("hi") > F.col("lo"), c).alias(name) for name, c in (("lo", F.col("lo")), ("hi", F.col("hi")), ("nearness", _nearness()))]).repartition("a_id", "b_id")
     order = Window.partitionBy("a_id", "b_id", "a_seq").orderBy("lo", "hi")
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    piece = F.greatest(F.lit(0.0), F.col("hi") - F.greatest("lo", F.coalesce(reach, F.col("lo"))))
+    piece = F.when(F.col("hi").isNotNull(), F.greatest(F.lit(0.0), F.col("hi") - F.greatest("lo", F.coalesce(reach, F.col("lo")))))
     sums = near.withColumn("piece", piece).groupBy("a_id", "b_id").agg(F.sum("piece").alias("value"), F.min("nearness").alias("nearest"))
     return _placed(sums.where(F.col("value") >= t.cfg.overlap_length)).select(F.col("a_id").alias("object_id"), F.col("b_id").alias("object2_id"), "value", F.lit(t.cfg.overlap_length).alias("threshold"), "x", "y")
 
@@ -110,50 +127,64 @@ def _placed(rows: DataFrame) -> DataFrame:
 
 def interval(a: list, b: list, tol: float):
     """Struct (lo, hi): the part of segment ``a``, measured from its start, within ``tol`` of segment ``b``; nulls if none."""
-
-    def frame(n):
-        """The other segment as seen along the first: s along it, d across it."""
-        ux, uy = (a[2] - a[0]) / F.nullif(n, F.lit(0.0)), (a[3] - a[1]) / F.nullif(n, F.lit(0.0))
-        along = lambda x, y: (x - a[0]) * ux + (y - a[1]) * uy
-        across = lambda x, y: (y - a[1]) * ux - (x - a[0]) * uy
-        return F.struct(n.alias("n"), along(b[0], b[1]).alias("s1"), across(b[0], b[1]).alias("d1"), along(b[2], b[3]).alias("s2"), across(b[2], b[3]).alias("d2"))
-
-    return g.let(g.distance(*a), lambda n: g.let(frame(n), lambda f: _stadium(f, tol)))
-
-
-def _stadium(f, tol: float):
-    """Struct (lo, hi) of the axis 0..n within ``tol`` of the segment (s1, d1)-(s2, d2)."""
-    length = g.distance(f["s1"], f["d1"], f["s2"], f["d2"])
-
-    def turned(n):
-        whole = F.nullif(n, F.lit(0.0))
-        return F.struct(n.alias("len"), ((f["s2"] - f["s1"]) / whole).alias("cos"), ((f["d2"] - f["d1"]) / whole).alias("sin"))
-
-    def ends(k):
-        far = F.lit(1e300)
-        level, upright = F.abs(k["sin"]) <= 1e-12, F.abs(k["cos"]) <= 1e-12
-        # Where the foot on the other segment falls within it, and where its line is near enough.
-        foot = [f["s1"] + (e * k["len"] + f["d1"] * k["sin"]) / F.when(~upright, k["cos"]) for e in (0.0, 1.0)]
-        met = (-f["d1"] * k["sin"]).between(F.lit(0.0), k["len"])
-        foot_lo = F.when(upright, F.when(met, -far).otherwise(far)).otherwise(F.least(*foot))
-        foot_hi = F.when(upright, F.when(met, far).otherwise(-far)).otherwise(F.greatest(*foot))
-        line = [f["s1"] - (f["d1"] * k["cos"] + e) / F.when(~level, k["sin"]) for e in (-tol, tol)]
-        line_lo = F.when(level, F.when(F.abs(f["d1"]) <= tol, -far).otherwise(far)).otherwise(F.least(*line))
-        line_hi = F.when(level, F.when(F.abs(f["d1"]) <= tol, far).otherwise(-far)).otherwise(F.greatest(*line))
-        disc = lambda s, d, sign: F.when(F.abs(d) <= tol, s + sign * F.sqrt(F.greatest(F.lit(0.0), tol * tol - d * d)))
-        discs = lambda sign: [disc(f["s1"], f["d1"], sign), disc(f["s2"], f["d2"], sign)]
-        return F.struct(
-            F.greatest(foot_lo, line_lo).alias("band_lo"), F.least(foot_hi, line_hi).alias("band_hi"),
-            F.least(*discs(-1)).alias("disc_lo"), F.greatest(*discs(1)).alias("disc_hi"),
-        )
-
-    def joined(e):
-        band = e["band_hi"] >= e["band_lo"]
-        lo, hi = F.least(F.when(band, e["band_lo"]), e["disc_lo"]), F.greatest(F.when(band, e["band_hi"]), e["disc_hi"])
-        # greatest and least pass over nulls, so an interval that is not there must stay null.
-        return F.struct(F.when(lo.isNotNull(), F.greatest(lo, F.lit(0.0))).alias("lo"), F.when(hi.isNotNull(), F.least(hi, f["n"])).alias("hi"))
-
-    return g.let(length, lambda n: g.let(turned(n), lambda k: g.let(ends(k), joined)))
+    row = lambda columns: F.struct(*[c.alias(name) for name, c in columns.items()])
+
+    def within(f):
+        return g.let(g.distance(f["s1"], f["d1"], f["s2"], f["d2"]), lambda m: g.let(row(_turned(f, m)), lambda k: g.let(row(_ends(f, k, tol)), lambda e: row(_joined(f, e)))))
+
+    return g.let(g.distance(*a), lambda n: g.let(row(_frame(a, b, n)), within))
+
+
+def with_interval(rows: DataFrame, a: list, b: list, tol: float) -> DataFrame:
+    """Adds lo and hi of ``interval``, in steps that are each worked out once."""
+    before = rows.columns
+    rows = rows.withColumn("n", g.distance(*a))
+    rows = rows.withColumns({name: c for name, c in _frame(a, b, F.col("n")).items() if name != "n"})
+    f = {name: F.col(name) for name in ("n", "s1", "d1", "s2", "d2")}
+    rows = rows.withColumn("len", g.distance(f["s1"], f["d1"], f["s2"], f["d2"]))
+    k = {name: F.col(name) for name in ("len", "cos", "sin")}
+    rows = rows.withColumns({name: c for name, c in _turned(f, k["len"]).items() if name != "len"})
+    rows = rows.withColumns(_ends(f, k, tol))
+    e = {name: F.col(name) for name in ("band_lo", "band_hi", "disc_lo", "disc_hi")}
+    return rows.withColumns(_joined(f, e)).select(*before, "lo", "hi")
+
+
+def _frame(a: list, b: list, n) -> dict:
+    """The second segment as seen along the first, of length ``n``: s along it, d across it."""
+    ux, uy = (a[2] - a[0]) / F.nullif(n, F.lit(0.0)), (a[3] - a[1]) / F.nullif(n, F.lit(0.0))
+    along = lambda x, y: (x - a[0]) * ux + (y - a[1]) * uy
+    across = lambda x, y: (y - a[1]) * ux - (x - a[0]) * uy
+    return {"n": n, "s1": along(b[0], b[1]), "d1": across(b[0], b[1]), "s2": along(b[2], b[3]), "d2": across(b[2], b[3])}
+
+
+def _turned(f, length) -> dict:
+    """The length of the segment (s1, d1)-(s2, d2) and which way it goes."""
+    whole = F.nullif(length, F.lit(0.0))
+    return {"len": length, "cos": (f["s2"] - f["s1"]) / whole, "sin": (f["d2"] - f["d1"]) / whole}
+
+
+def _ends(f, k, tol: float) -> dict:
+    """The parts of the axis within ``tol`` of the segment's inside (band) and of its ends (disc)."""
+    far = F.lit(1e300)
+    level, upright = F.abs(k["sin"]) <= 1e-12, F.abs(k["cos"]) <= 1e-12
+    # Where the foot on the other segment falls within it, and where its line is near enough.
+    foot = [f["s1"] + (e * k["len"] + f["d1"] * k["sin"]) / F.when(~upright, k["cos"]) for e in (0.0, 1.0)]
+    met = (-f["d1"] * k["sin"]).between(F.lit(0.0), k["len"])
+    foot_lo = F.when(upright, F.when(met, -far).otherwise(far)).otherwise(F.least(*foot))
+    foot_hi = F.when(upright, F.when(met, far).otherwise(-far)).otherwise(F.greatest(*foot))
+    line = [f["s1"] - (f["d1"] * k["cos"] + e) / F.when(~level, k["sin"]) for e in (-tol, tol)]
+    line_lo = F.when(level, F.when(F.abs(f["d1"]) <= tol, -far).otherwise(far)).otherwise(F.least(*line))
+    line_hi = F.when(level, F.when(F.abs(f["d1"]) <= tol, far).otherwise(-far)).otherwise(F.greatest(*line))
+    disc = lambda s, d, sign: F.when(F.abs(d) <= tol, s + sign * F.sqrt(F.greatest(F.lit(0.0), tol * tol - d * d)))
+    discs = lambda sign: [disc(f["s1"], f["d1"], sign), disc(f["s2"], f["d2"], sign)]
+    return {"band_lo": F.greatest(foot_lo, line_lo), "band_hi": F.least(foot_hi, line_hi), "disc_lo": F.least(*discs(-1)), "disc_hi": F.greatest(*discs(1))}
+
+
+def _joined(f, e) -> dict:
+    band = e["band_hi"] >= e["band_lo"]
+    lo, hi = F.least(F.when(band, e["band_lo"]), e["disc_lo"]), F.greatest(F.when(band, e["band_hi"]), e["disc_hi"])
+    # greatest and least pass over nulls, so an interval that is not there must stay null.
+    return {"lo": F.when(lo.isNotNull(), F.greatest(lo, F.lit(0.0))), "hi": F.when(hi.isNotNull(), F.least(hi, f["n"]))}
 
 
 @rule("TOP-007", "F", "topology")
@@ -214,11 +245,15 @@ def outside_range(t):
 @rule("TOP-010", "F", "topology")
 def conflicting_conduits(t):
     """Lines closer than their radii allow that share no node and meet at no end."""
-    half = F.coalesce(F.greatest(F.coalesce("width_mm", F.lit(0.0)), F.coalesce("height_mm", F.lit(0.0))), F.lit(0.0)) / 2000
-    sized = t.conduit.select("conduit_id", "start_id", "end_id", "pts", half.alias("r"))
-    near = spatial.segment_pairs(spatial.line_segments(sized, "conduit_id", F.col("r"), F.lit(True)), t.cfg.conflict_margin, CELL, lambda p, q: _tips_meet(p, q, t.cfg.snap))
+    sized, useless = _sized(t), lambda p, q: _tips_meet(p, q, t.cfg.snap)
+    if t.sharing:
+        near = _all_pairs(t).where(spatial.boxes_meet(t.cfg.conflict_margin, True) & ~useless(_tipped("a"), _tipped("b")))
+    else:
+        near = spatial.segment_pairs(spatial.line_segments(sized, "conduit_id", F.col("r"), F.lit(True)), t.cfg.conflict_margin, CELL, useless)
     limit = F.col("a_reach") + F.col("b_reach") + t.cfg.conflict_margin
-    close = near.select("a_id", "b_id", _nearness(), limit.alias("limit")).where("nearness.d <= limit").groupBy("a_id", "b_id").agg(F.min("nearness").alias("nearest")).withColumn("value", F.col("nearest.d"))
+    # Within the sum and not before it, where the distance would be worked out twice.
+    within = F.when(F.col("nearness.d") <= F.col("limit"), F.col("nearness"))
+    close = near.select("a_id", "b_id", _nearness(), limit.alias("limit")).groupBy("a_id", "b_id").agg(F.min(within).alias("nearest")).where("nearest is not null").withColumn("value", F.col("nearest.d"))
     side = lambda p: sized.select(F.col("conduit_id").alias(f"{p}_id"), F.array("start_id", "end_id").alias(f"{p}_nodes"), F.col("r").alias(f"{p}_r"), F.array(F.element_at("pts", 1), F.element_at("pts", -1)).alias(f"{p}_ends"))
     both = close.join(side("a"), "a_id").join(side("b"), "b_id").withColumn("threshold", F.col("a_r") + F.col("b_r") + t.cfg.conflict_margin)
     meet = F.exists("a_ends", lambda p: F.exists("b_ends", lambda q: g.distance(p["x"], p["y"], q["x"], q["y"]) <= t.cfg.snap))
@@ -232,8 +267,10 @@ def crossing_lines(t):
 
     The two ends of an open line are not inside it; a closed line has no ends. The place is the meeting point of the smallest x, then y.
     """
-    opened = F.element_at("pts", 1) != F.element_at("pts", -1)
-    pairs = spatial.segment_pairs(spatial.line_segments(t.conduit, "conduit_id", tips=opened), 0.0, CELL, _only_tips_touch)
+    if t.sharing:
+        pairs = _all_pairs(t).where(spatial.boxes_meet(0.0) & ~_only_tips_touch(_tipped("a", opened=True), _tipped("b", opened=True)))
+    else:
+        pairs = spatial.segment_pairs(spatial.line_segments(t.conduit, "conduit_id", tips=_open()), 0.0, CELL, _only_tips_touch)
     a, b = spatial.segment_columns("a"), spatial.segment_columns("b")
     same = g.overlap(a, b)
     touch = F.filter(F.array(*[_touch(p, own, other) for own, other in ((a, b), (b, a)) for p in (own[:2], own[2:])]), lambda p: p.isNotNull())
@@ -249,6 +286,12 @@ def crossing_lines(t):
     return found.select(F.col("a_id").alias("object_id"), F.col("b_id").alias("object2_id"), "p.x", "p.y")
 
 
+def _tipped(side: str, opened: bool = False) -> list:
+    """A segment of a pair as (x1, y1, x2, y2, tip); with ``opened`` the ends of closed lines do not count."""
+    tip = F.col(f"{side}_tip")
+    return [*spatial.segment_columns(side), F.when(tip >= 4, 0).otherwise(tip) if opened else tip]
+
+
 def _tips(p: list, q: list):
     """Pairs of ends of two segments (x1, y1, x2, y2, tip): whether both end their lines, and the two ends."""
     ends = lambda s: [(s[4].bitwiseAND(1) != 0, s[:2]), (s[4].bitwiseAND(2) != 0, s[2:4])]
@@ -325,9 +368,10 @@ def doubled_vertex_or_spike(t):
 @rule("TOP-019", "W", "topology")
 def needless_node(t):
     """Nodes without a function between two ends of equal size, material and classes."""
-    same = t.ends.where("node_id is not null").join(t.conduit.select("conduit_id"), "conduit_id").select("node_id", F.struct("width_mm", "height_mm", "material", F.array_sort("types").alias("types")).alias("kind"))
+    nodes = t.node.where(t.is_a(*config.FUNCTIONLESS))
+    same = t.ends.join(nodes, "node_id", "left_semi").join(t.conduit.select("conduit_id"), "conduit_id").select("node_id", F.struct("width_mm", "height_mm", "material", F.array_sort("types").alias("types")).alias("kind"))
     equal = same.groupBy("node_id").agg(F.count("*").alias("n"), F.countDistinct(F.to_json("kind")).alias("kinds")).where("n = 2 and kinds = 1")
-    return t.node.where(t.is_a(*config.FUNCTIONLESS)).join(equal, "node_id", "left_semi").select(F.col("node_id").alias("object_id"))
+    return nodes.join(equal, "node_id", "left_semi").select(F.col("node_id").alias("object_id"))
 
 
 @rule("TOP-020", "W", "topology")
